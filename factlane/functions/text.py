@@ -78,7 +78,7 @@ def first_line_matching(text, prefix: str, needles: list[str]) -> Column:
     any needle; null when none does. Returns the normalised line."""
     lines = F.transform(F.split(col_of(text), "\n"), lambda x: F.lower(ustrip(x)))
     hits = F.filter(lines, lambda x: x.startswith(prefix) & contains_any(x, needles))
-    return F.element_at(hits, 1)
+    return F.try_element_at(hits, F.lit(1))
 
 
 def array_argmax(c) -> Column:

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from ..constants import CONFIDENCE_LEVELS, ERROR_LABEL, NOT_VERIFIABLE, UNKNOWN_CONFIDENCE, VERIFIABLE
 from ..functions.text import col_of, first_line_matching, ustrip
 
-_NULL_INT = F.lit(None).cast("int")
+
+def _null_int() -> Column:
+    return F.lit(None).cast("int")
 
 
 def _true_false_only(low: Column) -> Column:
@@ -33,7 +35,7 @@ def lenient_label(answer="answer") -> Column:
     return (_true_false_only(low)
             .when(low.startswith("true"), F.lit(1))
             .when(low.startswith("false"), F.lit(0))
-            .otherwise(_NULL_INT))
+            .otherwise(_null_int()))
 
 
 def structured_label(answer="answer") -> Column:
@@ -46,7 +48,7 @@ def structured_label(answer="answer") -> Column:
             .when(line.isNotNull(), F.when(line.contains("true"), F.lit(1)).otherwise(F.lit(0)))
             .when(low.contains("true") & ~low.contains("false"), F.lit(1))
             .when(low.contains("false") & ~low.contains("true"), F.lit(0))
-            .otherwise(_NULL_INT))
+            .otherwise(_null_int()))
 
 
 def confidence_level(answer="answer", levels=CONFIDENCE_LEVELS) -> Column:
@@ -73,7 +75,7 @@ def verifiable_answer(answer="answer") -> Column:
 def verifiable_class(answer="answer") -> Column:
     """R9 normaliser: Verifiable / Not Verifiable / Error / Other."""
     low = F.lower(ustrip(col_of(answer)))
-    low = F.regexp_replace(low, r"[\s\p{Punct}]+\z", "")
+    low = F.regexp_replace(low, r"[\s\p{P}\p{S}]+\z", "")
     return (F.when(low == ERROR_LABEL.lower(), F.lit(ERROR_LABEL))
             .when(low == NOT_VERIFIABLE.lower(), F.lit(NOT_VERIFIABLE))
             .when(low == VERIFIABLE.lower(), F.lit(VERIFIABLE))

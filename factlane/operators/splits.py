@@ -71,26 +71,26 @@ def stratified_split(df: DataFrame, by=("domain", "label"), fallback=("label",),
 
     gw = Window.partitionBy(*group)
     s1 = counts.groupBy(*group, "__s1").agg(F.sum("__n").alias("__ns"))
-    flags = (s1.groupBy(*group).agg(F.sum("__ns").alias("__N"), F.min("__ns").alias("__min"),
+    flags = (s1.groupBy(*group).agg(F.sum("__ns").alias("__tot"), F.min("__ns").alias("__min"),
                                     F.count(F.lit(1)).alias("__k"))
-             .withColumn("__ntest", F.ceil(F.lit(float(test_share)) * F.col("__N")).cast("bigint"))
-             .withColumn("__ntrain", F.col("__N") - F.col("__ntest"))
+             .withColumn("__ntest", F.ceil(F.lit(float(test_share)) * F.col("__tot")).cast("bigint"))
+             .withColumn("__ntrain", F.col("__tot") - F.col("__ntest"))
              .withColumn("__primary", (F.col("__min") >= 2) & (F.col("__ntest") >= F.col("__k"))
                          & (F.col("__ntrain") >= F.col("__k")))
-             .select(*group, "__N", "__ntrain", "__primary"))
+             .select(*group, "__tot", "__ntrain", "__primary"))
 
     final_counts = (counts.join(flags, group)
                     .withColumn("__s", F.when(F.col("__primary"), F.col("__s1")).otherwise(F.col("__s2")))
-                    .groupBy(*group, "__s", "__b", "__N", "__ntrain", "__primary")
+                    .groupBy(*group, "__s", "__b", "__tot", "__ntrain", "__primary")
                     .agg(F.sum("__n").alias("__n")))
 
     # largest-remainder train quota per stratum (exact integer arithmetic)
-    strata = (final_counts.groupBy(*group, "__s", "__N", "__ntrain", "__primary")
+    strata = (final_counts.groupBy(*group, "__s", "__tot", "__ntrain", "__primary")
               .agg(F.sum("__n").alias("__ns"))
               # n_train * N_s overflows bigint at 1e11 rows: exact decimal(38,0) instead
               .withColumn("__num", F.col("__ntrain").cast("decimal(38,0)") * F.col("__ns").cast("decimal(38,0)"))
-              .withColumn("__floor", F.expr("__num div cast(__N as decimal(38,0))").cast("bigint"))
-              .withColumn("__rem", F.col("__num") - F.col("__floor").cast("decimal(38,0)") * F.col("__N"))
+              .withColumn("__floor", F.expr("__num div cast(__tot as decimal(38,0))").cast("bigint"))
+              .withColumn("__rem", F.col("__num") - F.col("__floor").cast("decimal(38,0)") * F.col("__tot"))
               .withColumn("__need", F.col("__ntrain") - F.sum("__floor").over(gw))
               .withColumn("__rank", F.row_number().over(gw.orderBy(F.desc("__rem"), F.asc("__s"))))
               .withColumn("__quota", F.col("__floor") + F.when(F.col("__rank") <= F.col("__need"), 1).otherwise(0))
