@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import col_of, ustrip
+from ..functions.text import SPACE_CLASS, col_of
+
+NON_SPACE = "[^" + SPACE_CLASS[1:]
 
 
 def _blank(text) -> "F.Column":
-    return ustrip(col_of(text)) == ""
+    """Empty after a Python-style strip, tested as "no non-space character"
+    (the regex stops at the first visible character instead of rewriting the
+    whole text)."""
+    return ~col_of(text).rlike(NON_SPACE)
 
 
 def clean_claims(df: DataFrame, required=("claim", "label", "domain"), text: str = "claim") -> DataFrame:

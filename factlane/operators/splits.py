@@ -47,13 +47,26 @@ def _group_cols(group):
 
 def stratified_split(df: DataFrame, by=("domain", "label"), fallback=("label",), test_share: float = TEST_SHARE,
                      seed="seed", key: str = "claim_id", group=("dataset", "run_id"),
-                     bucket_bits: int = DEFAULT_BUCKET_BITS, part_col: str = "split") -> DataFrame:
+                     bucket_bits: int = DEFAULT_BUCKET_BITS, part_col: str = "split",
+                     broadcast_max_rows: int = 1_000_000) -> DataFrame:
     """T2 + T3. Adds ``part_col`` ('train' / 'test') and ``stratified_by``
     ('strata' or 'fallback'). ``seed`` is a column name or an int.
 
     Fallback (T3): when a stratum has fewer than 2 rows, or the test or train
     part has fewer rows than there are strata, the group is split by the
-    ``fallback`` key only."""
+    ``fallback`` key only.
+
+    Plan: one partial aggregate over the rows (counts per group, stratum,
+    fallback stratum and hash bucket), then a linear chain of windows over
+    that small table gives, per stratum, the quota, the cut bucket and how
+    many of its rows are taken. The cut table (one row per group x stratum
+    pair) is kept in the checkpoint folder and broadcast when its measured row
+    count is at most ``broadcast_max_rows`` (else joined by key). The rows are
+    then read once more: rows outside their cut bucket are assigned by a
+    comparison; rows inside it are ranked (a window over a ~1/2**bucket_bits
+    slice of the stratum)."""
+    from ..session import cut_lineage
+
     group = list(group)
     added_group = False
     if not group:
@@ -66,66 +79,72 @@ def stratified_split(df: DataFrame, by=("domain", "label"), fallback=("label",),
              .withColumn("__s1", strata_key(*by))
              .withColumn("__s2", strata_key(*fallback)))
 
-    # one pass over the rows: counts per (group, stratum, fallback stratum, bucket)
     counts = keyed.groupBy(*group, "__s1", "__s2", "__b").agg(F.count(F.lit(1)).alias("__n"))
+    cut = cut_lineage(_cut_table(counts, group, test_share))
+    n_cut = cut.count()  # the materialised table's size decides the join strategy
+    cut_side = F.broadcast(cut) if n_cut <= broadcast_max_rows else cut
 
-    gw = Window.partitionBy(*group)
-    s1 = counts.groupBy(*group, "__s1").agg(F.sum("__n").alias("__ns"))
-    flags = (s1.groupBy(*group).agg(F.sum("__ns").alias("__tot"), F.min("__ns").alias("__min"),
-                                    F.count(F.lit(1)).alias("__k"))
-             .withColumn("__ntest", F.ceil(F.lit(float(test_share)) * F.col("__tot")).cast("bigint"))
-             .withColumn("__ntrain", F.col("__tot") - F.col("__ntest"))
-             .withColumn("__primary", (F.col("__min") >= 2) & (F.col("__ntest") >= F.col("__k"))
-                         & (F.col("__ntrain") >= F.col("__k")))
-             .select(*group, "__tot", "__ntrain", "__primary"))
-
-    final_counts = (counts.join(flags, group)
-                    .withColumn("__s", F.when(F.col("__primary"), F.col("__s1")).otherwise(F.col("__s2")))
-                    .groupBy(*group, "__s", "__b", "__tot", "__ntrain", "__primary")
-                    .agg(F.sum("__n").alias("__n")))
-
-    # largest-remainder train quota per stratum (exact integer arithmetic)
-    strata = (final_counts.groupBy(*group, "__s", "__tot", "__ntrain", "__primary")
-              .agg(F.sum("__n").alias("__ns"))
-              # n_train * N_s overflows bigint at 1e11 rows: exact decimal(38,0) instead
-              .withColumn("__num", F.col("__ntrain").cast("decimal(38,0)") * F.col("__ns").cast("decimal(38,0)"))
-              .withColumn("__floor", F.expr("__num div cast(__tot as decimal(38,0))").cast("bigint"))
-              .withColumn("__rem", F.col("__num") - F.col("__floor").cast("decimal(38,0)") * F.col("__tot"))
-              .withColumn("__need", F.col("__ntrain") - F.sum("__floor").over(gw))
-              .withColumn("__rank", F.row_number().over(gw.orderBy(F.desc("__rem"), F.asc("__s"))))
-              .withColumn("__quota", F.col("__floor") + F.when(F.col("__rank") <= F.col("__need"), 1).otherwise(0))
-              .select(*group, "__s", "__quota", "__primary"))
-
-    # bucket in which each stratum's quota ends, and how many of its rows go to train
-    bw = Window.partitionBy(*group, "__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = (final_counts.select(*group, "__s", "__b", "__n")
-            .withColumn("__before", F.coalesce(F.sum("__n").over(bw), F.lit(0)))
-            .join(strata, group + ["__s"])
-            .where((F.col("__before") < F.col("__quota")) & (F.col("__before") + F.col("__n") >= F.col("__quota")))
-            .select(*group, "__s", F.col("__b").alias("__cut"), (F.col("__quota") - F.col("__before")).alias("__take")))
-    # one row per (group, stratum); strata with quota 0 get no cut -> all test
-    strata_cut = (strata.join(cuts, group + ["__s"], "left")
-                  .select(*group, "__s", "__primary", F.coalesce("__cut", F.lit(-1)).alias("__cut"),
-                          F.coalesce("__take", F.lit(0)).alias("__take")))
-
-    with_flag = keyed.join(flags.select(*group, "__primary"), group).withColumn(
-        "__s", F.when(F.col("__primary"), F.col("__s1")).otherwise(F.col("__s2")))
-    assigned = with_flag.join(strata_cut.drop("__primary"), group + ["__s"])
+    assigned = keyed.join(cut_side, group + ["__s1", "__s2"])
+    outside = (assigned.where(F.col("__b") != F.col("__cut"))
+               .withColumn(part_col, F.when(F.col("__b") < F.col("__cut"), "train").otherwise("test")))
     rank_w = Window.partitionBy(*group, "__s").orderBy("__h", key)
-    in_cut = (assigned.where(F.col("__b") == F.col("__cut"))
-              .select(*group, key, "__s", "__h", "__take")
-              .withColumn("__rn", F.row_number().over(rank_w))
-              .select(*group, key, F.when(F.col("__rn") <= F.col("__take"), "train").otherwise("test").alias("__pc")))
-    out = (assigned.join(in_cut, group + [key], "left")
-           .withColumn(part_col, F.when(F.col("__b") < F.col("__cut"), "train")
-                       .when(F.col("__b") > F.col("__cut"), "test").otherwise(F.col("__pc")))
-           .withColumn("stratified_by", F.when(F.col("__primary"), "strata").otherwise("fallback")))
-    drop = ["__h", "__b", "__s1", "__s2", "__s", "__primary", "__cut", "__take", "__pc"]
+    inside = (assigned.where(F.col("__b") == F.col("__cut"))
+              .withColumn(part_col, F.when(F.row_number().over(rank_w) <= F.col("__take"), "train")
+                          .otherwise("test")))
+    out = outside.unionByName(inside).withColumn(
+        "stratified_by", F.when(F.col("__primary"), "strata").otherwise("fallback"))
+    drop = ["__h", "__b", "__s1", "__s2", "__s", "__primary", "__cut", "__take"]
     if added_group:
         drop.append("__g")
     return out.drop(*drop)
 
 
+def _cut_table(counts: DataFrame, group: list, test_share: float) -> DataFrame:
+    """(group..., __s1, __s2, __s, __primary, __cut, __take) from the bucket
+    counts, as one linear chain of windows (no branch is evaluated twice).
+    Each step is one projection so the driver analyses the plan few times."""
+    col = F.col
+    w_g = Window.partitionBy(*group)
+    w_s1 = Window.partitionBy(*group, "__s1")
+    w_s = Window.partitionBy(*group, "__s")
+    w_sb = w_s.orderBy("__b")
+    c = counts.withColumns({"__ns1": F.sum("__n").over(w_s1)})
+    c = c.withColumns({"__tot": F.sum("__n").over(w_g), "__min": F.min("__ns1").over(w_g),
+                       "__k": F.size(F.collect_set("__s1").over(w_g))})
+    ntest = F.ceil(F.lit(float(test_share)) * col("__tot")).cast("bigint")
+    ntrain = col("__tot") - ntest
+    primary = (col("__min") >= 2) & (ntest >= col("__k")) & (ntrain >= col("__k"))
+    c = c.withColumns({"__ntrain": ntrain, "__primary": primary})
+    c = c.withColumns({"__s": F.when(col("__primary"), col("__s1")).otherwise(col("__s2"))})
+    # per final stratum: size, rows up to and including this bucket, rows of this bucket, one marker row
+    c = c.withColumns({
+        "__ns": F.sum("__n").over(w_s),
+        "__incl": F.sum("__n").over(w_sb.rangeBetween(Window.unboundedPreceding, 0)),
+        "__bn": F.sum("__n").over(w_sb.rangeBetween(0, 0)),
+        "__first": F.row_number().over(w_s.orderBy("__b", "__s1", "__s2")) == 1,
+    })
+    # largest-remainder quota; n_train * N_s overflows bigint at 1e11 rows: exact decimal(38,0)
+    num = col("__ntrain").cast("decimal(38,0)") * col("__ns").cast("decimal(38,0)")
+    tot = col("__tot").cast("decimal(38,0)")
+    floor = (num / tot).cast("decimal(38,0)")  # decimal division rounds; fixed below
+    c = c.withColumns({"__num": num})
+    c = c.withColumns({"__floor": F.expr("__num div cast(__tot as decimal(38,0))").cast("bigint")})
+    c = c.withColumns({"__rem": col("__num") - col("__floor").cast("decimal(38,0)") * tot})
+    c = c.withColumns({
+        "__need": col("__ntrain") - F.sum(F.when(col("__first"), col("__floor"))).over(w_g),
+        "__rank": F.dense_rank().over(w_g.orderBy(F.desc("__rem"), F.asc("__s"))),
+    })
+    quota = col("__floor") + F.when(col("__rank") <= col("__need"), 1).otherwise(0)
+    before = col("__incl") - col("__bn")
+    is_cut = (before < quota) & (quota <= col("__incl"))
+    c = c.withColumns({
+        "__cut": F.coalesce(F.max(F.when(is_cut, col("__b"))).over(w_s), F.lit(-1).cast("bigint")),
+        "__take": F.coalesce(F.max(F.when(is_cut, quota - before)).over(w_s), F.lit(0).cast("bigint")),
+    })
+    del floor
+    return c.select(*group, "__s1", "__s2", "__s", "__primary", "__cut", "__take").distinct()
+
+
 def label_split(df: DataFrame, label: str = "label", test_share: float = TEST_SHARE, seed=42,
                 key: str = "claim_id", group=(), part_col: str = "split") -> DataFrame:
     """Split stratified by label only."""

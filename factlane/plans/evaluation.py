@@ -26,6 +26,7 @@ from ..operators.metrics import long_predictions, metric_records, metrics_table
 from ..operators.parsing import confidence_level, structured_label
 from ..operators.scoring import simulated_prediction, simulated_structured_answer
 from ..operators.splits import fan_out_runs, stratified_split
+from ..session import cut_lineage
 
 KEYS = ["dataset", "run_id", "claim_id"]
 
@@ -37,14 +38,35 @@ def split_frame(claims: DataFrame, n_runs: int = K.N_RUNS, seeds=K.RUN_SEEDS, by
                             test_share=test_share, bucket_bits=bucket_bits)
 
 
-def split_results(claims: DataFrame, n_runs: int = K.N_RUNS, seeds=K.RUN_SEEDS, by=("domain", "label"),
-                  prediction=None, with_tfidf: bool = False, clean: bool = True) -> DataFrame:
-    """Results of the split evaluation (test rows only): claims columns +
-    run_id, seed, split, prediction, random_baseline, majority_baseline
-    (+ tfidf_baseline)."""
+def claim_keys(claims: DataFrame, clean: bool = True) -> DataFrame:
+    """The cleaned evaluation set without its text, kept in the checkpoint
+    folder: the split reads it several times, and the text (the bulk of the
+    bytes) is read once, here, for the blank-claim test."""
     if clean:
         claims = clean_claims(claims)
-    parts = split_frame(claims, n_runs, seeds, by)
+    return cut_lineage(claims.select("dataset", "claim_id", "domain", "label"))
+
+
+def split_parts(claims: DataFrame, n_runs: int = K.N_RUNS, seeds=K.RUN_SEEDS, by=("domain", "label"),
+                clean: bool = True) -> DataFrame:
+    """(dataset, claim_id, domain, label, run_id, seed, split, stratified_by) for
+    every claim and run, kept in the checkpoint folder (the train and test
+    parts, the baselines and the reports all read the same assignment)."""
+    return cut_lineage(split_frame(claim_keys(claims, clean), n_runs, seeds, by))
+
+
+def with_claim_text(rows: DataFrame, claims: DataFrame) -> DataFrame:
+    """Attach the claim text to keyed rows (an equi-join on claim_id)."""
+    return rows.join(claims.select("claim_id", "claim"), "claim_id")
+
+
+def split_results(claims: DataFrame, n_runs: int = K.N_RUNS, seeds=K.RUN_SEEDS, by=("domain", "label"),
+                  prediction=None, with_tfidf: bool = False, clean: bool = True) -> DataFrame:
+    """Results of the split evaluation (test rows only): dataset, claim_id,
+    domain, label, run_id, seed, split, prediction, random_baseline,
+    majority_baseline (+ tfidf_baseline). Text is attached by the caller
+    (``with_claim_text``) where a step needs it."""
+    parts = split_parts(claims, n_runs, seeds, by, clean)
     train = parts.where(F.col("split") == "train")
     test = parts.where(F.col("split") == "test")
     pred = prediction if prediction is not None else simulated_prediction("label", "seed", "claim_id")
@@ -53,7 +75,8 @@ def split_results(claims: DataFrame, n_runs: int = K.N_RUNS, seeds=K.RUN_SEEDS,
     test = with_majority(test, train)
     if with_tfidf:
         from ..operators.tfidf import tfidf_lr_baseline
-        test = tfidf_lr_baseline(train, test)
+        text = clean_claims(claims) if clean else claims
+        test = tfidf_lr_baseline(with_claim_text(train, text), with_claim_text(test, text))
     return test
 
 

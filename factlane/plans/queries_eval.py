@@ -183,7 +183,7 @@ def t1_strata_key(spark, sf_dir):
 SELECT dataset, run_id, claim_id, split, stratified_by FROM split""")
 def t2_stratified_split(spark, sf_dir):
     """Exact 70/30 split by domain x label, per dataset and run."""
-    return E.split_frame(clean_claims(claims_of(spark, sf_dir))).select(
+    return E.split_parts(claims_of(spark, sf_dir)).select(
         "dataset", "run_id", "claim_id", "split", "stratified_by")
 
 
@@ -191,7 +191,7 @@ def t2_stratified_split(spark, sf_dir):
 SELECT dataset, run_id, claim_id, split, stratified_by FROM split""")
 def t3_split_fallback(spark, sf_dir):
     """domain = source has strata of one row, so the split falls back to label."""
-    return E.split_frame(clean_claims(claims_of(spark, sf_dir, "source"))).select(
+    return E.split_parts(claims_of(spark, sf_dir, "source")).select(
         "dataset", "run_id", "claim_id", "split", "stratified_by")
 
 
@@ -211,7 +211,7 @@ FROM (SELECT *, split AS part FROM split UNION ALL SELECT *, 'all' AS part FROM
 GROUP BY ALL""")
 def t5_crosstab(spark, sf_dir):
     """T5: domain x label counts before the split ('all') and per part."""
-    parts = E.split_frame(clean_claims(claims_of(spark, sf_dir)))
+    parts = E.split_parts(claims_of(spark, sf_dir))
     both = parts.unionByName(parts.withColumn("split", F.lit("all")))
     return S.crosstab(both)
 
@@ -225,7 +225,7 @@ SELECT dataset, run_id, split, kind, value, n, {rnd(['share'])} FROM (
     SELECT dataset, run_id, split, 'domain', domain, count(*) FROM split GROUP BY ALL))""")
 def t6_balance_shares(spark, sf_dir):
     """Class and domain shares per part."""
-    parts = E.split_frame(clean_claims(claims_of(spark, sf_dir)))
+    parts = E.split_parts(claims_of(spark, sf_dir))
     lab = S.part_shares(parts.withColumn("value", F.col("label").cast("string")), "value").withColumn(
         "kind", F.lit("label"))
     dom = S.part_shares(parts.withColumn("value", F.col("domain")), "value").withColumn("kind", F.lit("domain"))
@@ -237,7 +237,7 @@ SELECT dataset, run_id, split, n, {rnd(['pct'])} FROM (
   SELECT *, n * 100.0 / sum(n) OVER (PARTITION BY dataset, run_id) AS pct FROM (
     SELECT dataset, run_id, split, count(*) AS n FROM split GROUP BY ALL))""")
 def t7_part_sizes(spark, sf_dir):
-    parts = E.split_frame(clean_claims(claims_of(spark, sf_dir)))
+    parts = E.split_parts(claims_of(spark, sf_dir))
     return rounded(S.part_sizes(parts))
 
 
@@ -253,7 +253,7 @@ def b1_random_baseline(spark, sf_dir):
 @query("b2_majority_baseline", sql_with(*sql_split_results()) + """
 SELECT dataset, run_id, majority_baseline FROM maj""")
 def b2_majority_baseline(spark, sf_dir):
-    parts = E.split_frame(clean_claims(claims_of(spark, sf_dir)))
+    parts = E.split_parts(claims_of(spark, sf_dir))
     return B.majority_labels(parts.where(F.col("split") == "train"))
 
 
@@ -279,8 +279,9 @@ SELECT dataset, run_id, n_valid, n_valid < 10 AS use_majority FROM (
                                            AND {sql_strip('claim')} <> '') AS n_valid
   FROM split WHERE split = 'train' GROUP BY ALL)""")
 def b6_learned_baseline_guard(spark, sf_dir):
-    parts = E.split_frame(clean_claims(claims_of(spark, sf_dir)))
-    return B.guard_counts(parts.where(F.col("split") == "train"))
+    claims = claims_of(spark, sf_dir)
+    parts = E.split_parts(claims)
+    return B.guard_counts(E.with_claim_text(parts.where(F.col("split") == "train"), claims))
 
 
 @query("b7_inner_split", sql_with(sql_clean_claims(), sql_runs(), sql_split("clean"),
@@ -291,7 +292,7 @@ def b6_learned_baseline_guard(spark, sf_dir):
 SELECT dataset, run_id, claim_id, split AS inner_split FROM inner_sp""")
 def b7_inner_split(spark, sf_dir):
     """80/20 label-stratified split of each train part, seed 42."""
-    parts = E.split_frame(clean_claims(claims_of(spark, sf_dir)))
+    parts = E.split_parts(claims_of(spark, sf_dir))
     train = parts.where(F.col("split") == "train").drop("split", "stratified_by")
     inner = S.label_split(train, test_share=K.INNER_TEST_SHARE, seed=42, group=("dataset", "run_id"),
                           part_col="inner_split")
