@@ -123,7 +123,8 @@ def b9_text_classifier(spark, sf_dir):
 def b9_classifier_metrics(spark, sf_dir):
     """G4 + G10 on the classifier's test predictions: weighted precision,
     recall, F1 overall and per domain."""
-    pred = b9_text_classifier(spark, sf_dir).withColumn("dataset", F.lit("combined")).withColumn(
+    from ..session import cut_lineage
+    pred = cut_lineage(b9_text_classifier(spark, sf_dir)).withColumn("dataset", F.lit("combined")).withColumn(
         "condition", F.lit("TF-IDF+LR classifier")).withColumn("run_id", F.lit(0))
     table = M.metrics_table(pred.withColumnRenamed("prediction", "pred"), ["dataset", "condition", "run_id"],
                             "domain")
