@@ -86,6 +86,7 @@ def value_counts(df: DataFrame, column: str, normalize: bool = False, dropna: bo
     src = df.where(F.col(column).isNotNull()) if dropna else df
     out = src.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     if normalize:
-        from pyspark.sql import Window
-        out = out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+        # total as a scalar subquery (run once, no single-task window over all groups)
+        total = src.agg(F.count(F.lit(1)).cast("double")).scalar()
+        out = out.withColumn("share", F.col("n") / total)
     return out
