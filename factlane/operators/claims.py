@@ -65,10 +65,14 @@ def claim_funnel(posts: DataFrame, text: str = "text", langs: str = "langs", cod
                  phrases=HEDGE_PHRASES, verbs=AUX_VERBS) -> DataFrame:
     """(stage, n) for read, in-language with text, hedged, no verb, claims,
     from one aggregate pass (partial aggregation before the single-row exchange)."""
-    lang_ok = has_text_in_language(text, langs, code)
-    hedged = is_hedged(text, phrases)
-    verb = has_aux_verb(text, verbs)
-    counts = posts.agg(
+    # rule flags once per row in a projection; the aggregate then only counts
+    # (inside an aggregate each count_if would re-run the regex over the text)
+    lang_c, hedged_c = has_text_in_language(text, langs, code), is_hedged(text, phrases)
+    flags = posts.select(lang_c.alias("__l"), hedged_c.alias("__h"),
+                         # the verb regex only runs where it decides something
+                         F.when(lang_c & ~hedged_c, has_aux_verb(text, verbs)).otherwise(F.lit(False)).alias("__v"))
+    lang_ok, hedged, verb = F.col("__l"), F.col("__h"), F.col("__v")
+    counts = flags.agg(
         F.count(F.lit(1)).alias("read"),
         F.count_if(lang_ok).alias("with_text_in_language"),
         F.count_if(lang_ok & hedged).alias("hedged"),

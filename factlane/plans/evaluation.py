@@ -50,9 +50,11 @@ def claim_keys(claims: DataFrame, clean: bool = True) -> DataFrame:
 def split_parts(claims: DataFrame, n_runs: int = K.N_RUNS, seeds=K.RUN_SEEDS, by=("domain", "label"),
                 clean: bool = True) -> DataFrame:
     """(dataset, claim_id, domain, label, run_id, seed, split, stratified_by) for
-    every claim and run, kept in the checkpoint folder (the train and test
-    parts, the baselines and the reports all read the same assignment)."""
-    return cut_lineage(split_frame(claim_keys(claims, clean), n_runs, seeds, by))
+    every claim and run. Its inputs (the claim keys and the split's cut table)
+    are materialised, so each consumer (train part, test part, reports)
+    re-derives the assignment with a narrow scan and a broadcast comparison,
+    which is cheaper than writing five copies of the keys."""
+    return split_frame(claim_keys(claims, clean), n_runs, seeds, by)
 
 
 def with_claim_text(rows: DataFrame, claims: DataFrame) -> DataFrame:
