@@ -121,3 +121,39 @@ def run_metrics(results: DataFrame, conditions: dict[str, str], baseline_rows: s
 SPLIT_CONDITIONS = {"prediction": K.MODEL_CONDITION, "random_baseline": "Random", "majority_baseline": "Majority"}
 FULL_CONDITIONS = {"prediction": K.MODEL_CONDITION, "random_baseline": "Random", "majority_baseline": "Majority",
                    "keyword_baseline": "Keyword"}
+
+
+def run_split_evaluation(claims: DataFrame, out_dir: str, n_runs: int = K.N_RUNS, seeds=K.RUN_SEEDS,
+                         by=("domain", "label"), prediction=None, with_tfidf: bool = False) -> dict[str, str]:
+    """The split evaluation end to end. Test-part results are written
+    partitioned by dataset and run (one directory each, prunable); every
+    report is then computed from that table: metric records and domain rows,
+    run statistics, t-interval, tests against the baselines, pooled domain
+    metrics, the cross-domain summary and the final report."""
+    from ..operators import metrics as M
+    from ..operators import runstats as A
+    from ..sources.sinks import write_partitioned
+
+    spark = claims.sparkSession
+    paths = {n: f"{out_dir}/{n}" for n in ("results", "metrics", "records", "run_summary", "t_interval",
+                                          "baseline_tests", "pooled_domains", "cross_domain", "final_report")}
+    res = split_results(claims, n_runs, seeds, by, prediction=prediction, with_tfidf=with_tfidf)
+    write_partitioned(res, paths["results"], keys=("dataset", "run_id"))
+    results = spark.read.parquet(paths["results"])
+    conditions = dict(SPLIT_CONDITIONS)
+    if with_tfidf:
+        conditions["tfidf_baseline"] = "TF-IDF+LR"
+    table, records = run_metrics(results, conditions)
+    table.write.mode("overwrite").parquet(paths["metrics"])
+    records = cut_lineage(records, "records")
+    records.write.mode("overwrite").parquet(paths["records"])
+    A.run_summary(records).write.mode("overwrite").parquet(paths["run_summary"])
+    A.t_interval(records).write.mode("overwrite").parquet(paths["t_interval"])
+    A.one_sample_tests(records).write.mode("overwrite").parquet(paths["baseline_tests"])
+    long = long_predictions(answered(results), {"prediction": K.MODEL_CONDITION},
+                            ["dataset", "run_id", "claim_id", "domain"], pred="pred")
+    pooled = cut_lineage(M.pooled_domain_metrics(long), "pooled")
+    pooled.write.mode("overwrite").parquet(paths["pooled_domains"])
+    A.cross_domain_summary(pooled).write.mode("overwrite").parquet(paths["cross_domain"])
+    A.final_report(records).write.mode("overwrite").parquet(paths["final_report"])
+    return paths
