@@ -39,10 +39,15 @@ def evaluation_claims(spark: SparkSession, sf_dir: str, domain: str = "lang") ->
     )
 
 
-def document_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def document_posts(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
     """Documents as posts: (filename, post_id, text, langs) with one-element
-    ``langs`` holding the two-letter code."""
-    return load(spark, sf_dir, "documents").select(
+    ``langs`` holding the two-letter code. ``lang`` keeps only that language
+    with a predicate on the stored column, which reaches the Parquet scan
+    (row-group / partition pruning); the language rule still runs on ``langs``."""
+    docs = load(spark, sf_dir, "documents")
+    if lang is not None:
+        docs = docs.where(F.col("lang") == lang)
+    return docs.select(
         F.concat(F.col("source"), F.lit(".jsonl")).alias("filename"),
         F.col("doc_id").alias("post_id"),
         F.col("text"),
