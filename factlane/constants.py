@@ -38,6 +38,7 @@ INNER_TEST_SHARE = 0.2      # optional inner split of the TF-IDF baseline
 TFIDF_MAX_FEATURES = 1000
 TFIDF_NGRAM_RANGE = (1, 2)
 LR_MAX_ITER = 1000
+LR_TOLERANCE = 1e-4        # stopping tolerance of the logistic regression (library default)
 BOOTSTRAP_RESAMPLES = 1000
 CONFIDENCE_LEVEL = 0.95
 ENCODER_MAX_LENGTH = 512

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import ENCODER_MAX_LENGTH, LR_MAX_ITER, TFIDF_MAX_FEATURES, TFIDF_NGRAM_RANGE
+from ..constants import ENCODER_MAX_LENGTH, LR_MAX_ITER, LR_TOLERANCE, TFIDF_MAX_FEATURES, TFIDF_NGRAM_RANGE
 from ..functions.text import col_of
 
 # Word tokens: runs of two or more letters, digits or underscores (lower-cased first).
@@ -160,7 +160,7 @@ def tfidf_lr_baseline(train: DataFrame, test: DataFrame, group=("dataset", "run_
     n = train_f.count()
     lr = LogisticRegression(featuresCol="features", labelCol=label, predictionCol="__pred", fitIntercept=False,
                             regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False,
-                            maxIter=max_iter, tol=1e-6)
+                            maxIter=max_iter, tol=LR_TOLERANCE)
     model = lr.fit(train_f.withColumn(label, F.col(label).cast("double")))
     scored = (model.transform(joint_features(test, vocab, group, text))
               .drop("features", "rawPrediction", "probability"))

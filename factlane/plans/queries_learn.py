@@ -32,6 +32,31 @@ SQL_TERMS = f"""
 
 SQL_TFIDF_BASE = [sql_clean_claims(), sql_runs(), sql_split("clean"), SQL_TERMS]
 
+# Model predictions written once per session and input folder, read by every
+# query that reports on them (a fitted model is not refitted per report).
+_STORED: dict = {}
+
+
+def stored(spark, sf_dir, name, build):
+    """Read the stored table of (session, sf_dir, name), or build and write it
+    into the shared checkpoint folder first."""
+    import uuid
+
+    from pyspark.errors import AnalysisException
+
+    from ..session import scratch_path
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    path = _STORED.get(key)
+    if path is not None:
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException:  # removed since: build again
+            pass
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    build().write.parquet(path)
+    _STORED[key] = path
+    return spark.read.parquet(path)
+
 
 def _tfidf_inputs(spark, sf_dir):
     claims = claims_of(spark, sf_dir)
@@ -68,15 +93,18 @@ def b4_tfidf_weights(spark, sf_dir):
 def b5_tfidf_lr(spark, sf_dir):
     """B5 + B6: TF-IDF + logistic regression fitted on each train part (all
     dataset x run models in one MLlib job), predictions for the test parts."""
-    res = E.split_results(claims_of(spark, sf_dir), with_tfidf=True)
-    return res.select("dataset", "run_id", "claim_id", "label", "tfidf_baseline")
+    return _tfidf_results(spark, sf_dir).select("dataset", "run_id", "claim_id", "label", "tfidf_baseline")
+
+
+def _tfidf_results(spark, sf_dir):
+    return stored(spark, sf_dir, "tfidf-results",
+                  lambda: E.split_results(claims_of(spark, sf_dir), with_tfidf=True))
 
 
 @query("b5_tfidf_lr_metrics")
 def b5_tfidf_lr_metrics(spark, sf_dir):
     """G8 over the split evaluation with the TF-IDF+LR baseline as a condition."""
-    res = E.split_results(claims_of(spark, sf_dir), with_tfidf=True)
-    _, records = E.run_metrics(res, {**E.SPLIT_CONDITIONS, "tfidf_baseline": "TF-IDF+LR"})
+    _, records = E.run_metrics(_tfidf_results(spark, sf_dir), {**E.SPLIT_CONDITIONS, "tfidf_baseline": "TF-IDF+LR"})
     return rounded(records.select("dataset", "condition", "run_id", "accuracy", "f1_score", "n_samples"))
 
 
@@ -114,17 +142,18 @@ def b9_text_classifier(spark, sf_dir):
     TF-IDF + logistic-regression classifier whose regularisation is chosen on
     a separate validation part by macro F1, predictions for the test part."""
     from ..operators.classifier import train_text_classifier
-    claims = clean_claims(claims_of(spark, sf_dir))
-    parts = label_split(claims, seed=42)
-    return train_text_classifier(parts)
+
+    def build():
+        claims = clean_claims(claims_of(spark, sf_dir))
+        return train_text_classifier(label_split(claims, seed=42))
+    return stored(spark, sf_dir, "classifier-predictions", build)
 
 
 @query("b9_classifier_metrics")
 def b9_classifier_metrics(spark, sf_dir):
     """G4 + G10 on the classifier's test predictions: weighted precision,
     recall, F1 overall and per domain."""
-    from ..session import cut_lineage
-    pred = cut_lineage(b9_text_classifier(spark, sf_dir)).withColumn("dataset", F.lit("combined")).withColumn(
+    pred = b9_text_classifier(spark, sf_dir).withColumn("dataset", F.lit("combined")).withColumn(
         "condition", F.lit("TF-IDF+LR classifier")).withColumn("run_id", F.lit(0))
     table = M.metrics_table(pred.withColumnRenamed("prediction", "pred"), ["dataset", "condition", "run_id"],
                             "domain")
