@@ -53,3 +53,24 @@ def test_sql_twin_matches(spark, name):
     names = [d[0] for d in res.description]
     b = sorted(tuple(norm(r[names.index(c)]) for c in cols) for r in res.fetchall())
     assert a == b
+
+
+def test_split_ranks_only_the_cut_bucket(spark):
+    from factlane.operators.splits import fan_out_runs, stratified_split
+    claims = tables.evaluation_claims(spark, SMOKE_DIR).select("dataset", "claim_id", "domain", "label")
+    out = stratified_split(fan_out_runs(claims))
+    out.write.format("noop").mode("overwrite").save()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    window_part = plan[plan.index("Window [row_number"):]
+    # below the row-number window, only rows of the cut bucket survive: Catalyst turns the
+    # bucket == cut filter into a key of the (broadcast) join with the cut table
+    assert "HashJoin [__b#" in window_part and ", [__cut#" in window_part
+
+
+@pytest.mark.parametrize("name", ["q1_claim_domains", "p6_claim_funnel", "r7_structured_parse",
+                                  "t2_stratified_split", "g8_metrics_record"])
+def test_no_python_in_rule_and_metric_plans(spark, name):
+    df = E.queries()[name](spark, SMOKE_DIR)
+    df.write.format("noop").mode("overwrite").save()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan and "MapInPandas" not in plan
