@@ -8,6 +8,9 @@ give the same words.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +49,50 @@ def lower_ascii(text: Column) -> Column:
 def crc_mod(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
+
+
+# --- Arrow batches of texts ---------------------------------------------------
+
+BATCH_BYTES = 8 << 20
+
+
+def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of an Arrow string column: text i is
+    ``bytes[offsets[i]:offsets[i + 1]]``; a null is empty."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column.fill_null("").cast(pa.large_string())
+    n = len(column)
+    buffers = column.buffers()
+    offsets = np.frombuffer(buffers[1], np.int64, n + 1 + column.offset)[column.offset:] if n else np.zeros(1, np.int64)
+    data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None and n else np.zeros(0, np.uint8)
+    return data[offsets[0]:offsets[-1]], offsets - offsets[0]
+
+
+def sliced(batches, text: str = "text", limit: int = BATCH_BYTES):
+    """Arrow batches cut so that each holds about ``limit`` bytes of text (one
+    longer text makes a batch of its own)."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(lengths, dtype=np.int64) // limit
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
+def map_texts(df: DataFrame, fn, schema: str) -> DataFrame:
+    """``mapInArrow`` over size-bounded batches: ``fn(batch) -> RecordBatch``
+    or an iterator of them. JVM-side batches are bounded by bytes as well, so
+    that long texts do not pile up."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * BATCH_BYTES))
+
+    def run(batches):
+        for batch in sliced(batches):
+            out = fn(batch)
+            if isinstance(out, pa.RecordBatch):
+                yield out
+            else:
+                yield from out
+
+    return df.mapInArrow(run, schema)

@@ -12,3 +12,36 @@ __all__ = ["QUERIES", "ORACLE_SQL"]
 def op7_quality_rules(spark, sf_dir):
     from .quality_rules import quality_rules
     return quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op1_license_scan")
+def op1_license_scan(spark, sf_dir):
+    from .license_scan import license_scan
+    return license_scan(read_table(spark, sf_dir, "documents"))
+
+
+from .source_mix import MIX_SQL  # noqa: E402
+
+
+@query("op9_source_mix", "WITH docs AS (SELECT * FROM documents)," + MIX_SQL
+       + "SELECT doc_id, size, source_size, target, taken FROM mixed")
+def op9_source_mix(spark, sf_dir):
+    from .source_mix import mix_sources
+    return mix_sources(read_table(spark, sf_dir, "documents"))
+
+
+@query("op5_language_id")
+def op5_language_id(spark, sf_dir):
+    from .language_id import identify_language
+    return identify_language(read_table(spark, sf_dir, "documents"))
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark, sf_dir):
+    """Chain of the two labelled categories: low quality, then toxic."""
+    from pyspark.sql import functions as F
+
+    from .toxicity import score_toxicity
+    labels = read_table(spark, sf_dir, "labels").select(
+        "doc_id", (F.lit(1) - F.col("quality")).alias("low_quality"), "toxic")
+    return score_toxicity(read_table(spark, sf_dir, "documents"), labels, ["low_quality", "toxic"])
