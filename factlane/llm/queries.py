@@ -45,3 +45,9 @@ def op8_toxicity(spark, sf_dir):
     labels = read_table(spark, sf_dir, "labels").select(
         "doc_id", (F.lit(1) - F.col("quality")).alias("low_quality"), "toxic")
     return score_toxicity(read_table(spark, sf_dir, "documents"), labels, ["low_quality", "toxic"])
+
+
+@query("op10_decontaminate")
+def op10_decontaminate(spark, sf_dir):
+    from .decontaminate import find_leaks
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
