@@ -51,3 +51,9 @@ def op8_toxicity(spark, sf_dir):
 def op10_decontaminate(spark, sf_dir):
     from .decontaminate import find_leaks
     return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_lm_score")
+def op3_lm_score(spark, sf_dir):
+    from .lm_score import score_documents
+    return score_documents(read_table(spark, sf_dir, "documents"))
