@@ -57,3 +57,9 @@ def op10_decontaminate(spark, sf_dir):
 def op3_lm_score(spark, sf_dir):
     from .lm_score import score_documents
     return score_documents(read_table(spark, sf_dir, "documents"))
+
+
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark, sf_dir):
+    from .substring_dedup import remove_repeats
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
