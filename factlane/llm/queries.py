@@ -63,3 +63,9 @@ def op3_lm_score(spark, sf_dir):
 def op2_substring_dedup(spark, sf_dir):
     from .substring_dedup import remove_repeats
     return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+@query("op6_jaccard_join")
+def op6_jaccard_join(spark, sf_dir):
+    from .jaccard_join import jaccard_components
+    return jaccard_components(read_table(spark, sf_dir, "documents"))
