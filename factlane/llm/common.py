@@ -80,7 +80,7 @@ def sliced(batches, text: str = "text", limit: int = BATCH_BYTES):
                 yield batch.slice(a, b - a)
 
 
-def map_texts(df: DataFrame, fn, schema: str) -> DataFrame:
+def map_texts(df: DataFrame, fn, schema: str, limit: int = BATCH_BYTES) -> DataFrame:
     """``mapInArrow`` over size-bounded batches: ``fn(batch) -> RecordBatch``
     or an iterator of them. JVM-side batches are bounded by bytes as well, so
     that long texts do not pile up."""
@@ -88,7 +88,7 @@ def map_texts(df: DataFrame, fn, schema: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * BATCH_BYTES))
 
     def run(batches):
-        for batch in sliced(batches):
+        for batch in sliced(batches, limit=limit):
             out = fn(batch)
             if isinstance(out, pa.RecordBatch):
                 yield out

@@ -69,3 +69,9 @@ def op2_substring_dedup(spark, sf_dir):
 def op6_jaccard_join(spark, sf_dir):
     from .jaccard_join import jaccard_components
     return jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark, sf_dir):
+    from .suffix_dedup import remove_repeated_strings
+    return remove_repeated_strings(read_table(spark, sf_dir, "documents"))
