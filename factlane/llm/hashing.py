@@ -91,18 +91,19 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return mix(out), s, e, lengths
 
 
-def with_row_key(docs: DataFrame) -> tuple[DataFrame, bool]:
+def with_row_key(docs: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, bool]:
     """((key, doc_id, text), rows are unique by key): ``key`` is a non-null bigint that orders documents
     as their ids do and tells rows with different texts apart. Unique non-null
     ids are their own keys. Otherwise the distinct (doc_id, text) pairs are
-    numbered in order of id (null last), then text hash; equal rows share a key."""
+    numbered in order of id (null last), then text hash; equal rows share a key.
+    ``keep`` names further columns to carry."""
     ids = docs.select("doc_id").agg(F.count("*").alias("n"), F.count("doc_id").alias("known"),
                                     F.countDistinct("doc_id").alias("distinct")).first()
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
     if ids["n"] == ids["known"] == ids["distinct"] and docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int"):
-        return docs.select(F.col("doc_id").cast("bigint").alias("key"), "doc_id", text), True
-    rows = docs.select("doc_id", text).withColumn("th", F.xxhash64("text"))
+        return docs.select(F.col("doc_id").cast("bigint").alias("key"), "doc_id", text, *keep), True
+    rows = docs.select("doc_id", text, *keep).withColumn("th", F.xxhash64("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.col("th")]
     numbered = cut_lineage(rows.select("doc_id", "th").distinct().repartitionByRange(*order).sortWithinPartitions(*order)
                            .select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").alias("kid"), F.col("th").alias("kth")), "row-key")
-    return rows.join(numbered, F.col("doc_id").eqNullSafe(F.col("kid")) & (F.col("th") == F.col("kth"))).select("key", "doc_id", "text"), False
+    return rows.join(numbered, F.col("doc_id").eqNullSafe(F.col("kid")) & (F.col("th") == F.col("kth"))).select("key", "doc_id", "text", *keep), False

@@ -252,10 +252,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         labels = new.select("key", "comp")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
-    spark = docs.sparkSession
-    rows, distinct = with_row_key(docs)
+def component_keys(rows: DataFrame, distinct: bool) -> DataFrame:
+    """(key, n, comp) for the documents ``rows(key, text)``: set size and the
+    smallest key of the component."""
     unique = rows.select("key", "text") if distinct else rows.select("key", "text").dropDuplicates(["key"])
 
     first = cut_lineage(map_texts(unique, _fact_rows, FACT_ROWS).groupBy("bucket").applyInArrow(_sum_cells, FACT_ROWS), "jac-facts")
@@ -294,8 +293,25 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     late = count_overlaps(cross, sets).where(good).select("x", "y")
     copy_links = facts.where(F.col("key") != F.col("leader")).select(F.col("key").alias("x"), F.col("leader").alias("y"))
     comp = components(links.union(late).union(copy_links), "jac-all")
-    out = rows.select("key", "doc_id").join(facts.select("key", "n"), "key").join(comp, "key", "left")
+    return facts.select("key", "n").join(comp, "key", "left").select("key", "n", F.coalesce("comp", "key").alias("comp"))
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document."""
+    rows, distinct = with_row_key(docs)
+    found = component_keys(rows, distinct)
+    out = rows.select("key", "doc_id").join(found, "key")
     if distinct:
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "key").alias("component_id"))
+        return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").cast(docs.schema["doc_id"].dataType).alias("component_id"))
     ids = rows.select(F.col("key").alias("comp"), F.col("doc_id").alias("component_id")).distinct()
-    return out.withColumn("comp", F.coalesce("comp", "key")).join(ids, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return out.join(ids, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_per_component(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, keep...): of each component only the document of the
+    smallest id."""
+    rows, distinct = with_row_key(docs, keep)
+    found = component_keys(rows, distinct)
+    out = rows.join(found.where(F.col("key") != F.col("comp")).select("key"), "key", "left_anti")
+    out = out if distinct else out.dropDuplicates(["key"])
+    return out.select("doc_id", "text", *keep)

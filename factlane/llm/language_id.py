@@ -155,8 +155,9 @@ def fit(docs: DataFrame, per_lang: int = FIT_PER_LANG) -> tuple[list[str], dict
     return langs, train_network(x, y, len(langs))
 
 
-def predict(docs: DataFrame, langs: list[str], net: dict | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns + (lang_pred, score) of every document."""
+def predict(docs: DataFrame, langs: list[str], net: dict | None, keep: tuple[str, ...] = ("doc_id",),
+            names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns + the language and its chance, named by ``names``."""
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = text_buffers(b.column("text"))
         n = b.num_rows
@@ -174,12 +175,12 @@ def predict(docs: DataFrame, langs: list[str], net: dict | None, keep: tuple[str
             pred[lettered] = np.array(langs, dtype=object)[best[lettered]]
             score[lettered] = p[np.arange(n), best][lettered]
         kept = [b.column(c) for c in keep]
-        return pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+        return pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(score)], [*keep, *names])
 
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__lettered")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     src = docs.select(*dict.fromkeys([*keep, "text"]), lettered)
-    return map_texts(src, batch, f"{types}, lang_pred string, score double")
+    return map_texts(src, batch, f"{types}, `{names[0]}` string, `{names[1]}` double")
 
 
 def identify_language(docs: DataFrame, hold_out: int = 2, modulus: int = 4) -> DataFrame:

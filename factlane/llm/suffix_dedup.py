@@ -427,11 +427,11 @@ def _removal(with_text: bool):
     return batch
 
 
-def remove_repeated_strings(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def remove_repeated_strings(docs: DataFrame, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document;
     ``with_text`` adds ``text`` and ``kept``, the text without the removed
-    spans (shrunk to whole characters)."""
-    rows, distinct = with_row_key(docs)
+    spans (shrunk to whole characters), and the columns named by ``keep``."""
+    rows, distinct = with_row_key(docs, keep)
     unique = rows.select("key", "text") if distinct else rows.select("key", "text").dropDuplicates(["key"])
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n1 = max(1, int(-(-n_bytes // (BUCKET_BYTES * 4))))
@@ -466,4 +466,4 @@ def remove_repeated_strings(docs: DataFrame, with_text: bool = False) -> DataFra
     columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     if not with_text:
         return rows.select("key", "doc_id").join(out, "key").select(columns)
-    return rows.join(out, "key").select(*columns, "text", F.coalesce("kept", "text").alias("kept"))
+    return rows.join(out, "key").select(*columns, *keep, "text", F.coalesce("kept", "text").alias("kept"))
