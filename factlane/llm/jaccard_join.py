@@ -6,12 +6,12 @@ words). Two documents link when 100 * |intersection| >= 85 * |union|, that is
 
 1. Documents with equal sets are one class (hash of the whole set).
 2. Shingles are ordered by how often their hash cell occurs, rare first. Two
-   linked sets share a shingle within their prefixes (size - ceil(0.85 * size)
-   + 1 shingles), so only prefixes are indexed: a list per shingle, of (set,
-   size, position).
-3. Set relations: in each list the members are tried against one
-   representative; each set keeps its best one, and their overlap is counted
-   exactly. That links most of a group of near copies in one step.
+   linked sets share ``SHARED`` shingles (all but a few of a small set) within
+   their prefixes of size - ceil(0.85 * size) + ``SHARED`` shingles, so only
+   prefixes are indexed: a list per shingle, of (set, size, position).
+3. Set relations: each list has one representative; a set is tried against the
+   one it shares most lists with, and their overlap is counted exactly. That
+   links most of a group of near copies in one step.
 4. Lists are joined block by block. A block is skipped when its positions leave
    too few shingles for the bound. A pair is skipped when its sets are already
    connected, or when their computed overlaps with a common representative r
@@ -45,6 +45,9 @@ from .substring_dedup import _arrow_schema, _joined, _packed
 
 SHINGLE = 4
 PERCENT = 85
+SHARED = 16
+#: Common lists from which a representative is tried.
+TRY = 4
 CELL_BITS = 18
 BUCKET_ENTRIES = 500_000
 BLOCK = 128
@@ -74,8 +77,13 @@ def linked(overlap, a, b):
     return (100 + PERCENT) * overlap >= PERCENT * (a + b)
 
 
-def prefix_length(n: np.ndarray) -> np.ndarray:
-    return n - (PERCENT * n + 99) // 100 + 1
+def must_share(n):
+    """Shingles that a set's prefix shares with that of any linked set."""
+    return np.minimum(SHARED, (PERCENT * n + 99) // 100)
+
+
+def prefix_length(n):
+    return n - (PERCENT * n + 99) // 100 + must_share(n)
 
 
 FACT_ROWS = "bucket int, key bigint, n bigint, seq binary, cells binary"
@@ -90,7 +98,8 @@ def _fact_rows(b: pa.RecordBatch) -> pa.RecordBatch:
     rows = [{"bucket": k % N_SLICES, "key": k, "n": len(s), "seq": hashlib.blake2b(s.tobytes(), digest_size=16).digest()}
             for k, s in zip(keys, sets)]
     held = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    cells = np.bincount((held >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS).astype(np.int32)
+    cells = np.bincount((held >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
+    cells = np.minimum(cells, 65535).astype(np.uint16)  # only the order of cells matters
     rows += [{"bucket": k, "cells": part.tobytes()} for k, part in enumerate(np.split(cells, N_SLICES))]
     return pa.RecordBatch.from_pylist(rows, schema=_arrow_schema(FACT_ROWS))
 
@@ -100,7 +109,7 @@ def _sum_cells(t: pa.Table) -> pa.Table:
     total = np.zeros((1 << CELL_BITS) // N_SLICES, np.int64)
     for c in t.column("cells").to_pylist():
         if c is not None:
-            total += np.frombuffer(c, np.int32)
+            total += np.frombuffer(c, np.uint16)
     level = np.minimum(total, 2**31 - 1).astype(np.int32)
     tail = pa.Table.from_pylist([{"bucket": t.column("bucket")[0].as_py(), "cells": level.tobytes()}], schema=_arrow_schema(FACT_ROWS))
     return pa.concat_tables([rows.select([f.name for f in tail.schema]).cast(tail.schema), tail])
@@ -136,32 +145,29 @@ def _entry_rows(n_buckets: int, cells: np.ndarray):
 
 
 def may_link(nx, px, ny, py):
-    """Bound at the first common shingle of two sets, by sizes and positions."""
-    return linked(np.minimum(nx - px, ny - py), nx, ny)
+    """Bound at a common shingle of two sets: those before it and from it on."""
+    return linked(np.minimum(px, py) + np.minimum(nx - px, ny - py), nx, ny)
 
 
-LIST_ROWS = "tok bigint, key bigint, n int, pos int, rep bigint, rep_n int, prio bigint"
+LIST_ROWS = "tok bigint, key bigint, n int, pos int, rep bigint"
 
 
 def _lists(t: pa.Table) -> pa.Table:
     """One bucket: entries of all lists of two sets or more; ``rep`` is the
-    list's representative where it may link with the entry."""
+    list's representative (least hash of its key) where it may link."""
     tok, key = _joined(t.column("tok"), np.uint64), _joined(t.column("key"), np.int64)
     n, pos = _joined(t.column("n"), np.int32), _joined(t.column("pos"), np.int32)
-    prio = (mix(key.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
-    order = np.lexsort((prio, tok))
-    tok, key, n, pos, prio = tok[order], key[order], n[order], pos[order], prio[order]
+    order = np.lexsort((mix(key.astype(np.uint64)), tok))
+    tok, key, n, pos = tok[order], key[order], n[order], pos[order]
     first = np.ones(len(tok), bool)
     first[1:] = tok[1:] != tok[:-1]
     run = np.cumsum(first) - 1
     many = np.bincount(run)[run] > 1 if len(run) else np.zeros(0, bool)
     lead = np.flatnonzero(first)[run]
-    fits = many & (lead != np.arange(len(tok))) & may_link(n, pos, n[lead], pos[lead])
-    keep = many
-    rep = pa.array(key[lead][keep], mask=~fits[keep])
+    fits = (lead != np.arange(len(tok))) & may_link(*(v.astype(np.int64) for v in (n, pos, n[lead], pos[lead])))
     return pa.Table.from_arrays(
-        [pa.array(tok[keep].view(np.int64)), pa.array(key[keep]), pa.array(n[keep]), pa.array(pos[keep]), rep,
-         pa.array(n[lead][keep]), pa.array(prio[lead][keep])], schema=_arrow_schema(LIST_ROWS))
+        [pa.array(tok[many].view(np.int64)), pa.array(key[many]), pa.array(n[many]), pa.array(pos[many]),
+         pa.array(key[lead][many], mask=~fits[many])], schema=_arrow_schema(LIST_ROWS))
 
 
 def list_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, rep: np.ndarray, rep_overlap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,10 +185,10 @@ def list_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, rep: np.ndarray
             if b < a:
                 continue
             j = slice(b, b + BLOCK)
-            if not linked(min(left[i].max(), left[j].max()), n[i].min(), n[j].min()):
+            if not linked(min(pos[i].max(), pos[j].max()) + min(left[i].max(), left[j].max()), n[i].min(), n[j].min()):
                 continue
             x, y = n[i, None], n[None, j]
-            ok = linked(np.minimum(left[i, None], left[None, j]), x, y) & (comp[i, None] != comp[None, j])
+            ok = may_link(x, pos[i, None], y, pos[None, j]) & (comp[i, None] != comp[None, j])
             same = (rep[i, None] == rep[None, j]) & (rep[i, None] >= 0)
             ox, oy = ov[i, None], ov[None, j]
             most = np.minimum(oy + x - ox, ox + y - oy)
@@ -196,26 +202,29 @@ def list_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, rep: np.ndarray
     return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (none, none)
 
 
-PAIR_ROWS = "x bigint, y bigint"
+PAIR_ROWS = "x bigint, y bigint, nx bigint, ny bigint, lists bigint"
 
 
 def _cross_pairs(t: pa.Table) -> pa.Table:
-    """One bucket of lists -> pairs of sets in different components."""
+    """One bucket of lists -> pairs of sets in different components, with the
+    number of lists they share here."""
     c = {k: t.column(k).to_numpy() for k in ("tok", "key", "n", "pos", "comp", "rep", "rep_overlap")}
     order = np.argsort(c["tok"], kind="stable")
     c = {k: v[order] for k, v in c.items()}
     edges = np.concatenate([[0], np.flatnonzero(np.diff(c["tok"])) + 1, [len(order)]])
     low, high = np.minimum.reduceat(c["comp"], edges[:-1]), np.maximum.reduceat(c["comp"], edges[:-1])
-    xs, ys = [], []
+    found: list[list[np.ndarray]] = [[], [], [], []]
     for k in np.flatnonzero(low != high).tolist():
         part = slice(edges[k], edges[k + 1])
+        key, n = c["key"][part], c["n"][part]
         i, j = list_pairs(*(c[m][part] for m in ("n", "pos", "comp", "rep", "rep_overlap")))
-        xs.append(c["key"][part][i])
-        ys.append(c["key"][part][j])
-    x = np.concatenate(xs) if xs else np.zeros(0, np.int64)
-    y = np.concatenate(ys) if ys else np.zeros(0, np.int64)
-    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-    return pa.Table.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=_arrow_schema(PAIR_ROWS))
+        swap = key[i] > key[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        for out, v in zip(found, (key[i], key[j], n[i], n[j])):
+            out.append(v.astype(np.int64))
+    rows = np.stack([np.concatenate(v) if v else np.zeros(0, np.int64) for v in found])
+    rows, lists = np.unique(rows, axis=1, return_counts=True)
+    return pa.Table.from_arrays([pa.array(r) for r in (*rows, lists.astype(np.int64))], schema=_arrow_schema(PAIR_ROWS))
 
 
 def _set_rows(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -226,8 +235,13 @@ def _set_rows(b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([b.column("key"), pa.ListArray.from_arrays(pa.array(starts), pa.array(flat))], ["key", "s"])
 
 
-def count_overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(x, y, nx, ny, overlap) by intersecting the two sets."""
+def count_overlaps(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(x, y, nx, ny, overlap) by intersecting the two sets. Only the documents
+    of ``pairs`` get their sets built; without pairs no text is read."""
+    if pairs.isEmpty():
+        return docs.sparkSession.createDataFrame([], "x bigint, y bigint, nx bigint, ny bigint, overlap bigint")
+    wanted = pairs.select(F.col("x").alias("key")).union(pairs.select("y")).distinct()
+    sets = cut_lineage(map_texts(docs.join(wanted, "key"), _set_rows, "key bigint, s array<bigint>"), "jac-sets")
     a = sets.select(F.col("key").alias("x"), F.col("s").alias("sx"))
     b = sets.select(F.col("key").alias("y"), F.col("s").alias("sy"))
     return pairs.join(a, "x").join(b, "y").select(
@@ -274,13 +288,16 @@ def component_keys(rows: DataFrame, distinct: bool) -> DataFrame:
     # copies are represented by their leader: their entries go (by narrow key)
     lists = cut_lineage(lists.join(copies, "key", "left_anti"), "jac-lists")
 
-    stars = lists.where(F.col("rep").isNotNull()).join(facts.select(F.col("key").alias("rep"), "leader"), "rep")
-    stars = stars.where(F.col("leader") != F.col("key")).groupBy(F.col("key").alias("x")).agg(
-        F.min(F.struct("prio", "leader")).alias("b")).select("x", F.col("b.leader").alias("y"))
-    stars = cut_lineage(stars, "jac-stars")
-    wanted = lists.select("key").union(stars.select("y")).distinct()
-    sets = cut_lineage(map_texts(unique.join(wanted, "key"), _set_rows, "key bigint, s array<bigint>"), "jac-sets")
-    tried = cut_lineage(count_overlaps(stars, sets), "jac-tried")
+    stars = lists.where(F.col("rep").isNotNull()).groupBy("key", "rep").agg(F.count("*").alias("lists"))
+    stars = stars.where(F.col("lists") >= TRY).join(facts.select(F.col("key").alias("rep"), "leader"), "rep")
+    stars = cut_lineage(stars.where(F.col("leader") != F.col("key")).groupBy(F.col("key").alias("x")).agg(
+        F.min(F.struct(-F.col("lists"), "leader")).alias("b")).select("x", F.col("b.leader").alias("y")), "jac-stars")
+    # every document of a pair is in as many lists as a pair must share: the
+    # texts of all others are left behind here, once
+    able = lists.groupBy("key").agg(F.count("*").alias("lists"), F.first("n").alias("n")).where(
+        F.col("lists") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * PERCENT / 100))).select("key")
+    held = cut_lineage(unique.join(able.union(stars.select("x")).union(stars.select("y")).distinct(), "key"), "jac-held")
+    tried = cut_lineage(count_overlaps(stars, held), "jac-tried")
     good = linked(F.col("overlap"), F.col("nx"), F.col("ny"))
     links = tried.where(good).select("x", "y")
     comp = components(links, "jac-star")
@@ -289,8 +306,11 @@ def component_keys(rows: DataFrame, distinct: bool) -> DataFrame:
     known = lists.select("tok", "key", "n", "pos").join(comp, "key", "left").join(related, "key", "left").select(
         F.pmod("tok", F.lit(n_buckets)).cast("int").alias("bucket"), "tok", "key", "n", "pos",
         F.coalesce("comp", "key").alias("comp"), F.coalesce("rep", F.lit(-1)).alias("rep"), F.coalesce("rep_overlap", F.lit(0)).alias("rep_overlap"))
-    cross = cut_lineage(known.groupBy("bucket").applyInArrow(_cross_pairs, PAIR_ROWS).distinct(), "jac-cross")
-    late = count_overlaps(cross, sets).where(good).select("x", "y")
+    cross = known.groupBy("bucket").applyInArrow(_cross_pairs, PAIR_ROWS).groupBy("x", "y").agg(
+        F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.sum("lists").alias("lists"))
+    need = F.least(F.lit(SHARED), F.ceil(F.least("nx", "ny") * PERCENT / 100))
+    cross = cut_lineage(cross.where(F.col("lists") >= need).select("x", "y"), "jac-cross")
+    late = count_overlaps(cross, held).where(good).select("x", "y")
     copy_links = facts.where(F.col("key") != F.col("leader")).select(F.col("key").alias("x"), F.col("leader").alias("y"))
     comp = components(links.union(late).union(copy_links), "jac-all")
     return facts.select("key", "n").join(comp, "key", "left").select("key", "n", F.coalesce("comp", "key").alias("comp"))
