@@ -323,6 +323,8 @@ def interval_classes(data: np.ndarray, lengths: np.ndarray, shard_bytes: int = S
 
 def _ranges(key: np.ndarray, start: np.ndarray) -> dict[int, bytes]:
     """key -> (first, end) int32 pairs of its runs of consecutive starts."""
+    if not len(key):
+        return {}
     order = np.lexsort((start, key))
     key, start = key[order], start[order]
     new = np.ones(len(key), bool)

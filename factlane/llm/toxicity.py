@@ -28,16 +28,22 @@ from .common import map_texts, text_buffers
 FIT_ROWS = 12_000
 FEATURES = 400
 FOLDS = 4
-MIN_DOCUMENTS = 4
+#: A selected word is in at least 4 and in 1 of ``RARE`` sampled documents, and
+#: its z value is at least ``MIN_Z``: few words get there by chance.
+MIN_DOCUMENTS, RARE = 4, 1_500
+MIN_Z = 4.0
 #: ASCII letters are lowered, other ASCII bytes that are no letters end a word.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
+#: Runs of other visible ASCII characters are words as well.
+SIGNS = bytes(c if 33 <= c <= 126 and not chr(c).isalpha() else 32 for c in range(256))
 
 
 def plain_words(text: Column) -> Column:
     """The same words in the JVM: distinct runs of lowered ASCII letters and
-    of all characters beyond ASCII."""
+    of all characters beyond ASCII, and runs of signs."""
     low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.array_distinct(F.filter(F.split(low, r"[\x00-\x60\x7B-\x7F]+"), lambda w: w != ""))
+    both = F.concat(F.split(low, r"[\x00-\x60\x7B-\x7F]+"), F.split(text, r"[^\x21-\x40\x5B-\x60\x7B-\x7E]+"))
+    return F.array_distinct(F.filter(both, lambda w: w != ""))
 
 
 def category_labels(labels: DataFrame, categories: list[str]) -> DataFrame:
@@ -52,28 +58,28 @@ def select_words(sample: DataFrame, categories: list[str], n_docs: int, positive
     negative ones (z value), ``FEATURES`` per category."""
     per = sample.select(*[f"y_{c}" for c in categories], F.explode(plain_words(F.col("text"))).alias("word"))
     per = per.groupBy("word").agg(F.count("*").alias("n"), *[F.sum(f"y_{c}").alias(f"n_{c}") for c in categories])
-    per = per.where(F.col("n") >= MIN_DOCUMENTS)
+    per = per.where(F.col("n") >= max(MIN_DOCUMENTS, n_docs / RARE))
     chosen: set[str] = set()
     for c in categories:
         p, n = max(positives[c], 1), max(n_docs - positives[c], 1)
         a, b = F.col(f"n_{c}") / p, (F.col("n") - F.col(f"n_{c}")) / n
         pooled = F.col("n") / (p + n)
         z = F.abs(a - b) / F.sqrt(pooled * (1 - pooled + 1e-9) * (1 / p + 1 / n))
-        chosen.update(r["word"] for r in per.select("word", z.alias("z")).orderBy(F.desc("z"), "word").limit(FEATURES).collect())
+        chosen.update(r["word"] for r in per.select("word", z.alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").limit(FEATURES).collect())
     return sorted(chosen)
 
 
 def presence(texts: list[bytes], index: dict[bytes, int]) -> list[list[int]]:
     """Places of the selected words that each whole text holds."""
     vocabulary = set(index)
-    return [sorted(index[w] for w in vocabulary.intersection(t.translate(TABLE).split())) for t in texts]
+    return [sorted(index[w] for w in vocabulary.intersection(t.translate(TABLE).split() + t.translate(SIGNS).split())) for t in texts]
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, steps: int = 300, decay: float = 1e-4) -> np.ndarray:
+def fit_linear(x: np.ndarray, y: np.ndarray, steps: int = 300, decay: float = 1e-3) -> np.ndarray:
     """Logistic regression with both classes of equal total weight; the last
     weight is the bias."""
     x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
