@@ -15,8 +15,8 @@ words). Two documents link when 100 * |intersection| >= 85 * |union|, that is
 4. Lists are joined block by block. A block is skipped when its positions leave
    too few shingles for the bound. A pair is skipped when its sets are already
    connected, or when their computed overlaps with a common representative r
-   bound its own: overlap(x, y) <= overlap(r, y) + |x| - overlap(r, x). The
-   remaining pairs are counted exactly.
+   bound its own: overlap(x, y) <= overlap(r, y) + |x| - overlap(r, x), or when
+   their counts by hash class do. The remaining pairs are counted exactly.
 
 No pair is lost: prefixes, sizes, positions and the bound of step 4 are exact
 conditions. Index entries travel as packed arrays by bucket (entries of all
@@ -48,9 +48,11 @@ PERCENT = 85
 SHARED = 16
 #: Common lists from which a representative is tried.
 TRY = 4
+TRIES = 2
 CELL_BITS = 18
 BUCKET_ENTRIES = 500_000
 BLOCK = 128
+CLASSES = 64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -149,12 +151,13 @@ def may_link(nx, px, ny, py):
     return linked(np.minimum(px, py) + np.minimum(nx - px, ny - py), nx, ny)
 
 
-LIST_ROWS = "tok bigint, key bigint, n int, pos int, rep bigint"
+LIST_ROWS = "tok bigint, key bigint, n int, pos int, rep bigint, rep2 bigint"
 
 
 def _lists(t: pa.Table) -> pa.Table:
-    """One bucket: entries of all lists of two sets or more; ``rep`` is the
-    list's representative (least hash of its key) where it may link."""
+    """One bucket: entries of all lists of two sets or more; ``rep`` and
+    ``rep2`` are the list's representatives (least hash of the key, by two
+    hashes) where they may link with the entry."""
     tok, key = _joined(t.column("tok"), np.uint64), _joined(t.column("key"), np.int64)
     n, pos = _joined(t.column("n"), np.int32), _joined(t.column("pos"), np.int32)
     order = np.lexsort((mix(key.astype(np.uint64)), tok))
@@ -163,41 +166,56 @@ def _lists(t: pa.Table) -> pa.Table:
     first[1:] = tok[1:] != tok[:-1]
     run = np.cumsum(first) - 1
     many = np.bincount(run)[run] > 1 if len(run) else np.zeros(0, bool)
-    lead = np.flatnonzero(first)[run]
-    fits = (lead != np.arange(len(tok))) & may_link(*(v.astype(np.int64) for v in (n, pos, n[lead], pos[lead])))
+
+    def against(lead: np.ndarray) -> pa.Array:
+        fits = (lead != np.arange(len(tok))) & may_link(*(v.astype(np.int64) for v in (n, pos, n[lead], pos[lead])))
+        return pa.array(key[lead][many], mask=~fits[many])
+
+    starts = np.flatnonzero(first)
+    second = np.lexsort((mix(~key.astype(np.uint64)), tok))[starts] if len(tok) else starts
     return pa.Table.from_arrays(
         [pa.array(tok[many].view(np.int64)), pa.array(key[many]), pa.array(n[many]), pa.array(pos[many]),
-         pa.array(key[lead][many], mask=~fits[many])], schema=_arrow_schema(LIST_ROWS))
+         against(starts[run]), against(second[run])], schema=_arrow_schema(LIST_ROWS))
+
 
+def signature_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Most shingles two sets can share, from their counts by hash class; a
+    full count (255) stands for any number."""
+    least = np.minimum(a, b)
+    return np.where((least == 255).any(1), np.iinfo(np.int32).max, least.sum(1, dtype=np.int32))
 
-def list_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, rep: np.ndarray, rep_overlap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of one list that must be counted. Entries are cut into
-    blocks by position; a block pair is skipped as a whole when even its best
-    sizes and positions cannot reach the bound."""
+
+def list_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, rep: np.ndarray, rep_overlap: np.ndarray,
+               sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of one list that must be counted. The list's largest
+    component needs no pairs inside, so the other entries probe the whole list.
+    Entries are cut into blocks by position; a block pair is skipped as a whole
+    when even its best sizes and positions cannot reach the bound."""
     order = np.lexsort((n, pos))
     n, pos, comp, rep, ov = (v[order].astype(np.int64) for v in (n, pos, comp, rep, rep_overlap))
+    sig = sig[order]
     left = n - pos
-    edges = list(range(0, len(n), BLOCK))
+    names, size = np.unique(comp, return_counts=True)
+    probing = comp != names[size.argmax()]
+    probes = np.flatnonzero(probing)
     out_i, out_j = [], []
-    for a in edges:
-        i = slice(a, a + BLOCK)
-        for b in edges:
-            if b < a:
-                continue
-            j = slice(b, b + BLOCK)
+    for a in range(0, len(probes), BLOCK):
+        i = probes[a:a + BLOCK]
+        for b in range(0, len(n), BLOCK):
+            j = np.arange(b, min(b + BLOCK, len(n)))
             if not linked(min(pos[i].max(), pos[j].max()) + min(left[i].max(), left[j].max()), n[i].min(), n[j].min()):
                 continue
-            x, y = n[i, None], n[None, j]
-            ok = may_link(x, pos[i, None], y, pos[None, j]) & (comp[i, None] != comp[None, j])
-            same = (rep[i, None] == rep[None, j]) & (rep[i, None] >= 0)
-            ox, oy = ov[i, None], ov[None, j]
-            most = np.minimum(oy + x - ox, ox + y - oy)
-            ok &= ~same | linked(most, x, y)
-            if a == b:
-                ok &= np.arange(ok.shape[0])[:, None] < np.arange(ok.shape[1])[None, :]
+            x, y = n[i][:, None], n[j][None, :]
+            ok = may_link(x, pos[i][:, None], y, pos[j][None, :]) & (comp[i][:, None] != comp[j][None, :])
+            ok &= ~probing[j][None, :] | (i[:, None] < j[None, :])
+            same = (rep[i][:, None] == rep[j][None, :]) & (rep[i][:, None] >= 0)
+            ox, oy = ov[i][:, None], ov[j][None, :]
+            ok &= ~same | linked(np.minimum(oy + x - ox, ox + y - oy), x, y)
             p, q = np.nonzero(ok)
-            out_i.append(order[p + a])
-            out_j.append(order[q + b])
+            p, q = i[p], j[q]
+            good = linked(signature_bound(sig[p], sig[q]).astype(np.int64), n[p], n[q])
+            out_i.append(order[p[good]])
+            out_j.append(order[q[good]])
     none = np.zeros(0, np.int64)
     return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (none, none)
 
@@ -211,13 +229,14 @@ def _cross_pairs(t: pa.Table) -> pa.Table:
     c = {k: t.column(k).to_numpy() for k in ("tok", "key", "n", "pos", "comp", "rep", "rep_overlap")}
     order = np.argsort(c["tok"], kind="stable")
     c = {k: v[order] for k, v in c.items()}
+    sig = _joined(t.column("sig"), np.uint8).reshape(-1, CLASSES)[order]
     edges = np.concatenate([[0], np.flatnonzero(np.diff(c["tok"])) + 1, [len(order)]])
     low, high = np.minimum.reduceat(c["comp"], edges[:-1]), np.maximum.reduceat(c["comp"], edges[:-1])
     found: list[list[np.ndarray]] = [[], [], [], []]
     for k in np.flatnonzero(low != high).tolist():
         part = slice(edges[k], edges[k + 1])
         key, n = c["key"][part], c["n"][part]
-        i, j = list_pairs(*(c[m][part] for m in ("n", "pos", "comp", "rep", "rep_overlap")))
+        i, j = list_pairs(*(c[m][part] for m in ("n", "pos", "comp", "rep", "rep_overlap")), sig[part])
         swap = key[i] > key[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
         for out, v in zip(found, (key[i], key[j], n[i], n[j])):
@@ -235,6 +254,13 @@ def _set_rows(b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([b.column("key"), pa.ListArray.from_arrays(pa.array(starts), pa.array(flat))], ["key", "s"])
 
 
+def _signature_rows(b: pa.RecordBatch) -> pa.RecordBatch:
+    data, offsets = text_buffers(b.column("text"))
+    sigs = [np.minimum(np.bincount((s % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes()
+            for s in shingle_sets(data, offsets)]
+    return pa.RecordBatch.from_arrays([b.column("key"), pa.array(sigs, pa.binary())], ["key", "sig"])
+
+
 def count_overlaps(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """(x, y, nx, ny, overlap) by intersecting the two sets. Only the documents
     of ``pairs`` get their sets built; without pairs no text is read."""
@@ -288,10 +314,13 @@ def component_keys(rows: DataFrame, distinct: bool) -> DataFrame:
     # copies are represented by their leader: their entries go (by narrow key)
     lists = cut_lineage(lists.join(copies, "key", "left_anti"), "jac-lists")
 
-    stars = lists.where(F.col("rep").isNotNull()).groupBy("key", "rep").agg(F.count("*").alias("lists"))
+    reps = lists.select("key", F.explode(F.array_distinct(F.array("rep", "rep2"))).alias("rep"), F.lit(1).alias("w"))
+    stars = reps.where(F.col("rep").isNotNull()).groupBy("key", "rep").agg(F.sum("w").alias("lists"))
     stars = stars.where(F.col("lists") >= TRY).join(facts.select(F.col("key").alias("rep"), "leader"), "rep")
+    # a set tries the two representatives that it shares most lists with
+    best = F.slice(F.sort_array(F.collect_set(F.struct(-F.col("lists"), "leader"))), 1, TRIES)
     stars = cut_lineage(stars.where(F.col("leader") != F.col("key")).groupBy(F.col("key").alias("x")).agg(
-        F.min(F.struct(-F.col("lists"), "leader")).alias("b")).select("x", F.col("b.leader").alias("y")), "jac-stars")
+        best.alias("b")).select("x", F.explode("b.leader").alias("y")).distinct(), "jac-stars")
     # every document of a pair is in as many lists as a pair must share: the
     # texts of all others are left behind here, once
     able = lists.groupBy("key").agg(F.count("*").alias("lists"), F.first("n").alias("n")).where(
@@ -302,10 +331,21 @@ def component_keys(rows: DataFrame, distinct: bool) -> DataFrame:
     links = tried.where(good).select("x", "y")
     comp = components(links, "jac-star")
 
-    related = tried.select(F.col("x").alias("key"), F.col("y").alias("rep"), F.col("overlap").alias("rep_overlap"))
-    known = lists.select("tok", "key", "n", "pos").join(comp, "key", "left").join(related, "key", "left").select(
-        F.pmod("tok", F.lit(n_buckets)).cast("int").alias("bucket"), "tok", "key", "n", "pos",
-        F.coalesce("comp", "key").alias("comp"), F.coalesce("rep", F.lit(-1)).alias("rep"), F.coalesce("rep_overlap", F.lit(0)).alias("rep_overlap"))
+    related = tried.groupBy(F.col("x").alias("key")).agg(F.max(F.struct("overlap", "y")).alias("r")).select(
+        "key", F.col("r.y").alias("rep"), F.col("r.overlap").alias("rep_overlap"))
+    # lists inside one component are done; of the rest only sets remain that
+    # are in as many open lists as a pair must share
+    known = cut_lineage(lists.select("tok", "key", "n", "pos").join(comp, "key", "left").withColumn(
+        "comp", F.coalesce("comp", "key")), "jac-known")
+    open_lists = known.groupBy("tok").agg(F.min("comp").alias("a"), F.max("comp").alias("z")).where("a != z").select("tok")
+    known = cut_lineage(known.join(open_lists, "tok", "left_semi"), "jac-open")
+    enough = known.groupBy("key").agg(F.count("*").alias("lists"), F.first("n").alias("n")).where(
+        F.col("lists") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * PERCENT / 100))).select("key")
+    facts_of = cut_lineage(map_texts(held.join(enough, "key"), _signature_rows, "key bigint, sig binary").join(
+        related, "key", "left"), "jac-signatures")
+    known = known.join(facts_of, "key").select(
+        F.pmod("tok", F.lit(n_buckets)).cast("int").alias("bucket"), "tok", "key", "n", "pos", "comp", "sig",
+        F.coalesce("rep", F.lit(-1)).alias("rep"), F.coalesce("rep_overlap", F.lit(0)).alias("rep_overlap"))
     cross = known.groupBy("bucket").applyInArrow(_cross_pairs, PAIR_ROWS).groupBy("x", "y").agg(
         F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.sum("lists").alias("lists"))
     need = F.least(F.lit(SHARED), F.ceil(F.least("nx", "ny") * PERCENT / 100))

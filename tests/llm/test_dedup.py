@@ -154,7 +154,10 @@ def test_list_pairs_lose_nothing():
     n = rng.integers(20, 60, 400)
     pos = (rng.random(400) * n * 0.3).astype(np.int64)
     comp, none = np.arange(400) // 2, np.full(400, -1)
-    i, j = jaccard_join.list_pairs(n, pos, comp, none, np.zeros(400, np.int64))
+    comp[:60] = 0
+    full = np.full((400, jaccard_join.CLASSES), 255, np.uint8)
+    i, j = jaccard_join.list_pairs(n, pos, comp, none, np.zeros(400, np.int64), full)
+    assert len(set(zip(i.tolist(), j.tolist()))) == len(i)
     got = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())}
     want = {(a, b) for a in range(400) for b in range(a + 1, 400) if comp[a] != comp[b]
             and jaccard_join.may_link(n[a], pos[a], n[b], pos[b])}
