@@ -1,8 +1,8 @@
 """Baselines (B1-B3, B6) and arg-max.
 
 Random draws are seeded hashes of the row key (same answer on every rerun and
-partitioning). The majority label is one tiny aggregate per group, joined
-back on the group key (Spark broadcasts it after measuring it).
+partitioning). The majority label is one tiny aggregate per group, broadcast
+back to the rows after its row count is checked.
 """
 
 from __future__ import annotations
@@ -35,8 +35,11 @@ def majority_labels(train: DataFrame, group=("dataset", "run_id"), label: str =
 
 def with_majority(df: DataFrame, train: DataFrame, group=("dataset", "run_id"), label: str = "label",
                   out: str = "majority_baseline") -> DataFrame:
-    """Attach the train part's majority label to every row of the group."""
-    return df.join(majority_labels(train, group, label, out), list(group), "left")
+    """Attach the train part's majority label to every row of the group (a
+    broadcast of one row per group, behind a check of its row count)."""
+    from ..session import join_small
+
+    return join_small(df, majority_labels(train, group, label, out), list(group), "left")
 
 
 def guard_counts(train: DataFrame, group=("dataset", "run_id"), text: str = "claim", label: str = "label",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..constants import ERROR_EXAMPLES, LENGTH_BIN_NAMES, PREVIEW_CHARS
 from ..functions.text import truncate
+from ..session import cut_lineage, join_small
 
 
 def length_quartile_accuracy(df: DataFrame, keys=("dataset",), text: str = "claim", label: str = "label",
@@ -19,15 +20,17 @@ def length_quartile_accuracy(df: DataFrame, keys=("dataset",), text: str = "clai
     The exact ``percentile`` keeps a value -> count map per group, so its
     memory is bounded by the number of distinct lengths, not by rows."""
     keys = list(keys)
-    lens = df.withColumn("claim_length", F.length(text))
-    edges = lens.groupBy(*keys).agg(F.percentile("claim_length", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-                                    .alias("__q"))
+    # rows are counted per length once; edges and bins use that small table
+    correct = (F.col(label) == F.col(pred)).cast("int")
+    lens = cut_lineage(df.groupBy(*keys, F.length(text).alias("claim_length")).agg(
+        F.count(F.lit(1)).alias("__n"), F.count(correct).alias("__known"), F.sum(correct).alias("__right")), "lengths")
+    edges = lens.where(F.col("claim_length").isNotNull()).groupBy(*keys).agg(
+        F.percentile("claim_length", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("__n")).alias("__q"))
     q = F.col("__q")
     bin_ = (F.when(F.col("claim_length") <= q[0], names[0]).when(F.col("claim_length") <= q[1], names[1])
             .when(F.col("claim_length") <= q[2], names[2]).otherwise(names[3]))
-    correct = (F.col(label) == F.col(pred)).cast("double")
-    return (lens.join(edges, keys).groupBy(*keys, bin_.alias("length_bin"))
-            .agg(F.avg(correct).alias("accuracy"), F.count(F.lit(1)).alias("n")))
+    return (join_small(lens, edges, keys).groupBy(*keys, bin_.alias("length_bin"))
+            .agg((F.sum("__right") / F.sum("__known")).alias("accuracy"), F.sum("__n").alias("n")))
 
 
 def error_examples(df: DataFrame, keys=("dataset",), order: str = "claim_id", text: str = "claim",
@@ -48,17 +51,9 @@ def error_examples(df: DataFrame, keys=("dataset",), order: str = "claim_id", te
                     F.concat(truncate(text, preview), F.lit("...")).alias("preview")))
 
 
-def best_by(df: DataFrame, keys, metric: str = "accuracy", tie: str = "run_id", out_prefix: str = "best") -> DataFrame:
-    """The row with the highest metric per group (first on ties by ``tie``)."""
-    keys = list(keys)
-    key = F.struct(F.col(metric), (-F.col(tie)).alias("__t"))
-    return df.groupBy(*keys).agg(F.max_by(F.col(tie), key).alias(f"{out_prefix}_{tie}"),
-                                 F.max(metric).alias(f"{out_prefix}_{metric}"))
-
-
 def distinct_domains(df: DataFrame, domain: str = "domain", keys=()) -> DataFrame:
-    """Distinct non-null domains (sorted when shown)."""
-    return df.select(*keys, domain).where(F.col(domain).isNotNull()).distinct()
+    """Distinct non-null domains, sorted."""
+    return df.select(*keys, domain).where(F.col(domain).isNotNull()).distinct().orderBy(*keys, domain)
 
 
 def union_datasets(frames: dict[str, DataFrame]) -> DataFrame:

@@ -27,6 +27,7 @@ from ..functions.text import col_of
 
 HASH_DIGITS = 15          # 60-bit order hash
 DEFAULT_BUCKET_BITS = 16
+SALTS = 64
 
 
 def fan_out_runs(df: DataFrame, n_runs: int = N_RUNS, seeds=RUN_SEEDS) -> DataFrame:
@@ -41,10 +42,6 @@ def strata_key(*cols) -> Column:
     return F.concat_ws("_", *[F.coalesce(col_of(c).cast("string"), F.lit("nan")) for c in cols])
 
 
-def _group_cols(group):
-    return [F.col(g) for g in group]
-
-
 def stratified_split(df: DataFrame, by=("domain", "label"), fallback=("label",), test_share: float = TEST_SHARE,
                      seed="seed", key: str = "claim_id", group=("dataset", "run_id"),
                      bucket_bits: int = DEFAULT_BUCKET_BITS, part_col: str = "split",
@@ -57,11 +54,11 @@ def stratified_split(df: DataFrame, by=("domain", "label"), fallback=("label",),
     ``fallback`` key only.
 
     Plan: one partial aggregate over the rows (counts per group, stratum,
-    fallback stratum and hash bucket), then a linear chain of windows over
-    that small table gives, per stratum, the quota, the cut bucket and how
-    many of its rows are taken. The cut table (one row per group x stratum
+    fallback stratum and hash bucket). Sums per stratum give the quotas; a
+    running sum per stratum gives the cut bucket and how many of its rows are
+    taken. The cut table (one row per group x stratum
     pair) is kept in the checkpoint folder and broadcast when its measured row
-    count is at most ``broadcast_max_rows`` (else joined by key). The rows are
+    count is at most ``broadcast_max_rows`` (else joined by key and salt). The rows are
     then read once more: rows outside their cut bucket are assigned by a
     comparison; rows inside it are ranked (a window over a ~1/2**bucket_bits
     slice of the stratum)."""
@@ -79,12 +76,15 @@ def stratified_split(df: DataFrame, by=("domain", "label"), fallback=("label",),
              .withColumn("__s1", strata_key(*by))
              .withColumn("__s2", strata_key(*fallback)))
 
-    counts = keyed.groupBy(*group, "__s1", "__s2", "__b").agg(F.count(F.lit(1)).alias("__n"))
-    cut = cut_lineage(_cut_table(counts, group, test_share))
+    counts = cut_lineage(keyed.groupBy(*group, "__s1", "__s2", "__b").agg(F.count(F.lit(1)).alias("__n")), "buckets")
+    cut = cut_lineage(_cut_table(counts, group, test_share, broadcast_max_rows))
     n_cut = cut.count()  # the materialised table's size decides the join strategy
-    cut_side = F.broadcast(cut) if n_cut <= broadcast_max_rows else cut
-
-    assigned = keyed.join(cut_side, group + ["__s1", "__s2"])
+    if n_cut <= broadcast_max_rows:
+        assigned = keyed.join(F.broadcast(cut), group + ["__s1", "__s2"])
+    else:  # a hot stratum's rows are dealt over SALTS keys
+        salted = cut.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        assigned = keyed.withColumn("__salt", F.pmod(F.col("__h"), F.lit(SALTS)).cast("int")).join(
+            salted, group + ["__s1", "__s2", "__salt"]).drop("__salt")
     outside = (assigned.where(F.col("__b") != F.col("__cut"))
                .withColumn(part_col, F.when(F.col("__b") < F.col("__cut"), "train").otherwise("test")))
     rank_w = Window.partitionBy(*group, "__s").orderBy("__h", key)
@@ -99,50 +99,45 @@ def stratified_split(df: DataFrame, by=("domain", "label"), fallback=("label",),
     return out.drop(*drop)
 
 
-def _cut_table(counts: DataFrame, group: list, test_share: float) -> DataFrame:
+def _cut_table(counts: DataFrame, group: list, test_share: float, small_rows: int) -> DataFrame:
     """(group..., __s1, __s2, __s, __primary, __cut, __take) from the bucket
-    counts, as one linear chain of windows (no branch is evaluated twice).
-    Each step is one projection so the driver analyses the plan few times."""
+    counts. Quotas and the fallback are decided on a table of one row per
+    stratum; only the running sum that finds the cut bucket is at bucket grain,
+    and it is partitioned by stratum."""
+    from ..session import cut_lineage, join_small
+
     col = F.col
     w_g = Window.partitionBy(*group)
-    w_s1 = Window.partitionBy(*group, "__s1")
-    w_s = Window.partitionBy(*group, "__s")
-    w_sb = w_s.orderBy("__b")
-    c = counts.withColumns({"__ns1": F.sum("__n").over(w_s1)})
-    c = c.withColumns({"__tot": F.sum("__n").over(w_g), "__min": F.min("__ns1").over(w_g),
-                       "__k": F.size(F.collect_set("__s1").over(w_g))})
+    # one row per (group, stratum, fallback stratum)
+    c = counts.groupBy(*group, "__s1", "__s2").agg(F.sum("__n").alias("__n"))
+    c = c.withColumns({"__tot": F.sum("__n").over(w_g), "__ns1": F.sum("__n").over(Window.partitionBy(*group, "__s1")),
+                       "__lead": F.row_number().over(Window.partitionBy(*group, "__s1").orderBy("__s2"))})
+    c = c.withColumns({"__min": F.min("__ns1").over(w_g), "__k": F.sum((col("__lead") == 1).cast("int")).over(w_g)})
     ntest = F.ceil(F.lit(float(test_share)) * col("__tot")).cast("bigint")
     ntrain = col("__tot") - ntest
     primary = (col("__min") >= 2) & (ntest >= col("__k")) & (ntrain >= col("__k"))
     c = c.withColumns({"__ntrain": ntrain, "__primary": primary})
-    c = c.withColumns({"__s": F.when(col("__primary"), col("__s1")).otherwise(col("__s2"))})
-    # per final stratum: size, rows up to and including this bucket, rows of this bucket, one marker row
-    c = c.withColumns({
-        "__ns": F.sum("__n").over(w_s),
-        "__incl": F.sum("__n").over(w_sb.rangeBetween(Window.unboundedPreceding, 0)),
-        "__bn": F.sum("__n").over(w_sb.rangeBetween(0, 0)),
-        "__first": F.row_number().over(w_s.orderBy("__b", "__s1", "__s2")) == 1,
-    })
+    c = cut_lineage(c.withColumn("__s", F.when(col("__primary"), col("__s1")).otherwise(col("__s2")))
+                    .select(*group, "__s1", "__s2", "__s", "__primary", "__n", "__ntrain", "__tot"), "strata")
+
     # largest-remainder quota; n_train * N_s overflows bigint at 1e11 rows: exact decimal(38,0)
-    num = col("__ntrain").cast("decimal(38,0)") * col("__ns").cast("decimal(38,0)")
-    tot = col("__tot").cast("decimal(38,0)")
-    floor = (num / tot).cast("decimal(38,0)")  # decimal division rounds; fixed below
-    c = c.withColumns({"__num": num})
-    c = c.withColumns({"__floor": F.expr("__num div cast(__tot as decimal(38,0))").cast("bigint")})
-    c = c.withColumns({"__rem": col("__num") - col("__floor").cast("decimal(38,0)") * tot})
-    c = c.withColumns({
-        "__need": col("__ntrain") - F.sum(F.when(col("__first"), col("__floor"))).over(w_g),
-        "__rank": F.dense_rank().over(w_g.orderBy(F.desc("__rem"), F.asc("__s"))),
-    })
-    quota = col("__floor") + F.when(col("__rank") <= col("__need"), 1).otherwise(0)
-    before = col("__incl") - col("__bn")
-    is_cut = (before < quota) & (quota <= col("__incl"))
-    c = c.withColumns({
-        "__cut": F.coalesce(F.max(F.when(is_cut, col("__b"))).over(w_s), F.lit(-1).cast("bigint")),
-        "__take": F.coalesce(F.max(F.when(is_cut, quota - before)).over(w_s), F.lit(0).cast("bigint")),
-    })
-    del floor
-    return c.select(*group, "__s1", "__s2", "__s", "__primary", "__cut", "__take").distinct()
+    q = c.groupBy(*group, "__s").agg(F.sum("__n").alias("__ns"), F.first("__ntrain").alias("__ntrain"), F.first("__tot").alias("__tot"))
+    q = q.withColumn("__num", col("__ntrain").cast("decimal(38,0)") * col("__ns").cast("decimal(38,0)"))
+    q = q.withColumn("__floor", F.expr("__num div cast(__tot as decimal(38,0))").cast("bigint"))
+    q = q.withColumn("__rem", col("__num") - col("__floor").cast("decimal(38,0)") * col("__tot").cast("decimal(38,0)"))
+    q = q.withColumns({"__need": col("__ntrain") - F.sum("__floor").over(w_g),
+                       "__rank": F.row_number().over(w_g.orderBy(F.desc("__rem"), F.asc("__s")))})
+    q = q.select(*group, "__s", (col("__floor") + F.when(col("__rank") <= col("__need"), 1).otherwise(0)).alias("__quota"))
+
+    strata = join_small(c.select(*group, "__s1", "__s2", "__s", "__primary"), q, [*group, "__s"], limit=small_rows)
+    b = join_small(counts, strata, [*group, "__s1", "__s2"], limit=small_rows)
+    b = b.groupBy(*group, "__s", "__b", "__quota").agg(F.sum("__n").alias("__bn"))
+    b = b.withColumn("__incl", F.sum("__bn").over(Window.partitionBy(*group, "__s").orderBy("__b")))
+    b = b.where((col("__incl") - col("__bn") < col("__quota")) & (col("__quota") <= col("__incl")))
+    b = b.select(*group, "__s", col("__b").alias("__cut"), (col("__quota") - col("__incl") + col("__bn")).alias("__take"))
+    return strata.join(b, [*group, "__s"], "left").select(
+        *group, "__s1", "__s2", "__s", "__primary",
+        F.coalesce("__cut", F.lit(-1).cast("bigint")).alias("__cut"), F.coalesce("__take", F.lit(0).cast("bigint")).alias("__take"))
 
 
 def label_split(df: DataFrame, label: str = "label", test_share: float = TEST_SHARE, seed=42,

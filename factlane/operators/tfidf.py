@@ -30,6 +30,8 @@ TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 # Encoder tokens: words, and every other visible character on its own.
 ENCODER_TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\x09-\x0D \p{L}\p{N}_]"
 BIAS_SCALE = 100.0
+# Groups (dataset x run) of one joint fit; more groups take further fits.
+GROUPS_PER_FIT = 500
 # Special token ids of the encoder.
 PAD_ID, UNK_ID, CLS_ID, SEP_ID = 0, 1, 2, 3
 N_SPECIAL = 4
@@ -79,8 +81,14 @@ def fit_vocabulary(train_rows: DataFrame, terms: DataFrame, group=("dataset", "r
                    max_features: int = TFIDF_MAX_FEATURES) -> DataFrame:
     """(group..., term, total, df, rank, index, idf) per training part."""
     group = list(group)
-    stats = (train_rows.select(*group, key).join(terms, key)
-             .groupBy(*group, "term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")))
+    # the groups of a claim travel as one array and terms are first counted per
+    # set of groups, so the exploded terms are not multiplied by the runs
+    member = train_rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*group))).alias("__in"))
+    per_set = (member.join(terms, key).groupBy("__in", "term")
+               .agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")))
+    stats = (per_set.select(F.explode("__in").alias("__g"), "term", "total", "df")
+             .groupBy(*[F.col(f"__g.{g}").alias(g) for g in group], "term")
+             .agg(F.sum("total").alias("total"), F.sum("df").alias("df")))
     w = Window.partitionBy(*group).orderBy(F.desc("total"), F.asc("term"))
     top = stats.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_features)
     n_docs = train_rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n_docs"))
@@ -110,19 +118,15 @@ def _group_tag(group) -> Column:
     return F.concat_ws("#", *[F.col(g).cast("string") for g in group])
 
 
-def joint_features(rows: DataFrame, vocab: DataFrame, group=("dataset", "run_id"), text: str = "claim",
-                   max_vocab_rows: int = 2_000_000):
+def joint_features(rows: DataFrame, vocab: DataFrame, group=("dataset", "run_id"), text: str = "claim"):
     """MLlib feature vectors for ``rows``: block-per-group TF-IDF (L2) plus a
-    per-group bias. The vocabulary (at most max_features x groups rows) is
-    read to the driver to build the transformers; its size is checked first."""
+    per-group bias. The transformers hold ``vocab`` on the driver: callers pass
+    the groups of one fit (``GROUPS_PER_FIT`` x max_features rows at most)."""
     from pyspark.ml import PipelineModel
     from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
     from pyspark.ml.linalg import Vectors
 
     group = list(group)
-    n_vocab = vocab.count()
-    if n_vocab > max_vocab_rows:
-        raise ValueError(f"vocabulary has {n_vocab} rows, above the limit of {max_vocab_rows}")
     entries = (vocab.select(_group_tag(group).alias("g"), "term", "index", "idf")
                .orderBy("g", "index").collect())
     tokens = [f"{r['g']}|{r['term']}" for r in entries]
@@ -146,29 +150,43 @@ def joint_features(rows: DataFrame, vocab: DataFrame, group=("dataset", "run_id"
 def tfidf_lr_baseline(train: DataFrame, test: DataFrame, group=("dataset", "run_id"), text: str = "claim",
                       label: str = "label", key: str = "claim_id", out: str = "tfidf_baseline",
                       min_rows: int = 10, max_features: int = TFIDF_MAX_FEATURES,
-                      max_iter: int = LR_MAX_ITER) -> DataFrame:
+                      max_iter: int = LR_MAX_ITER, claims: DataFrame | None = None) -> DataFrame:
     """B5 + B6: fit TF-IDF + L2 logistic regression on each group's train part,
-    predict its test part. Groups with fewer than ``min_rows`` valid train rows
+    predict its test part. ``claims`` (key, text) holds each text once, so terms
+    are taken before the fan-out to runs. Groups with fewer than ``min_rows`` valid train rows
     get the majority label (column ``majority_baseline`` of ``test``)."""
     from pyspark.ml.classification import LogisticRegression
 
+    from ..session import cut_lineage, join_small
+    from .baselines import guard_counts
+
     group = list(group)
-    terms = term_frequencies(train.select(key, text).unionByName(test.select(key, text)).dropDuplicates([key]),
-                             key, text)
-    vocab = fit_vocabulary(train, terms, group, key, max_features)
-    train_f = joint_features(train.where(F.col(label).isNotNull()), vocab, group, text)
-    n = train_f.count()
-    lr = LogisticRegression(featuresCol="features", labelCol=label, predictionCol="__pred", fitIntercept=False,
-                            regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False,
-                            maxIter=max_iter, tol=LR_TOLERANCE)
-    model = lr.fit(train_f.withColumn(label, F.col(label).cast("double")))
-    scored = (model.transform(joint_features(test, vocab, group, text))
-              .drop("features", "rawPrediction", "probability"))
-    guard = train.groupBy(*group).agg(F.count_if(F.col(label).isNotNull()).alias("__valid"))
-    scored = scored.join(guard, group, "left")
-    pred = F.when(F.coalesce(F.col("__valid"), F.lit(0)) < min_rows, F.col("majority_baseline")).otherwise(
-        F.col("__pred").cast("int"))
-    return scored.withColumn(out, pred.cast("int")).drop("__pred", "__valid")
+    if claims is None:
+        claims = train.select(key, text).unionByName(test.select(key, text)).dropDuplicates([key])
+    vocab = cut_lineage(fit_vocabulary(train, term_frequencies(claims, key, text), group, key, max_features), "vocabulary")
+    guard = guard_counts(train, group, text, label, min_rows).select(*group, F.col("use_majority").alias("__guard"))
+    tags = vocab.select(*group).distinct()
+    n_blocks = max(1, -(-tags.count() // GROUPS_PER_FIT))
+    block = F.pmod(F.xxhash64(*group), F.lit(n_blocks)) if n_blocks > 1 else F.lit(0)
+    scored = None
+    for k in range(n_blocks):  # groups are independent: one joint fit per block of them
+        part = vocab.where(block == k)
+        train_f = joint_features(train.where(block == k).where(F.col(label).isNotNull()), part, group, text)
+        n = train_f.count()
+        out_k = test.where(block == k)
+        if n:
+            lr = LogisticRegression(featuresCol="features", labelCol=label, predictionCol="__pred", fitIntercept=False,
+                                    regParam=1.0 / n, elasticNetParam=0.0, standardization=False,
+                                    maxIter=max_iter, tol=LR_TOLERANCE)
+            model = lr.fit(train_f.withColumn(label, F.col(label).cast("double")))
+            out_k = (model.transform(joint_features(out_k, part, group, text))
+                     .drop("features", "rawPrediction", "probability"))
+        else:
+            out_k = out_k.withColumn("__pred", F.lit(None).cast("double"))
+        scored = out_k if scored is None else scored.unionByName(out_k)
+    scored = join_small(scored, guard, group, "left")
+    pred = F.when(F.coalesce(F.col("__guard"), F.lit(True)), F.col("majority_baseline")).otherwise(F.col("__pred").cast("int"))
+    return scored.withColumn(out, pred.cast("int")).drop("__pred", "__guard")
 
 
 # ---- token encoding (B8) -------------------------------------------------------
@@ -190,9 +208,8 @@ def encode_tokens(docs: DataFrame, vocab: DataFrame, key: str = "claim_id", text
     """(key, input_ids, attention_mask) of length ``max_length``: CLS, the
     first max_length - 2 token ids (UNK when unknown), SEP, PAD to length."""
     body = max_length - 2
-    pos = (docs.select(key, F.posexplode(F.regexp_extract_all(F.lower(col_of(text)),
-                                                              F.lit(ENCODER_TOKEN_PATTERN), 0)).alias("pos", "token"))
-           .where(F.col("pos") < body))
+    tokens = F.slice(F.regexp_extract_all(F.lower(col_of(text)), F.lit(ENCODER_TOKEN_PATTERN), 0), 1, body)
+    pos = docs.select(key, F.posexplode(tokens).alias("pos", "token"))
     ids = (pos.join(F.broadcast(vocab), "token", "left")
            .withColumn("id", F.coalesce(F.col("id"), F.lit(UNK_ID)))
            .groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("__p")))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..operators.baselines import keyword_baseline, majority_labels, random_baseline, with_majority
+from ..operators.baselines import keyword_baseline, random_baseline, with_majority
 from ..operators.clean import clean_claims
 from ..operators.metrics import long_predictions, metric_records, metrics_table
 from ..operators.parsing import confidence_level, structured_label
@@ -78,7 +78,8 @@ def split_results(claims: DataFrame, n_runs: int = K.N_RUNS, seeds=K.RUN_SEEDS,
     if with_tfidf:
         from ..operators.tfidf import tfidf_lr_baseline
         text = clean_claims(claims) if clean else claims
-        test = tfidf_lr_baseline(with_claim_text(train, text), with_claim_text(test, text))
+        test = tfidf_lr_baseline(with_claim_text(train, text), with_claim_text(test, text),
+                                 claims=text.select("claim_id", "claim"))
     return test
 
 
@@ -92,13 +93,12 @@ def full_results(claims: DataFrame, n_runs: int = K.N_RUNS, seeds=K.RUN_SEEDS, a
     if answers is None:
         answers = simulated_structured_answer(simulated_prediction("label", "seed", "claim_id"), "seed", "claim_id")
     runs = runs.withColumn("answer", answers)
-    majority = majority_labels(claims, group=("dataset",))
+    runs = with_majority(runs, claims, group=("dataset",))
     return (runs.withColumn("prediction", structured_label("answer"))
             .withColumn("confidence", confidence_level("answer"))
             .withColumn("reasoning", F.col("answer"))
             .withColumn("random_baseline", random_baseline("claim_id", F.col("seed")))
-            .withColumn("keyword_baseline", keyword_baseline("claim", keywords))
-            .join(majority, ["dataset"], "left"))
+            .withColumn("keyword_baseline", keyword_baseline("claim", keywords)))
 
 
 def answered(results: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ FULL_CONDITIONS = {"prediction": K.MODEL_CONDITION, "random_baseline": "Random",
 
 
 def run_split_evaluation(claims: DataFrame, out_dir: str, n_runs: int = K.N_RUNS, seeds=K.RUN_SEEDS,
-                         by=("domain", "label"), prediction=None, with_tfidf: bool = False) -> dict[str, str]:
+                         by=("domain", "label"), prediction=None, with_tfidf: bool = True) -> dict[str, str]:
     """The split evaluation end to end. Test-part results are written
     partitioned by dataset and run (one directory each, prunable); every
     report is then computed from that table: metric records and domain rows,

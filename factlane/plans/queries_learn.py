@@ -32,32 +32,6 @@ SQL_TERMS = f"""
 
 SQL_TFIDF_BASE = [sql_clean_claims(), sql_runs(), sql_split("clean"), SQL_TERMS]
 
-# Model predictions written once per session and input folder, read by every
-# query that reports on them (a fitted model is not refitted per report).
-_STORED: dict = {}
-
-
-def stored(spark, sf_dir, name, build):
-    """Read the stored table of (session, sf_dir, name), or build and write it
-    into the shared checkpoint folder first."""
-    import uuid
-
-    from pyspark.errors import AnalysisException
-
-    from ..session import scratch_path
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    path = _STORED.get(key)
-    if path is not None:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException:  # removed since: build again
-            pass
-    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
-    build().write.parquet(path)
-    _STORED[key] = path
-    return spark.read.parquet(path)
-
-
 def _tfidf_inputs(spark, sf_dir):
     claims = claims_of(spark, sf_dir)
     parts = E.split_parts(claims)
@@ -97,8 +71,7 @@ def b5_tfidf_lr(spark, sf_dir):
 
 
 def _tfidf_results(spark, sf_dir):
-    return stored(spark, sf_dir, "tfidf-results",
-                  lambda: E.split_results(claims_of(spark, sf_dir), with_tfidf=True))
+    return E.split_results(claims_of(spark, sf_dir), with_tfidf=True)
 
 
 @query("b5_tfidf_lr_metrics")
@@ -108,6 +81,16 @@ def b5_tfidf_lr_metrics(spark, sf_dir):
     return rounded(records.select("dataset", "condition", "run_id", "accuracy", "f1_score", "n_samples"))
 
 
+@query("a5_tfidf_tests")
+def a5_tfidf_tests(spark, sf_dir):
+    """A5 + A10 with the TF-IDF+LR baseline as a third condition."""
+    from ..operators import runstats as A
+    from ..session import cut_lineage
+
+    _, records = E.run_metrics(_tfidf_results(spark, sf_dir), {**E.SPLIT_CONDITIONS, "tfidf_baseline": "TF-IDF+LR"})
+    return rounded(A.one_sample_tests(cut_lineage(records, "records")))
+
+
 ENC_LEN = K.ENCODER_MAX_LENGTH
 
 
@@ -143,10 +126,8 @@ def b9_text_classifier(spark, sf_dir):
     a separate validation part by macro F1, predictions for the test part."""
     from ..operators.classifier import train_text_classifier
 
-    def build():
-        claims = clean_claims(claims_of(spark, sf_dir))
-        return train_text_classifier(label_split(claims, seed=42))
-    return stored(spark, sf_dir, "classifier-predictions", build)
+    claims = clean_claims(claims_of(spark, sf_dir))
+    return train_text_classifier(label_split(claims, seed=42))
 
 
 @query("b9_classifier_metrics")

@@ -15,6 +15,7 @@ from ..operators import runstats as A
 from ..operators.clean import clean_claims
 from ..operators.splits import fan_out_runs
 from ..sources import tables
+from ..session import cut_lineage
 from . import evaluation as E
 from .queries_eval import (SQL_ANSWERS, SQL_POOLED, SQL_RUN0, SQL_SPLIT_MET, answers_frame, claims_of,
                            first_run_answered, split_table)
@@ -123,7 +124,7 @@ SELECT dataset, baseline, n_runs, round(model_mean, 6) AS model_mean, round(base
 FROM jp""")
 def a5_one_sample_ttest(spark, sf_dir):
     """A5 + A7 + A10: model runs vs each baseline: improvement, t, p, stars."""
-    return rounded(A.one_sample_tests(split_records(spark, sf_dir)))
+    return rounded(A.one_sample_tests(cut_lineage(split_records(spark, sf_dir), "records")))
 
 
 def full_answered(spark, sf_dir):
@@ -262,8 +263,8 @@ SELECT m.dataset, m.run_id, round(m.accuracy, 6) AS model_accuracy, b.condition
 FROM (SELECT * FROM rec WHERE condition = 'Model') m
 JOIN (SELECT * FROM rec WHERE condition <> 'Model') b ON m.dataset = b.dataset""")
 def j4_model_vs_baseline(spark, sf_dir):
-    """Run-level model metrics paired with the dataset's baseline records."""
-    rec = split_records(spark, sf_dir)
+    """Run-level model metrics paired with the dataset's baseline records (written once: both sides read them)."""
+    rec = cut_lineage(split_records(spark, sf_dir), "records")
     m = rec.where(F.col("condition") == K.MODEL_CONDITION).select("dataset", "run_id",
                                                                   F.col("accuracy").alias("model_accuracy"))
     b = rec.where(F.col("condition") != K.MODEL_CONDITION).select(

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "factlane") -> SparkSession:
@@ -31,14 +32,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder. The cluster names it in
-    ``spark.checkpoint.dir``; only when nothing is set (a local test) a fresh
-    scratch folder is used."""
+    ``spark.checkpoint.dir``. Only in a local session (one machine) that sets
+    nothing a fresh scratch folder is used; on a cluster each executor would
+    write to its own disk, so that is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="factlane-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -61,3 +65,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+#: Tables of at most this many rows are broadcast by ``join_small``.
+SMALL_ROWS = 100_000
+
+
+def join_small(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", limit: int = SMALL_ROWS) -> DataFrame:
+    """Join a per-group table (one row per key) to many rows. The table is
+    written first and its rows are counted: up to ``limit`` it is broadcast, so
+    ``df`` is not shuffled by a few hot keys; beyond, the keys are many and the
+    join is left to Spark (adaptive skew handling splits hot ones)."""
+    small = cut_lineage(small, "small")
+    return df.join(F.broadcast(small) if small.count() <= limit else small, keys, how)

@@ -34,5 +34,5 @@ def test_split_evaluation_job(spark, tmp_path):
     assert {r[0] for r in results.select("run_id").distinct().collect()} == set(range(5))
     assert spark.read.parquet(paths["results"]).where("dataset = 'UGC' AND run_id = 0").count() > 0
     rec = spark.read.parquet(paths["records"])
-    assert {r["condition"] for r in rec.collect()} <= {"Model", "Random", "Majority"}
+    assert {r["condition"] for r in rec.collect()} == {"Model", "Random", "Majority", "TF-IDF+LR"}
     assert spark.read.parquet(paths["final_report"]).count() == 2
