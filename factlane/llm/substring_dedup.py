@@ -209,18 +209,25 @@ def _window_rows(n_buckets: int):
     return batch
 
 
+START_ROWS = "key bigint, start int"
+
+
 def _later_starts(t: pa.Table) -> pa.Table:
-    """One bucket: (key, starts) of all entries but the earliest of each hash."""
-    rows = t.filter(pc.is_valid(t.column("doc"))).select(["doc", "starts"]).rename_columns(["key", "starts"])
+    """One bucket: (key, start) of all entries but the earliest of each hash,
+    and of the starts known from their own block. One row per start, so the
+    rows follow the repeats and not the number of buckets."""
+    known = t.filter(pc.is_valid(t.column("doc"))).select(["doc", "starts"])
+    parts = [np.frombuffer(v, np.int32) for v in known.column("starts").to_pylist()]
+    keys = np.repeat(known.column("doc").to_numpy(), [len(v) for v in parts]) if parts else np.zeros(0, np.int64)
     h1, h2 = _joined(t.column("h1"), np.uint64), _joined(t.column("h2"), np.uint64)
     key, start = _joined(t.column("key"), np.int64), _joined(t.column("start"), np.int32)
     order = np.lexsort((start, key, h2, h1))
     h1, h2, key, start = h1[order], h2[order], key[order], start[order]
     later = np.zeros(len(h1), bool)
     later[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
-    found = _grouped_bytes(key[later], start[later])
-    schema = _arrow_schema("key bigint, starts binary")
-    return pa.concat_tables([rows.cast(schema), pa.Table.from_pylist([{"key": k, "starts": v} for k, v in found.items()], schema=schema)])
+    key, start = np.concatenate([keys.astype(np.int64), key[later]]), np.concatenate([*parts, start[later]]).astype(np.int32)
+    order = np.lexsort((start, key))
+    return pa.Table.from_arrays([pa.array(key[order]), pa.array(start[order])], schema=_arrow_schema(START_ROWS))
 
 
 # --- step 3: removal --------------------------------------------------------------
@@ -230,10 +237,9 @@ def _removal(b: pa.RecordBatch) -> pa.RecordBatch:
     for text, parts in zip(b.column("text").to_pylist(), b.column("starts").to_pylist()):
         words = (text or "").encode().split()
         cover = np.zeros(len(words) + 1, np.int32)
-        for p in parts or []:
-            s = np.frombuffer(p, np.int32)
-            np.add.at(cover, s, 1)
-            np.add.at(cover, s + WINDOW, -1)
+        s = np.array(parts, np.int64)
+        cover += np.bincount(s, minlength=len(cover)).astype(np.int32)
+        cover -= np.bincount(s + WINDOW, minlength=len(cover)).astype(np.int32)
         gone = np.cumsum(cover[:-1]) > 0
         removed.append(int(gone.sum()))
         shas.append(hashlib.sha256(b" ".join(w for w, g in zip(words, gone.tolist()) if not g)).hexdigest())
@@ -262,8 +268,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     marks = step1.where(F.col("marks").isNotNull()).groupBy("key").agg(F.collect_list("marks").alias("marks"))
     marks = marks.join(facts.where("copy").select("key"), "key", "left_anti")
     held = cut_lineage(unique.join(marks, "key"), "sub-candidates")
-    starts = map_texts(held, _window_rows(n2), WINDOW_ROWS).groupBy("bucket").applyInArrow(_later_starts, "key bigint, starts binary")
-    starts = starts.groupBy("key").agg(F.collect_list("starts").alias("starts"))
+    starts = map_texts(held, _window_rows(n2), WINDOW_ROWS).groupBy("bucket").applyInArrow(_later_starts, START_ROWS)
+    starts = starts.groupBy("key").agg(F.collect_list("start").alias("starts"))
     removed = map_texts(held.select("key", "text").join(starts, "key"), _removal, "key bigint, n_removed bigint, kept_sha256 string")
 
     out = facts.join(removed, "key", "left").select(
