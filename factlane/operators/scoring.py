@@ -61,6 +61,13 @@ def _score_one(scorer: Scorer, p, s, retries: int, sentinel):
     return sentinel
 
 
+def attach_answers(rows: DataFrame, answers: DataFrame, keys=("dataset", "run_id", "claim_id"),
+                   answer: str = "answer") -> DataFrame:
+    """A model's answers, keyed by (dataset, run, claim), left-joined to the
+    rows of every run; a row without an answer has null."""
+    return rows.join(answers.select(*keys, answer), list(keys), "left")
+
+
 def _md5_int(seed, prompt) -> int:
     text = f"{seed}|{'' if prompt is None else prompt}"
     return int(hashlib.md5(text.encode("utf-8")).hexdigest()[:8], 16)

@@ -23,8 +23,8 @@ from .. import constants as K
 from ..operators.baselines import keyword_baseline, random_baseline, with_majority
 from ..operators.clean import clean_claims
 from ..operators.metrics import long_predictions, metric_records, metrics_table
-from ..operators.parsing import confidence_level, structured_label
-from ..operators.scoring import simulated_prediction, simulated_structured_answer
+from ..operators.parsing import confidence_level, lenient_label, structured_label
+from ..operators.scoring import attach_answers, simulated_prediction, simulated_structured_answer
 from ..operators.splits import fan_out_runs, stratified_split
 from ..session import cut_lineage
 
@@ -66,13 +66,18 @@ def split_results(claims: DataFrame, n_runs: int = K.N_RUNS, seeds=K.RUN_SEEDS,
                   prediction=None, with_tfidf: bool = False, clean: bool = True) -> DataFrame:
     """Results of the split evaluation (test rows only): dataset, claim_id,
     domain, label, run_id, seed, split, prediction, random_baseline,
-    majority_baseline (+ tfidf_baseline). Text is attached by the caller
+    majority_baseline (+ tfidf_baseline; + answer when ``prediction`` is a
+    DataFrame of answers keyed by dataset, run_id, claim_id). Text is attached by the caller
     (``with_claim_text``) where a step needs it."""
     parts = split_parts(claims, n_runs, seeds, by, clean)
     train = parts.where(F.col("split") == "train")
     test = parts.where(F.col("split") == "test")
-    pred = prediction if prediction is not None else simulated_prediction("label", "seed", "claim_id")
-    test = (test.withColumn("prediction", pred)
+    if isinstance(prediction, DataFrame):
+        test = attach_answers(test, prediction).withColumn("prediction", lenient_label("answer"))
+    else:
+        test = test.withColumn("prediction", prediction if prediction is not None
+                               else simulated_prediction("label", "seed", "claim_id"))
+    test = (test
             .withColumn("random_baseline", random_baseline("claim_id", K.BASELINE_SEED)))
     test = with_majority(test, train)
     if with_tfidf:
@@ -92,7 +97,7 @@ def full_results(claims: DataFrame, n_runs: int = K.N_RUNS, seeds=K.RUN_SEEDS, a
     runs = fan_out_runs(claims, n_runs, seeds)
     if answers is None:
         answers = simulated_structured_answer(simulated_prediction("label", "seed", "claim_id"), "seed", "claim_id")
-    runs = runs.withColumn("answer", answers)
+    runs = attach_answers(runs, answers) if isinstance(answers, DataFrame) else runs.withColumn("answer", answers)
     runs = with_majority(runs, claims, group=("dataset",))
     return (runs.withColumn("prediction", structured_label("answer"))
             .withColumn("confidence", confidence_level("answer"))

@@ -517,16 +517,56 @@ def g17_baselines_once_full(spark, sf_dir):
 
 # ---- row-level flags (P10-P16) -----------------------------------------------
 
-@query("p9_clean_report", sql_with(sql_claims()) + f"""
+# Claims of some ids are blanked or nulled, labels of others nulled, so that
+# every reason for removal occurs.
+SQL_DAMAGED = """
+    damaged AS (
+      SELECT dataset, claim_id, domain,
+             CASE claim_id % 10 WHEN 3 THEN ' ' || chr(10) WHEN 4 THEN NULL ELSE claim END AS claim,
+             CASE claim_id % 10 WHEN 5 THEN NULL ELSE label END AS label
+      FROM claims)"""
+
+
+def damaged_claims(spark, sf_dir):
+    digit = F.col("claim_id") % 10
+    return (claims_of(spark, sf_dir)
+            .withColumn("claim", F.when(digit == 3, " \n").when(digit != 4, F.col("claim")))
+            .withColumn("label", F.when(digit != 5, F.col("label"))))
+
+
+@query("p9_clean_report", sql_with(sql_claims(), SQL_DAMAGED) + f"""
 SELECT dataset, count(*) AS before,
        count(*) FILTER (WHERE claim IS NOT NULL AND label IS NOT NULL AND domain IS NOT NULL
                         AND {sql_strip('claim')} <> '') AS after,
        count(*) - count(*) FILTER (WHERE claim IS NOT NULL AND label IS NOT NULL AND domain IS NOT NULL
                         AND {sql_strip('claim')} <> '') AS removed
-FROM claims GROUP BY dataset""")
+FROM damaged GROUP BY dataset""")
 def p9_clean_report(spark, sf_dir):
     from ..operators.clean import clean_report
-    return clean_report(claims_of(spark, sf_dir))
+    return clean_report(damaged_claims(spark, sf_dir))
+
+
+@query("g8_scored_answers", sql_with(*sql_split_results()) + f""",
+    scored AS (
+      SELECT t.dataset, t.run_id, t.label,
+             {{answer}} AS answer
+      FROM split t JOIN runs r USING (run_id) WHERE t.split = 'test'),
+    parsed AS (SELECT dataset, run_id, label, {sql_lenient('answer')} AS prediction FROM scored)
+SELECT dataset, run_id, count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn,
+       count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp, count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn,
+       count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp
+FROM parsed WHERE prediction IS NOT NULL AND label IS NOT NULL GROUP BY dataset, run_id""".replace("{answer}", (
+    f"{_sql_template_list(ANSWER_TEMPLATES)}[{_py_md5_sql('r.seed', SQL_SHORT_PROMPT)} % {len(ANSWER_TEMPLATES)} + 1]")))
+def g8_scored_answers(spark, sf_dir):
+    """R1 -> R4 -> J1 -> R6 -> G8: prompts of all runs scored in batches, the
+    answers joined to the test rows, parsed, and counted against the labels."""
+    claims = claims_of(spark, sf_dir)
+    runs = S.fan_out_runs(clean_claims(claims))
+    prompts = runs.select("dataset", "run_id", "seed", "claim_id", R.short_prompt().alias("prompt"))
+    answers = cut_lineage(score_batches(prompts, lambda: TemplateScorer(ANSWER_TEMPLATES)), "answers")
+    _, records = E.run_metrics(E.split_results(claims, prediction=answers), {"prediction": K.MODEL_CONDITION},
+                               per_domain=False)
+    return records.select("dataset", "run_id", "tn", "fp", "fn", "tp")
 
 
 @query("p10_drop_unanswered", sql_with(*sql_split_results()) + """
@@ -565,12 +605,13 @@ def p15_result_columns(spark, sf_dir):
 
 
 @query("p16_missing_claim", """
-SELECT l.doc_id AS claim_id, CASE WHEN d.text IS NULL THEN NULL ELSE 1 END AS scored
+SELECT l.doc_id AS claim_id, CASE WHEN d.text IS NULL OR l.doc_id % 7 = 0 THEN NULL ELSE 1 END AS scored
 FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id""")
 def p16_missing_claim(spark, sf_dir):
     """A label whose document (claim) is missing is not scored."""
     from ..operators.clean import skip_missing_claim
     labels = tables.load(spark, sf_dir, "labels").select("doc_id")
-    docs = tables.load(spark, sf_dir, "documents").select("doc_id", "text")
+    # the claims of some ids are missing
+    docs = tables.load(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("text"))
     j = labels.join(docs, "doc_id", "left")
     return j.select(F.col("doc_id").alias("claim_id"), skip_missing_claim(F.lit(1), "text").alias("scored"))

@@ -127,13 +127,14 @@ def s6_claim_lines(spark, sf_dir):
 
 
 @query("s8_partitioned_results", sql_with(sql_claims()) + """
-SELECT claim_id, label, domain, dataset FROM claims WHERE dataset = 'UGC'""")
+SELECT claim_id, label, domain, dataset FROM claims""")
 def s8_partitioned_results(spark, sf_dir):
-    """Results written partitioned by dataset, read back with partition pruning."""
+    """Results written partitioned by dataset, each partition read back with pruning."""
     claims = tables.evaluation_claims(spark, sf_dir).select("claim_id", "label", "domain", "dataset")
     path = scratch_path(spark, f"parts-{uuid.uuid4().hex}")
     sinks.write_partitioned(claims, path, keys=("dataset",))
-    return spark.read.parquet(path).where(F.col("dataset") == "UGC")
+    parts = [spark.read.parquet(path).where(F.col("dataset") == d) for d in ("UGC", "NGC")]
+    return parts[0].unionByName(parts[1])
 
 
 @query("s9_load_summary", sql_with(sql_claims()) + """
@@ -155,7 +156,7 @@ def s9_load_summary(spark, sf_dir):
 @query("p2_language_filter", f"SELECT doc_id, source FROM documents WHERE {SQL_P2}")
 def p2_language_filter(spark, sf_dir):
     """Non-empty text whose language list holds the code."""
-    p = doc_posts(spark, sf_dir)
+    p = tables.document_posts(spark, sf_dir)  # all languages: the rule rejects
     return p.where(C.has_text_in_language("text", "langs", DOC_LANG)).select(
         F.col("post_id").alias("doc_id"), F.regexp_replace("filename", r"\.jsonl$", "").alias("source"))
 
