@@ -171,9 +171,11 @@ def tfidf_lr_baseline(train: DataFrame, test: DataFrame, group=("dataset", "run_
     scored = None
     for k in range(n_blocks):  # groups are independent: one joint fit per block of them
         part = vocab.where(block == k)
-        train_f = joint_features(train.where(block == k).where(F.col(label).isNotNull()), part, group, text)
-        n = train_f.count()
         out_k = test.where(block == k)
+        n = 0
+        if not part.isEmpty():
+            train_f = joint_features(train.where(block == k).where(F.col(label).isNotNull()), part, group, text)
+            n = train_f.count()
         if n:
             lr = LogisticRegression(featuresCol="features", labelCol=label, predictionCol="__pred", fitIntercept=False,
                                     regParam=1.0 / n, elasticNetParam=0.0, standardization=False,
