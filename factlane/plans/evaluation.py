@@ -162,3 +162,46 @@ def run_split_evaluation(claims: DataFrame, out_dir: str, n_runs: int = K.N_RUNS
     A.cross_domain_summary(pooled).write.mode("overwrite").parquet(paths["cross_domain"])
     A.final_report(records).write.mode("overwrite").parquet(paths["final_report"])
     return paths
+
+
+def run_full_evaluation(claims: DataFrame, out_dir: str, n_runs: int = K.N_RUNS, seeds=K.RUN_SEEDS, answers=None,
+                        keywords=K.SUSPICIOUS_KEYWORDS) -> dict[str, str]:
+    """The full-set evaluation end to end: answered results partitioned by
+    dataset and run, then every report from that table: records and domain rows,
+    executive summary, paired test against the random baseline, McNemar against
+    the keyword baseline, baseline comparison, and for run 0 accuracy by domain,
+    error counts, accuracy by length quartile and by confidence, and error
+    examples with their claims."""
+    from ..operators import metrics as M
+    from ..operators import reports as W
+    from ..operators import runstats as A
+    from ..operators.clean import error_kind
+    from ..sources.sinks import write_partitioned
+
+    spark = claims.sparkSession
+    names = ("results", "metrics", "records", "executive_summary", "paired_test", "mcnemar", "baseline_comparison",
+             "domain_accuracy", "error_counts", "length_accuracy", "confidence_accuracy", "error_examples")
+    paths = {n: f"{out_dir}/{n}" for n in names}
+    write_partitioned(answered(full_results(claims, n_runs, seeds, answers, keywords)), paths["results"],
+                      keys=("dataset", "run_id"))
+    results = spark.read.parquet(paths["results"])
+    table, records = run_metrics(results, FULL_CONDITIONS, baseline_rows="answered", on_degenerate="zero")
+    table.write.mode("overwrite").parquet(paths["metrics"])
+    records = cut_lineage(records, "records")
+    first = results.where(F.col("run_id") == 0)  # prunes to one partition per dataset
+    kind = error_kind("label", "prediction")
+    reports = {
+        "records": records,
+        "executive_summary": A.executive_summary(records),
+        "paired_test": A.paired_test(cut_lineage(A.per_run_accuracy(results), "per-run")),
+        "mcnemar": A.mcnemar(first),
+        "baseline_comparison": A.baseline_comparison(records),
+        "domain_accuracy": M.accuracy_by(first.where(F.col("domain").isNotNull()), ["dataset", "domain"]),
+        "error_counts": first.groupBy("dataset", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")).where("kind IS NOT NULL"),
+        "length_accuracy": W.length_quartile_accuracy(first),
+        "confidence_accuracy": M.accuracy_by(first, ["dataset", "confidence"]),
+        "error_examples": W.error_examples(first),
+    }
+    for name, df in reports.items():
+        df.write.mode("overwrite").parquet(paths[name])
+    return paths

@@ -11,7 +11,6 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators import claims as C
@@ -56,19 +55,13 @@ def run_extraction(spark: SparkSession, folder: str, out_dir: str, make_scorer:
     funnel_args = {k: v for k, v in rules.items() if k in ("code", "phrases", "verbs")}
     C.claim_funnel(parsed, **funnel_args).write.mode("overwrite").parquet(paths["funnel"])
     posts.bad_line_report(lines).write.mode("overwrite").parquet(paths["bad_lines"])
-    claims = tagged_claims(spark, folder, **rules)
+    # the tagged claims are written once as Parquet; all later outputs read that
+    claims = cut_lineage(tagged_claims(spark, folder, **rules), "claims")
     write_csv(claims, paths["claims"])
     sinks.write_claim_lines(claims, paths["claim_lines"])
     C.value_counts(claims, "domain").write.mode("overwrite").parquet(paths["domain_counts"])
     if make_scorer is not None:
-        label_verifiability(spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-                            .schema("filename string, post_id bigint, text string, domain string")
-                            .csv(paths["claims"]), make_scorer).write.mode("overwrite").parquet(paths["verifiable"])
+        label_verifiability(claims, make_scorer).write.mode("overwrite").parquet(paths["verifiable"])
     else:
         paths.pop("verifiable")
     return paths
-
-
-def claims_per_file(claims: DataFrame) -> DataFrame:
-    """Claims per source file (lineage summary)."""
-    return claims.groupBy("filename").agg(F.count(F.lit(1)).alias("n_claims"))

@@ -36,3 +36,16 @@ def test_split_evaluation_job(spark, tmp_path):
     rec = spark.read.parquet(paths["records"])
     assert {r["condition"] for r in rec.collect()} == {"Model", "Random", "Majority", "TF-IDF+LR"}
     assert spark.read.parquet(paths["final_report"]).count() == 2
+
+
+def test_full_evaluation_job(spark, tmp_path):
+    paths = EV.run_full_evaluation(tables.evaluation_claims(spark, SMOKE_DIR), str(tmp_path / "full"))
+    read = {n: spark.read.parquet(p) for n, p in paths.items()}
+    n0 = read["results"].where("run_id = 0").count()
+    assert {r["condition"] for r in read["records"].collect()} == {"Model", "Random", "Majority", "Keyword"}
+    assert sum(r["n"] for r in read["length_accuracy"].collect()) == n0
+    assert sum(r["n"] for r in read["confidence_accuracy"].collect()) == n0
+    assert read["executive_summary"].count() == read["paired_test"].count() == read["mcnemar"].count() == 2
+    wrong = read["results"].where("run_id = 0 AND label <> prediction").count()
+    assert sum(r["n"] for r in read["error_counts"].collect()) == wrong
+    assert 0 < read["error_examples"].count() <= 20
