@@ -51,6 +51,7 @@ RETRIEVE = 0.7
 OVERLAP = 0.6
 MIN_WORDS = 6
 SHARD_ITEMS = 20_000
+BATCH = 2 << 20  # bytes of text whose words are held at once
 
 
 def term_list(raw: bytes) -> list[bytes]:
@@ -238,7 +239,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") ->
         lists = [term_list(t.encode()) for _, t in rows]
         df = Counter(t for words in lists for t in set(words))
         index = Index(rows, len(rows), df, sum(map(len, lists)) / len(lists))
-        found.append(map_texts(docs.select(id_col, "text"), _scan(index, id_col), schema))
+        found.append(map_texts(docs.select(id_col, "text"), _scan(index, id_col), schema, BATCH))
     if not found:
         return docs.sparkSession.createDataFrame([], schema)
     return reduce(DataFrame.unionByName, found)
