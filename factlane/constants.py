@@ -46,9 +46,6 @@ ENCODER_MAX_LENGTH = 512
 # Datasets and condition names as they appear in the metric records.
 DATASETS = ["UGC", "NGC"]
 MODEL_CONDITION = "Model"
-SPLIT_BASELINES = {"random_baseline": "Random", "majority_baseline": "Majority", "tfidf_baseline": "TF-IDF+LR"}
-FULL_BASELINES = {"random_baseline": "Random", "majority_baseline": "Majority", "keyword_baseline": "Keyword"}
-CLASS_NAMES = ["False", "True"]
 
 # Confidence levels in the order they are searched for.
 CONFIDENCE_LEVELS = ["high", "medium", "low"]
@@ -69,7 +66,6 @@ LENGTH_BIN_NAMES = ["Short", "Medium", "Long", "Very Long"]
 
 # Error analysis: examples kept per kind, examples shown, characters shown.
 ERROR_EXAMPLES = 5
-ERROR_EXAMPLES_SHOWN = 3
 PREVIEW_CHARS = 100
 
 # Tokens pandas' CSV reader turns into missing values.

@@ -42,8 +42,10 @@ def contains_any(c, needles: Iterable[str]) -> Column:
 
 
 def word_pattern(words: Iterable[str]) -> str:
-    """Regex matching any word as a whole word (Java's Unicode-aware ``\\b``)."""
-    return r"\b(" + "|".join(re.escape(w) for w in words) + r")\b"
+    """Regex matching any word as a whole word. Word characters are Unicode
+    letters, digits and ``_``, spelled out because the meaning of Java's
+    ``\\b`` depends on its release."""
+    return r"(?<![\p{L}\p{N}_])(" + "|".join(re.escape(w) for w in words) + r")(?![\p{L}\p{N}_])"
 
 
 def contains_word(c, words: Iterable[str]) -> Column:
@@ -64,10 +66,6 @@ def capitalize(c) -> Column:
     return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 2147483647)))
 
 
-def title_word(c) -> Column:
-    return F.initcap(col_of(c))
-
-
 def py_str(c, null_as: str = "None") -> Column:
     """Text of a value as an f-string prints it; null prints as ``None``."""
     return F.coalesce(col_of(c).cast("string"), F.lit(null_as))

@@ -24,7 +24,3 @@ def structured_prompt(claim="claim", domain="domain") -> Column:
 def verifiability_prompt(text="text") -> Column:
     """The verifiability prompt; a missing text prints as ``nan``."""
     return F.concat(F.lit(K.VERIFY_PROMPT_HEAD), py_str(text, "nan"), F.lit(K.VERIFY_PROMPT_TAIL))
-
-
-def with_prompt(df, builder, out: str = "prompt", **cols):
-    return df.withColumn(out, builder(**{k: col_of(v) for k, v in cols.items()}))
