@@ -82,14 +82,15 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def fit_linear(x: np.ndarray, y: np.ndarray, steps: int = 300, decay: float = 1e-3) -> np.ndarray:
     """Logistic regression with both classes of equal total weight; the last
     weight is the bias."""
-    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    cost = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-    w, m, v = np.zeros(x1.shape[1]), 0.0, 0.0
+    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float32)
+    cost = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)).astype(np.float32)
+    y = y.astype(np.float32)
+    w, m, v = np.zeros(x1.shape[1], np.float32), np.float32(0), np.float32(0)
     for k in range(1, steps + 1):
         g = x1.T @ ((_sigmoid(x1 @ w) - y) * cost) + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - 0.05 * (m / (1 - 0.9 ** k)) / (np.sqrt(v / (1 - 0.999 ** k)) + 1e-8)
-    return w
+        w = (w - 0.05 * (m / (1 - 0.9 ** k)) / (np.sqrt(v / (1 - 0.999 ** k)) + 1e-8)).astype(np.float32)
+    return w.astype(np.float64)
 
 
 def _chance(w: np.ndarray, x: np.ndarray) -> np.ndarray:
