@@ -48,7 +48,7 @@ PERCENT = 85
 SHARED = 16
 #: Common lists from which a representative is tried.
 TRY = 4
-TRIES = 2
+TRIES = 4
 CELL_BITS = 18
 BUCKET_ENTRIES = 500_000
 BLOCK = 128
@@ -317,7 +317,7 @@ def component_keys(rows: DataFrame, distinct: bool) -> DataFrame:
     reps = lists.select("key", F.explode(F.array_distinct(F.array("rep", "rep2"))).alias("rep"), F.lit(1).alias("w"))
     stars = reps.where(F.col("rep").isNotNull()).groupBy("key", "rep").agg(F.sum("w").alias("lists"))
     stars = stars.where(F.col("lists") >= TRY).join(facts.select(F.col("key").alias("rep"), "leader"), "rep")
-    # a set tries the two representatives that it shares most lists with
+    # a set tries the representatives that it shares most lists with
     best = F.slice(F.sort_array(F.collect_set(F.struct(-F.col("lists"), "leader"))), 1, TRIES)
     stars = cut_lineage(stars.where(F.col("leader") != F.col("key")).groupBy(F.col("key").alias("x")).agg(
         best.alias("b")).select("x", F.explode("b.leader").alias("y")).distinct(), "jac-stars")
