@@ -72,7 +72,16 @@ def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
 def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
     """Place of the least value in every window of ``width`` values: leftmost
     among values whose leading 42 bits tie. Block prefixes and suffixes give
-    each window in two steps."""
+    each window in two steps. Places have 22 bits, so longer arrays go in
+    pieces that overlap by ``width - 1``; a window's place does not depend on
+    its piece."""
+    n = len(h) - width + 1
+    most = int(PLACE) + 1 - (width - 1)
+    return np.concatenate([np.zeros(0, np.int64), *(
+        _piece_least(h[a:a + most + width - 1], width) + a for a in range(0, n, most))])
+
+
+def _piece_least(h: np.ndarray, width: int) -> np.ndarray:
     n = len(h) - width + 1
     key = (h & ~PLACE) | np.arange(len(h), dtype=np.uint64)
     padded = np.full(-(-len(h) // width) * width, np.uint64(2**64 - 1))

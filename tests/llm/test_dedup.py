@@ -123,6 +123,19 @@ def test_suffix_dedup(spark, monkeypatch, parts, bucket, shard, hot):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute_bytes(plain(rows))
 
 
+def test_repeats_beyond_four_mebibytes(spark):
+    rng = np.random.default_rng(21)
+    tail, other = (rng.integers(97, 123, 900).astype(np.uint8).tobytes().decode() for _ in range(2))
+    rows = [(1, rng.integers(97, 123, 5_000_000).astype(np.uint8).tobytes().decode() + tail), (2, "x" + tail + other), (3, other + "y"),
+            (4, rng.integers(97, 123, 3_000_000).astype(np.uint8).tobytes().decode())]
+    got = suffix_dedup.remove_repeated_strings(frame(spark, rows).repartition(1)).collect()
+    assert {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in got} == {1: (900, 1), 2: (1800, 1), 3: (900, 1), 4: (0, 0)}
+    h = rng.integers(0, 2**63, (1 << 22) + 5000, dtype=np.uint64)
+    place = suffix_dedup.sliding_least(h, 251)
+    assert len(place) == len(h) - 250
+    assert all(place[k] == k + h[k:k + 251].argmin() for k in range((1 << 22) - 600, len(place)))
+
+
 def test_merged_transforms_group_equal_prefixes():
     rng = np.random.default_rng(4)
     pieces = [rng.integers(97, 99, 700).astype(np.uint8) for _ in range(4)]
