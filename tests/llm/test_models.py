@@ -130,6 +130,18 @@ def test_backpropagation_lowers_the_loss():
     assert score > 5 * math.log(0.5)
 
 
+def test_long_texts_train_to_their_end(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD_TOKENS", 8_000, raising=False)
+    monkeypatch.setattr(lm_score, "LOTS", 2, raising=False)
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2][:12]
+    asked = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows = [(i, "ka lo " * 2_050 + "mi nu pe " * 900) for i in ids] + [(asked, "mi nu pe " * 100)]
+    got = {r["doc_id"]: r for r in lm_score.score_documents(frame(spark, rows)).collect()}
+    assert got[asked]["held_out"] and got[asked]["score"] / 301 > math.log10(0.5)
+    # both halves are learned, and no end after the 4,000th word
+    assert all(got[i]["score"] / got[i]["n_tokens"] > math.log10(0.5) for i in ids)
+
+
 def test_lm_counts(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "COMMON", 20)
     monkeypatch.setattr(lm_score, "SYMBOLS", 8)
