@@ -218,6 +218,31 @@ def _scan(index: Index, id_name: str):
     return batch
 
 
+def item_statistics(items: DataFrame) -> tuple[int, float, DataFrame]:
+    """(number of indexed items, their mean length, (shard, word, df)): document
+    frequencies over all items, listed for the words of each shard."""
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        count: Counter = Counter()
+        for shard, text in zip(b.column("shard").to_pylist(), b.column("text").to_pylist()):
+            words = term_list(text.encode())
+            if len(words) >= MIN_WORDS:
+                count.update((shard, w) for w in set(words))
+                count[shard, None] += 1
+                count[shard, b""] += len(words)
+        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in count], pa.int32()), pa.array([w for _, w in count], pa.binary()),
+                                           pa.array(list(count.values()), pa.int64())], ["shard", "word", "n"])
+
+    # a null word counts the items, an empty one their words
+    counts = map_texts(items.select("shard", "text"), batch, "shard int, word binary, n bigint", BATCH)
+    counts = cut_lineage(counts.groupBy("shard", "word").agg(F.sum("n").alias("n")), "benchmark-words")
+    sums = counts.agg(F.sum(F.when(F.col("word").isNull(), F.col("n"))).alias("items"),
+                      F.sum(F.when(F.octet_length("word") == 0, F.col("n"))).alias("words")).first()
+    terms = counts.where(F.octet_length("word") > 0)
+    df = cut_lineage(terms.select("shard", "word").join(terms.groupBy("word").agg(F.sum("n").alias("df")), "word"), "benchmark-df")
+    n_items = int(sums["items"] or 0)
+    return n_items, (sums["words"] or 0) / max(n_items, 1), df
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): the verified
     pairs. ``score`` is the BM25 score relative to a full copy's."""
@@ -227,18 +252,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") ->
     n_shards = max(1, -(-n // SHARD_ITEMS))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, item_id bigint, score double, question_overlap double, answer_overlap double"
-    # document frequencies over all items, then one index per shard
-    stats = [(r["item_id"], r["text"]) for r in items.collect()] if n_shards == 1 else None
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_shards)).cast("int"))
+    n_items, mean_length, df = item_statistics(items)
+    # one index per shard, with the statistics of all items
     found = []
     for shard in range(n_shards):
-        rows = stats if stats is not None else [
-            (r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_shards)) == shard).collect()]
-        rows = sorted((i, t) for i, t in rows if len(term_list(t.encode())) >= MIN_WORDS)
+        rows = sorted((r["item_id"], r["text"]) for r in items.where(F.col("shard") == shard).select("item_id", "text").collect())
+        rows = [(i, t) for i, t in rows if len(term_list(t.encode())) >= MIN_WORDS]
         if not rows:
             continue
-        lists = [term_list(t.encode()) for _, t in rows]
-        df = Counter(t for words in lists for t in set(words))
-        index = Index(rows, len(rows), df, sum(map(len, lists)) / len(lists))
+        own = {bytes(r["word"]): r["df"] for r in df.where(F.col("shard") == shard).select("word", "df").collect()}
+        index = Index(rows, n_items, own, mean_length)
         found.append(map_texts(docs.select(id_col, "text"), _scan(index, id_col), schema, BATCH))
     if not found:
         return docs.sparkSession.createDataFrame([], schema)

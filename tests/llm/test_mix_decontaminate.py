@@ -75,6 +75,21 @@ def test_shards_find_the_same(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i in range(12)}
 
 
+def test_shards_score_edited_copies_the_same(spark, monkeypatch):
+    rng = random.Random(15)
+    items = [(k, prose(rng, 30)) for k in range(24)]
+    docs = []
+    for i in range(96):
+        kept = [w if rng.random() > 0.1 + 0.3 * (i % 4) / 4 else f"edit{chr(97 + i % 26)}" for w in items[i % 24][1].split()]
+        docs.append((i, prose(rng, 50) + " " + " ".join(kept)))
+    docs = frame(spark, docs)
+    whole = sorted(tuple(r) for r in decontaminate.find_leaks(docs, bench(spark, items)).collect())
+    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 3)
+    dealt = sorted(tuple(r) for r in decontaminate.find_leaks(docs, bench(spark, items)).collect())
+    assert dealt == whole
+    assert 10 < len(whole) < 90 and any(r[2] < 0.9 for r in whole)
+
+
 def test_pipeline_on_small_documents(spark, tmp_path):
     rng = random.Random(14)
     item = prose(rng, 30)
