@@ -21,11 +21,15 @@ sentence, or the last third when there is only one) occur there.
 
 The index holds the test items in shards of at most ``SHARD_ITEMS``; a shard is
 sent to the tasks (its size is bounded) and further shards run as further
-passes over the documents. Words are lower-cased (ASCII) runs of letters.
+passes over the documents. Words are lower-cased (ASCII) runs of letters
+and digits.
 
-Defined results: items or documents with null or empty text match nothing;
-items shorter than ``MIN_WORDS`` words are left out (they cannot identify a
-leak); repeated document rows each report; ids are carried as they are.
+Items of fewer than ``MIN_WORDS`` words identify themselves only as a whole: a
+document that holds their word sequence without a gap matches (score and
+overlaps 1). The same pass finds them by one look-up per word of the sequence.
+
+Defined results: items or documents with null or empty text, or without a word,
+match nothing; repeated document rows each report; ids are carried as they are.
 """
 
 from __future__ import annotations
@@ -42,18 +46,21 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .common import map_texts, text_buffers
-from .toxicity import TABLE
 
 PASSAGE, STRIDE = 64, 32
 BLOCK = 16
 K1, B = 1.2, 0.75
 RETRIEVE = 0.7
 OVERLAP = 0.6
-MIN_WORDS = 6
+MIN_WORDS = 6  # shorter items are matched as whole word sequences
 SHARD_ITEMS = 20_000
 BATCH = 2 << 20  # bytes of text whose words are held at once
 
 
+#: ASCII letters are lowered; they, digits and characters beyond ASCII are words.
+TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
+
+
 def term_list(raw: bytes) -> list[bytes]:
     return raw.translate(TABLE).split()
 
@@ -180,8 +187,46 @@ def retrieve(index: Index, ids: np.ndarray, docs: np.ndarray, lengths: np.ndarra
     return first[doc] + (passage - pass_first[doc]) * STRIDE, item, score
 
 
-def _scan(index: Index, id_name: str):
-    get = index.terms.get
+class Sequences:
+    """Short items as a tree of word sequences, one sorted level per word."""
+
+    def __init__(self, items: list[tuple]):
+        self.ids = [i for i, _ in items]
+        lists = [term_list(t.encode()) for _, t in items]
+        self.terms = {w: k for k, w in enumerate(sorted({w for words in lists for w in words}))}
+        node = np.zeros(len(lists), np.int64)
+        self.levels = []
+        for depth in range(max(map(len, lists), default=0)):
+            here = np.array([k for k, words in enumerate(lists) if len(words) > depth])
+            key = node[here] * len(self.terms) + np.array([self.terms[lists[k][depth]] for k in here])
+            keys, node[here] = np.unique(key, return_inverse=True)
+            done = np.array([k for k in here if len(lists[k]) == depth + 1], np.int64)
+            done = done[np.argsort(node[done], kind="stable")]
+            self.levels.append((keys, done, np.searchsorted(node[done], np.arange(len(keys) + 1))))
+
+    def find(self, words: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (document, item) whose sequence stands in the document."""
+        get = self.terms.get
+        ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        at = np.flatnonzero(ids >= 0)
+        node, start = np.zeros(len(at), np.int64), at
+        found = [np.zeros((2, 0), np.int64)]
+        for keys, done, edges in self.levels:
+            inside = np.flatnonzero(at < len(ids))
+            inside = inside[(ids[at[inside]] >= 0) & (docs[at[inside]] == docs[start[inside]])]
+            at, node, start = at[inside], node[inside], start[inside]
+            key = node * len(self.terms) + ids[at]
+            node = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            held = keys[node] == key
+            at, node, start = at[held] + 1, node[held], start[held]
+            doc, here = np.unique(np.stack([docs[start], node]), axis=1)
+            row, pos = _expand(edges[here], edges[here + 1])
+            found.append(np.stack([doc[row], done[pos]]))
+        return np.concatenate(found, 1)
+
+
+def _scan(index: Index | None, short: Sequences, id_name: str):
+    get = index.terms.get if index else None
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = text_buffers(b.column("text"))
@@ -192,9 +237,12 @@ def _scan(index: Index, id_name: str):
             w = term_list(raw[offsets[k]:offsets[k + 1]])
             lengths[k] = len(w)
             words += w
-        ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         docs = np.repeat(np.arange(b.num_rows), lengths)
-        starts, items, scores = retrieve(index, ids, docs, lengths)
+        starts = items = scores = np.zeros(0)
+        if index:
+            ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+            starts, items, scores = retrieve(index, ids, docs, lengths)
+        near_doc, near_item = short.find(words, docs) if short.ids else np.zeros((2, 0), np.int64)
         first = np.cumsum(lengths) - lengths
         best: dict[tuple[int, int], tuple] = {}
         for s, k, score in zip(starts.tolist(), items.tolist(), scores.tolist()):
@@ -208,10 +256,14 @@ def _scan(index: Index, id_name: str):
             ao = len(ans & around) / len(ans) if ans else 0.0
             if qo >= OVERLAP and ao >= OVERLAP:
                 best[doc, k] = max(best.get((doc, k), (0.0, 0.0, 0.0)), (qo, ao, score))
+        item_ids = {}
+        for d, k in zip(near_doc.tolist(), near_item.tolist()):
+            best[d, -1 - k] = (1.0, 1.0, 1.0)
+            item_ids[-1 - k] = short.ids[k]
         keys = sorted(best)
         return pa.RecordBatch.from_arrays(
             [b.column(id_name).take(pa.array([d for d, _ in keys], pa.int64())),
-             pa.array([int(index.ids[k]) for _, k in keys], pa.int64()),
+             pa.array([int(item_ids[k] if k < 0 else index.ids[k]) for _, k in keys], pa.int64()),
              *[pa.array([round(best[key][c], 6) for key in keys], pa.float64()) for c in (2, 0, 1)]],
             ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
@@ -258,12 +310,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") ->
     found = []
     for shard in range(n_shards):
         rows = sorted((r["item_id"], r["text"]) for r in items.where(F.col("shard") == shard).select("item_id", "text").collect())
-        rows = [(i, t) for i, t in rows if len(term_list(t.encode())) >= MIN_WORDS]
-        if not rows:
+        sizes = [len(term_list(t.encode())) for _, t in rows]
+        short = Sequences([row for row, n in zip(rows, sizes) if 0 < n < MIN_WORDS])
+        rows = [row for row, n in zip(rows, sizes) if n >= MIN_WORDS]
+        if not rows and not short.ids:
             continue
         own = {bytes(r["word"]): r["df"] for r in df.where(F.col("shard") == shard).select("word", "df").collect()}
-        index = Index(rows, n_items, own, mean_length)
-        found.append(map_texts(docs.select(id_col, "text"), _scan(index, id_col), schema, BATCH))
+        index = Index(rows, n_items, own, mean_length) if rows else None
+        found.append(map_texts(docs.select(id_col, "text"), _scan(index, short, id_col), schema, BATCH))
     if not found:
         return docs.sparkSession.createDataFrame([], schema)
     return reduce(DataFrame.unionByName, found)

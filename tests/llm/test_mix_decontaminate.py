@@ -66,6 +66,21 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(frame(spark, docs).limit(0), bench(spark, items)).count() == 0
 
 
+def test_short_and_numeric_items(spark):
+    rng = random.Random(16)
+    items = [(1, "Who wrote Hamlet? Shakespeare"), (2, "12 + 7 * 3 = 33. Answer: 33"), (3, "7 * 8 = 56"), (4, "who wrote hamlet: Shakespeare!"),
+             (5, "?!"), (6, "Who wrote"), (7, "wrote Hamlet"), (8, prose(rng, 30))]
+    docs = [(1, prose(rng, 90) + " who wrote HAMLET? (Shakespeare) " + prose(rng, 90)), (2, "Sum: 12 + 7 * 3 = 33. Answer: 33"), (3, "7 * 8 = 57"),
+            (4, prose(rng, 10) + " 7 * 8 = 56"), (5, "Hamlet wrote Shakespeare. Who"), (6, "ends with who"), (7, "wrote Hamlet"), (8, ""), (9, None),
+            (10, prose(rng, 20) + " " + items[-1][1])]
+    want = {(1, 1), (1, 4), (1, 6), (1, 7), (2, 2), (4, 3), (7, 7), (10, 8)}
+    for parts in (1, 3):
+        got = decontaminate.find_leaks(frame(spark, docs).repartition(parts), bench(spark, items)).collect()
+        assert sorted((r["doc_id"], r["item_id"]) for r in got) == sorted(want)
+    only = decontaminate.find_leaks(frame(spark, docs), bench(spark, items[:1])).collect()
+    assert [tuple(r) for r in only] == [(1, 1, 1.0, 1.0, 1.0)]
+
+
 def test_shards_find_the_same(spark, monkeypatch):
     rng = random.Random(13)
     items = [(k, prose(rng, 30)) for k in range(12)]
