@@ -1,7 +1,9 @@
 """License scans: a trained paragraph classifier (operator 1).
 
-A paragraph is a line of a text. Its features are word 1- to 3-grams that hold
-an anchor word (license, copyright, ...), hashed to ``DIMENSIONS`` places. A
+A paragraph is a line of a text. Lines that hold an anchor are scored; the
+anchors are derived from the templates, so that a line without one holds less
+than ``CONFIRM`` of every template. Features are word 1- to 3-grams, hashed to
+``DIMENSIONS`` places. Templates are short enough for notices wrapped over lines. A
 softmax regression over licence families plus ``none`` is trained on perturbed
 copies of notice templates and on a bounded sample of the corpus's own
 paragraphs. Its temperature is set on held-out copies (calibration), and a
@@ -35,11 +37,17 @@ TEMPLATES: dict[str, list[str]] = {
     "mit": ["released under the mit license", "licensed under the mit license",
             "permission is hereby granted free of charge to any person obtaining a copy of this software"],
     "gpl": ["this work is licensed under the gnu general public license version 3",
-            "this program is free software you can redistribute it under the terms of the gnu general public license"],
-    "lgpl": ["licensed under the gnu lesser general public license version 2.1"],
-    "agpl": ["licensed under the gnu affero general public license version 3"],
+            "this program is free software you can redistribute it under the terms of the gnu general public license",
+            "under the terms of the gnu general public license as published by the free software foundation"],
+    "lgpl": ["licensed under the gnu lesser general public license version 2.1",
+             "under the terms of the gnu lesser general public license as published by the free software foundation"],
+    "agpl": ["licensed under the gnu affero general public license version 3",
+             "under the terms of the gnu affero general public license as published by the free software foundation"],
     "bsd": ["licensed under the bsd 3 clause license", "use of this source code is governed by a bsd style license",
-            "redistribution and use in source and binary forms with or without modification are permitted under license"],
+            "redistribution and use in source and binary forms with or without modification",
+            "redistributions of source code must retain the above copyright notice this list of conditions",
+            "redistributions in binary form must reproduce the above copyright notice this list of conditions",
+            "neither the name of the copyright holder nor the names of its contributors may be used to endorse"],
     "mpl": ["this source code form is subject to the terms of the mozilla public license version 2.0"],
     "cc-by": ["licensed under cc by 4.0", "licensed under a creative commons attribution 4.0 international license"],
     "cc-by-sa": ["licensed under cc by sa 4.0",
@@ -49,7 +57,8 @@ TEMPLATES: dict[str, list[str]] = {
     "cc0": ["released under the cc0 1.0 universal public domain dedication license"],
     "proprietary": ["copyright all rights reserved", "all rights reserved no license is granted"],
 }
-ANCHORS = ("licen", "copyright", "rights reserved", "permission", "public domain", "creative commons")
+STEMS = ("licen", "copyright", "rights reserved", "permission", "public domain", "creative commons", "redistribut",
+         "general public", "cc by", "cc-by", "cc0")
 FAMILIES = ["none", *TEMPLATES]
 DIMENSIONS = 2048
 #: Bound of the sampled corpus paragraphs that the model sees as ``none``.
@@ -59,6 +68,33 @@ CONFIRM = 0.5
 MIN_PROBABILITY = 0.5
 
 
+def template_grams(template: str) -> set[str]:
+    w = template.split()
+    return {" ".join(w[i:i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)}
+
+
+def open_share(template: str, anchors) -> float:
+    """The most of a template that a line without an anchor can hold."""
+    grams = template_grams(template)
+    return sum(not any(a in g for a in anchors) for g in grams) / len(grams)
+
+
+def derived_anchors() -> tuple[str, ...]:
+    """``STEMS`` and each template's longest words, until no line without an
+    anchor can hold ``CONFIRM`` of a template."""
+    out = list(STEMS)
+    for t in (t for ts in TEMPLATES.values() for t in ts):
+        for w in sorted(set(t.split()), key=lambda w: (-len(w), w)):
+            if open_share(t, out) < CONFIRM:
+                break
+            if not any(a in w for a in out):
+                out.append(w)
+    return tuple(out)
+
+
+ANCHORS = derived_anchors()
+
+
 def has_anchor(text: Column) -> Column:
     out = F.lit(False)
     for a in ANCHORS:
@@ -187,7 +223,9 @@ def classify_paragraphs(lines: Column, model: dict) -> Column:
 def license_scan(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """(doc_id, n_paragraphs, n_licence, family, probability, confirmed,
     paragraphs) of every document: ``paragraphs`` lists its licence paragraphs,
-    ``family`` is that of the surest confirmed one (null: no licence found)."""
+    ``family`` is that of the surest confirmed one (null: no licence found);
+    a reserved right (``proprietary``), which heads many granted licences as
+    well, counts only when nothing else is confirmed."""
     model = model or fit(docs.sparkSession, docs)
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select("doc_id", text.alias("text"))
@@ -197,6 +235,6 @@ def license_scan(docs: DataFrame, model: dict | None = None) -> DataFrame:
         F.array().cast("array<string>")).alias("lines"))
     d = d.select("doc_id", "n_paragraphs", F.inline(F.array(F.struct(classify_paragraphs(F.col("lines"), model).alias("paragraphs")))))
     best = F.array_max(F.transform("paragraphs", lambda z: F.struct(
-        z["confirmed"].alias("confirmed"), z["probability"].alias("probability"), z["family"].alias("family"))))
+        z["confirmed"].alias("confirmed"), (z["family"] != "proprietary").alias("grants"), z["probability"].alias("probability"), z["family"].alias("family"))))
     return d.select("doc_id", "n_paragraphs", F.size("paragraphs").cast("bigint").alias("n_licence"), best["family"].alias("family"),
                     best["probability"].alias("probability"), F.coalesce(best["confirmed"], F.lit(False)).alias("confirmed"), "paragraphs")

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -82,6 +83,36 @@ def test_license_scan(spark):
     assert license_scan.license_scan(docs.limit(0), model).count() == 0
 
 
+STANDARD = {
+    "bsd": "Copyright (c) 2020, Some Holder. All rights reserved.\n\nRedistribution and use in source and binary forms, with or without "
+           "modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the "
+           "above copyright notice, this list of conditions and the following disclaimer.",
+    "mit": "Copyright (c) 2020 Some Holder\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software "
+           "and associated documentation files (the \"Software\"), to deal in the Software without restriction.",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+           "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+           "with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+}
+
+
+def test_standard_notices(spark):
+    rng = random.Random(17)
+    rows, want = [(0, prose(rng, 60))], {0: None}
+    for width in (66, 72, 80, 10_000):
+        for family, notice in STANDARD.items():
+            lines = [line for part in notice.split("\n") for line in textwrap.wrap(part, width) or [""]]
+            want[len(rows)] = family
+            rows.append((len(rows), prose(rng, 20) + "\n" + "\n".join(lines) + "\n" + prose(rng, 20)))
+    # the clause without its header
+    want[len(rows)] = "bsd"
+    rows.append((len(rows), "Redistribution and use in source and binary forms, with or without modification, are permitted provided"))
+    docs = frame(spark, rows)
+    got = {r["doc_id"]: r["family"] if r["confirmed"] else None for r in license_scan.license_scan(docs).collect()}
+    assert got == want
+    assert all(license_scan.open_share(t, license_scan.ANCHORS) < license_scan.CONFIRM for ts in license_scan.TEMPLATES.values() for t in ts)
+
+
 def test_toxicity_chain(spark):
     rng = random.Random(6)
     rows, labels = [], []
