@@ -25,8 +25,10 @@ merged:
 Documents with equal texts are known by a hash of the whole text: they are
 removed as a whole (when long enough), and one of them stands for all in steps
 1 to 3. Runs of a minimizer that is very frequent are cut finer by further
-minimizers (``_subkeys``), so that a passage shared by many documents does not
-fill one bucket.
+minimizers (``_subkeys``). Runs are then counted by the finer key; where more
+than ``HOT_RUNS`` still share one, each window is dealt by a hash of all its
+bytes instead (128 bits), once per block, and windows that meet are repeats. So
+a passage shared by many documents does not fill one bucket, however long it is.
 
 Defined results: null text is empty; equal rows (id and text) are repeats of
 each other; a text shorter than ``MATCH`` keeps all its bytes.
@@ -44,7 +46,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .common import map_texts, text_buffers
-from .hashing import BYTE_TABLE, R_BYTE, mix, powers, running, with_row_key
+from .hashing import BYTE_TABLE, R_BYTE, R_WORD, mix, powers, running, with_row_key
 from .substring_dedup import _arrow_schema, _first_of, _grouped_bytes, _joined, _packed
 
 MATCH = 400
@@ -179,7 +181,9 @@ def _repeated_runs(hot_runs: int):
 
 # --- segments ----------------------------------------------------------------------
 
-SEGMENT_ROWS = "bucket int, value binary, key binary, start binary, run binary, bytes binary"
+SEGMENT_ROWS = ("bucket int, value binary, key binary, start binary, run binary, bytes binary, "
+                "doc bigint, ranges binary, h1 binary, h2 binary, wkey binary, wstart binary")
+ENTRY_BYTES = 28  # of a window: two hashes, key and start
 
 
 def _subkeys(data: np.ndarray, offsets: np.ndarray, hot: list[np.ndarray], runs: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
@@ -209,23 +213,77 @@ def _subkeys(data: np.ndarray, offsets: np.ndarray, hot: list[np.ndarray], runs:
     return tuple(np.concatenate(o) for o in out)
 
 
-def _segment_rows(n_buckets: int):
+def _held_runs(b: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of the batch's marked minimizers, frequent ones cut finer."""
+    value, text, start, run = minimizer_runs(data, offsets)
+    edges = np.searchsorted(text, np.arange(b.num_rows + 1))
+    held = np.zeros(len(value), bool)
+
+    def values(parts):
+        return np.concatenate([np.frombuffer(p, np.uint64) for p in parts]) if parts else np.zeros(0, np.uint64)
+
+    for k, parts in enumerate(b.column("marks").to_pylist()):
+        held[edges[k]:edges[k + 1]] = np.isin(value[edges[k]:edges[k + 1]], values(parts))
+    hot = [values(parts) for parts in b.column("hot").to_pylist()]
+    return _subkeys(data, offsets, hot, (value[held], text[held], start[held], run[held]))
+
+
+def _count_rows(b: pa.RecordBatch) -> pa.RecordBatch:
+    """(value, runs, starts) of the block's runs by their finer keys."""
+    value, _, _, run = _held_runs(b, *text_buffers(b.column("text")))
+    distinct, at = np.unique(value, return_inverse=True)
+    return pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(np.bincount(at, minlength=len(distinct)).astype(np.int64)),
+                                       pa.array(np.bincount(at, run, len(distinct)).astype(np.int64))], ["value", "runs", "starts"])
+
+
+def _window_entries(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, runs: tuple[np.ndarray, ...], n_buckets: int, n_windows: int) -> list[dict]:
+    """Rows of all windows of the runs, by hash: starts that repeat inside the
+    block are known at once, and one entry of each hash goes on."""
+    _, text, start, run = runs
+    text = np.repeat(text, run)
+    start = np.repeat(start, run) + np.arange(len(text)) - np.repeat(np.cumsum(run) - run, run)
+    at = offsets[:-1][text] + start
+    h1, h2 = (np.zeros(len(at), np.uint64) for _ in range(2))
+    for r, out in ((R_BYTE, h1), (R_WORD, h2)):
+        p = running(BYTE_TABLE[data], r)
+        out[:] = mix((p[at + MATCH] - p[at]) * powers(r, len(data), inverse=True)[at])
+    order = np.lexsort((h2, h1))
+    h1, h2, key, start = h1[order], h2[order], keys[text[order]], start[order]
+    first = np.ones(len(h1), bool)
+    first[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    times = np.bincount(np.cumsum(first) - 1)
+    again = times[np.cumsum(first) - 1] > 1
+    rows = [{"bucket": int(k % n_buckets), "doc": k, "ranges": v} for k, v in _ranges(key[again], start[again]).items()]
+    # start -1: repeats already, its starts are known
+    sent = np.where(again, -1, start)[first].astype(np.int32)
+    h1, h2, key = h1[first], h2[first], key[first]
+    entries = _packed((h1 % np.uint64(n_windows)).astype(np.int64), [h1, h2, key, sent], ["h1", "h2", "wkey", "wstart"], n_windows)
+    return rows + [{**r, "bucket": n_buckets + r["bucket"]} for r in entries]
+
+
+def _met_windows(t: pa.Table) -> dict[int, bytes]:
+    """Starts of windows that occur in several blocks, or known to repeat."""
+    h1, h2 = _joined(t.column("h1"), np.uint64), _joined(t.column("h2"), np.uint64)
+    key, start = _joined(t.column("wkey"), np.int64), _joined(t.column("wstart"), np.int32).astype(np.int64)
+    order = np.lexsort((h2, h1))
+    h1, h2, key, start = h1[order], h2[order], key[order], start[order]
+    first = np.ones(len(h1), bool)
+    first[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    run = np.cumsum(first) - 1
+    met = (np.bincount(run)[run] > 1) & (start >= 0) if len(run) else np.zeros(0, bool)
+    return _ranges(key[met], start[met])
+
+
+def _segment_rows(n_buckets: int, hot_keys: np.ndarray, n_windows: int):
     schema = _arrow_schema(SEGMENT_ROWS)
 
     def batch(b: pa.RecordBatch):
         data, offsets = text_buffers(b.column("text"))
         keys = b.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
-        value, text, start, run = minimizer_runs(data, offsets)
-        edges = np.searchsorted(text, np.arange(b.num_rows + 1))
-        held = np.zeros(len(value), bool)
-
-        def values(parts):
-            return np.concatenate([np.frombuffer(p, np.uint64) for p in parts]) if parts else np.zeros(0, np.uint64)
-
-        for k, parts in enumerate(b.column("marks").to_pylist()):
-            held[edges[k]:edges[k + 1]] = np.isin(value[edges[k]:edges[k + 1]], values(parts))
-        hot = [values(parts) for parts in b.column("hot").to_pylist()]
-        value, text, start, run = _subkeys(data, offsets, hot, (value[held], text[held], start[held], run[held]))
+        value, text, start, run = found = _held_runs(b, data, offsets)
+        hot = np.isin(value, hot_keys)
+        windows = _window_entries(data, offsets, keys, tuple(c[hot] for c in found), n_buckets, n_windows) if hot.any() else []
+        value, text, start, run = (c[~hot] for c in found)
         bucket = (value % np.uint64(n_buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
@@ -241,7 +299,7 @@ def _segment_rows(n_buckets: int):
             rows.append({"bucket": k, "value": value[part].tobytes(), "key": keys[text[part]].tobytes(),
                          "start": start[part].astype(np.int32).tobytes(), "run": np.stack([run[part].astype(np.int32), ref]).tobytes(),
                          "bytes": b"".join(p for _, p in seen)})
-        return pa.RecordBatch.from_pylist(rows, schema=schema)
+        return pa.RecordBatch.from_pylist(rows + windows, schema=schema)
 
     return batch
 
@@ -348,6 +406,11 @@ def _ranges(key: np.ndarray, start: np.ndarray) -> dict[int, bytes]:
 def _repeats(shard_bytes: int):
     def bucket(t: pa.Table) -> pa.Table:
         """One bucket: all starts whose window occurs at least twice."""
+        known = t.filter(pc.is_valid(t.column("doc")))
+        known = list(zip(known.column("doc").to_pylist(), known.column("ranges").to_pylist()))
+        known += _met_windows(t.filter(pc.is_valid(t.column("h1")))).items()
+        known = [{"key": k, "ranges": v} for k, v in known]
+        t = t.filter(pc.is_valid(t.column("value")))
         value, key, start, run, seg = [], [], [], [], []
         distinct: dict[tuple, int] = {}
         for v, k, s, r, raw in zip(*(t.column(c).to_pylist() for c in ("value", "key", "start", "run", "bytes"))):
@@ -360,7 +423,7 @@ def _repeats(shard_bytes: int):
             value.append(v), key.append(k), start.append(s), run.append(r), seg.append(ids[ref])
         schema = _arrow_schema("key bigint, ranges binary")
         if not value:
-            return pa.Table.from_pylist([], schema=schema)
+            return pa.Table.from_pylist(known, schema=schema)
         key, start, run, seg = (np.concatenate(c).astype(np.int64) for c in (key, start, run, seg))
         times = np.bincount(seg, minlength=len(distinct))
         pieces = list(distinct)
@@ -382,7 +445,7 @@ def _repeats(shard_bytes: int):
         nth = np.arange(len(occ)) - np.repeat(np.cumsum(n_hit) - n_hit, n_hit)
         starts = within[hit[by_seg[seg[occ]] + nth]] + start[occ]
         found = _ranges(key[occ], starts)
-        return pa.Table.from_pylist([{"key": k, "ranges": v} for k, v in found.items()], schema=schema)
+        return pa.Table.from_pylist(known + [{"key": k, "ranges": v} for k, v in found.items()], schema=schema)
 
     return bucket
 
@@ -463,7 +526,12 @@ def remove_repeated_strings(docs: DataFrame, with_text: bool = False, keep: tupl
         F.collect_list("marks").alias("marks"), F.collect_list("hot").alias("hot"))
     marks = facts.where("leads").select("key", "content").join(marks, "content").select("key", "marks", "hot")
     held = cut_lineage(unique.join(marks, "key"), "suf-candidates")
-    segments = map_texts(held, _segment_rows(n2), SEGMENT_ROWS, BATCH)
+    # finer keys that many runs still share (at most runs / HOT_RUNS of them)
+    counts = map_texts(held.where(F.size("hot") > 0), _count_rows, "value bigint, runs bigint, starts bigint", BATCH)
+    still = counts.groupBy("value").agg(F.sum("runs").alias("runs"), F.sum("starts").alias("starts")).where(F.col("runs") > HOT_RUNS).collect()
+    hot_keys = np.array([r["value"] for r in still], np.int64).view(np.uint64)
+    n_windows = max(1, -(-sum(r["starts"] for r in still) * ENTRY_BYTES // BUCKET_BYTES))
+    segments = map_texts(held, _segment_rows(n2, hot_keys, n_windows), SEGMENT_ROWS, BATCH)
     found = segments.groupBy("bucket").applyInArrow(_repeats(SHARD_BYTES), "key bigint, ranges binary")
     # fully repeated documents need no spans of their own
     found = found.join(facts.where("copied").select("key"), "key", "left_anti").groupBy("key").agg(F.collect_list("ranges").alias("ranges"))

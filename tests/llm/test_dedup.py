@@ -123,6 +123,30 @@ def test_suffix_dedup(spark, monkeypatch, parts, bucket, shard, hot):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute_bytes(plain(rows))
 
 
+def test_no_key_holds_many_runs(spark, monkeypatch):
+    rng = random.Random(22)
+    short, long_ = prose(rng, 90)[:380], prose(rng, 200)
+    rows = [(i, prose(rng, 120) + (short if i % 2 else long_) + prose(rng, 120)) for i in range(60)]
+    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", 5)
+    real = suffix_dedup._repeats
+
+    def limited(shard_bytes):
+        inner = real(shard_bytes)
+
+        def bucket(t):
+            values = b"".join(v for v in t.column("value").to_pylist() if v is not None)
+            most = np.unique(np.frombuffer(values, np.uint64), return_counts=True)[1]
+            assert most.max(initial=0) <= 5, "one key holds many runs"
+            return inner(t)
+
+        return bucket
+
+    monkeypatch.setattr(suffix_dedup, "_repeats", limited)
+    for parts in (1, 5):
+        got = suffix_dedup.remove_repeated_strings(frame(spark, rows).repartition(parts)).collect()
+        assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute_bytes(rows)
+
+
 def test_repeats_beyond_four_mebibytes(spark):
     rng = np.random.default_rng(21)
     tail, other = (rng.integers(97, 123, 900).astype(np.uint8).tobytes().decode() for _ in range(2))
