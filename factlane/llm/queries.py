@@ -75,3 +75,11 @@ def op6_jaccard_join(spark, sf_dir):
 def op4_suffix_dedup(spark, sf_dir):
     from .suffix_dedup import remove_repeated_strings
     return remove_repeated_strings(read_table(spark, sf_dir, "documents"))
+
+
+@query("op13_best_fit_packing")
+def op13_best_fit_packing(spark, sf_dir):
+    import public_tokenizers
+
+    from .best_fit_packing import pack_documents
+    return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
