@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, join_small
-from .common import BATCH_BYTES, sliced
+from .common import BATCH_BYTES, sliced, word_chunks
 
 CAPACITY = 2048
 END_ID = 0
@@ -87,9 +87,12 @@ class WordIds(dict):
     def batch(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, first id of each text and the end): every text closed by ``end``."""
         get = self.__getitem__
-        words = [list(map(get, t.split())) for t in texts]
-        n = np.array([len(w) for w in words], np.int64)
-        index = np.concatenate([np.array(w, np.int64) for w in words]) if len(words) else np.zeros(0, np.int64)
+        words, n = [np.zeros(0, np.int64)], np.zeros(len(texts), np.int64)
+        for k, t in enumerate(texts):
+            for chunk in word_chunks(t):
+                words.append(np.fromiter(map(get, chunk), np.int64, len(chunk)))
+                n[k] += len(chunk)
+        index = np.concatenate(words)
         count = np.array(self.count, np.int64)[index]
         at = np.zeros(len(index) + 1, np.int64)
         np.cumsum(count, out=at[1:])

@@ -8,6 +8,8 @@ give the same words.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 GAP_CHARS = " \t\n\x0b\f\r"
+GAP_BYTES = re.compile(rb"[\x20\x09-\x0D]")
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -80,6 +83,21 @@ def sliced(batches, text: str = "text", limit: int = BATCH_BYTES):
                 yield batch.slice(a, b - a)
 
 
+def word_chunks(raw: bytes, size: int = 1 << 20):
+    """Words of a text, about ``size`` bytes at a time: a very long text never
+    stands as one list of words. An empty text gives one empty list."""
+    at = 0
+    while True:
+        end = len(raw)
+        if end - at > size:
+            gap = GAP_BYTES.search(raw, at + size)
+            end = gap.start() if gap else end
+        yield raw[at:end].split()
+        if end == len(raw):
+            return
+        at = end
+
+
 def map_texts(df: DataFrame, fn, schema: str, limit: int = BATCH_BYTES) -> DataFrame:
     """``mapInArrow`` over size-bounded batches: ``fn(batch) -> RecordBatch``
     or an iterator of them. JVM-side batches are bounded by bytes as well, so

@@ -83,3 +83,12 @@ def op13_best_fit_packing(spark, sf_dir):
 
     from .best_fit_packing import pack_documents
     return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+from .lexical_search import SEARCH_SQL  # noqa: E402
+
+
+@query("op11_lexical_search", SEARCH_SQL)
+def op11_lexical_search(spark, sf_dir):
+    from .lexical_search import rank_documents
+    return rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
