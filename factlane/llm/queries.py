@@ -92,3 +92,12 @@ from .lexical_search import SEARCH_SQL  # noqa: E402
 def op11_lexical_search(spark, sf_dir):
     from .lexical_search import rank_documents
     return rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+from .collocations import COLLOCATION_SQL  # noqa: E402
+
+
+@query("op12_collocations", COLLOCATION_SQL)
+def op12_collocations(spark, sf_dir):
+    from .collocations import collocations
+    return collocations(read_table(spark, sf_dir, "documents"))
