@@ -1,20 +1,14 @@
 """TF-IDF features (B4, W5), the TF-IDF + logistic-regression baseline (B5,
 B6) and fixed-length token encoding (B8).
 
-TF-IDF is relational: every claim's word 1..n-grams are exploded once and
-counted per claim; the vocabulary of each training part (dataset x run) is the
-``max_features`` terms with the highest corpus count (ties by term); idf is
-ln((1 + n_docs) / (1 + df)) + 1 and each row is L2-normalised. The top-k is a
-``row_number() <= k`` filter (a window group limit: each task keeps its own
-top k before the exchange).
-
-The learned baseline fits all (dataset, run) models in ONE distributed MLlib
-job: features of group g live in block g of a joint sparse vector (the
-vocabulary of g, prefixed by g), plus a per-group bias feature. Log-loss and
-the L2 penalty are separable across blocks, so the joint optimum is each
-group's own optimum; regParam = 1 / n matches C = 1 on a summed loss. The
-bias feature is scaled by ``BIAS_SCALE`` so its penalty (that of an
-unpenalised intercept) is negligible.
+TF-IDF is relational: every claim's word 1..n-grams are exploded and counted
+where the claim is; the vocabulary of each training part (dataset x run) is the
+``max_features`` terms with the highest corpus count (ties by term), found by
+bounds on hash cells, so rare terms are never shuffled; idf is
+ln((1 + n_docs) / (1 + df)) + 1 and each row is L2-normalised.
+
+The learned baseline fits all (dataset, run) models together (``logistic``):
+vocabulary, features and weights are tables keyed by group and term.
 """
 
 from __future__ import annotations
@@ -22,16 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import ENCODER_MAX_LENGTH, LR_MAX_ITER, LR_TOLERANCE, TFIDF_MAX_FEATURES, TFIDF_NGRAM_RANGE
+from ..constants import ENCODER_MAX_LENGTH, LR_MAX_ITER, TFIDF_MAX_FEATURES, TFIDF_NGRAM_RANGE
 from ..functions.text import col_of
 
 # Word tokens: runs of two or more letters, digits or underscores (lower-cased first).
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 # Encoder tokens: words, and every other visible character on its own.
 ENCODER_TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\x09-\x0D \p{L}\p{N}_]"
-BIAS_SCALE = 100.0
-# Groups (dataset x run) of one joint fit; more groups take further fits.
-GROUPS_PER_FIT = 500
 # Special token ids of the encoder.
 PAD_ID, UNK_ID, CLS_ID, SEP_ID = 0, 1, 2, 3
 N_SPECIAL = 4
@@ -71,24 +62,70 @@ def with_terms(df: DataFrame, text: str = "claim", out: str = "terms", ngram_ran
 
 def term_frequencies(df: DataFrame, key: str = "claim_id", text: str = "claim",
                      ngram_range=TFIDF_NGRAM_RANGE) -> DataFrame:
-    """(key, term, tf) for every term of every row."""
-    return (with_terms(df.select(key, text), text, "__terms", ngram_range)
+    """(key, term, tf) for every term of every row. Rows are dealt by their key
+    before the terms are taken apart, so the exploded terms are counted where they
+    are and only texts are exchanged."""
+    return (with_terms(df.select(key, text).repartition(F.col(key)), text, "__terms", ngram_range)
             .select(key, F.explode("__terms").alias("term"))
             .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
+#: Cells that terms are hashed to when counts are bounded.
+TERM_CELLS = 1 << 18
+#: Cells looked into at first, as a multiple of the vocabulary size.
+FIRST_CELLS = 4
+
+
+def top_terms(train_rows: DataFrame, terms: DataFrame, group, key: str, k: int) -> DataFrame:
+    """(group..., term, total, df) of a superset of every group's ``k`` most
+    frequent terms, with exact counts. The tail of rare terms is never shuffled:
+
+    1. totals by hash cell (at most ``TERM_CELLS`` a group): a cell's total bounds its
+       terms' totals from above;
+    2. exact totals of the terms in the largest ``FIRST_CELLS`` * k cells; the
+       k-th largest of them is a bound from below;
+    3. where a further cell reaches that bound, exact totals of its terms too."""
+    from ..session import cut_lineage, join_small
+
+    # the groups of a row travel as one array and terms are counted per set of
+    # groups, so the exploded terms are not multiplied by the runs
+    member = train_rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*group))).alias("__in"))
+    cell = F.pmod(F.xxhash64("term"), F.lit(TERM_CELLS)).cast("int")
+    counted = member.join(terms, key).withColumn("__cell", cell)
+    names = [F.col(f"__g.{g}").alias(g) for g in group]
+
+    def per_group(rows: DataFrame, by: str, *sums):
+        sets = rows.groupBy("__in", by).agg(*[F.sum(c).alias(n) for n, c in sums])
+        return sets.select(F.explode("__in").alias("__g"), by, *[n for n, _ in sums]).groupBy(*names, by).agg(*[F.sum(n).alias(n) for n, _ in sums])
+
+    def exact(cells: DataFrame) -> DataFrame:
+        """Exact counts of the terms in the given (group..., __cell)."""
+        wanted = cells.groupBy("__cell").agg(F.collect_set(F.struct(*group)).alias("__of"))
+        hits = join_small(counted, wanted, ["__cell"], limit=2 * TERM_CELLS)
+        hits = hits.withColumn("__in", F.array_intersect("__in", "__of")).where(F.size("__in") > 0)
+        return per_group(hits, "term", ("total", F.col("tf")), ("df", F.lit(1)))
+
+    order = Window.partitionBy(*group).orderBy(F.desc("bound"), "__cell")
+    near = per_group(counted, "__cell", ("bound", F.col("tf"))).withColumn("__at", F.row_number().over(order))
+    # one row beyond those looked into tells whether they were enough
+    cells = cut_lineage(near.where(F.col("__at") <= FIRST_CELLS * k + 1), "term-cells")
+    first = cut_lineage(exact(cells.where(F.col("__at") <= FIRST_CELLS * k)), "term-counts")
+    floor = (first.withColumn("__at", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("total"))))
+             .where(F.col("__at") <= k).groupBy(*group).agg(F.min("total").alias("floor"), F.count("*").alias("__n")))
+    # fewer than k terms so far: nothing is ruled out
+    floor = floor.select(*group, F.when(F.col("__n") < k, F.lit(0)).otherwise(F.col("floor")).alias("floor"))
+    beyond = cells.where(F.col("__at") == FIRST_CELLS * k + 1).join(floor, group).where(F.col("bound") >= F.col("floor")).select(*group, "floor")
+    if beyond.isEmpty():
+        return first
+    rest = join_small(near.where(F.col("__at") > FIRST_CELLS * k), beyond, list(group)).where(F.col("bound") >= F.col("floor"))
+    return first.unionByName(exact(rest.select(*group, "__cell")))
+
+
 def fit_vocabulary(train_rows: DataFrame, terms: DataFrame, group=("dataset", "run_id"), key: str = "claim_id",
                    max_features: int = TFIDF_MAX_FEATURES) -> DataFrame:
     """(group..., term, total, df, rank, index, idf) per training part."""
     group = list(group)
-    # the groups of a claim travel as one array and terms are first counted per
-    # set of groups, so the exploded terms are not multiplied by the runs
-    member = train_rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*group))).alias("__in"))
-    per_set = (member.join(terms, key).groupBy("__in", "term")
-               .agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")))
-    stats = (per_set.select(F.explode("__in").alias("__g"), "term", "total", "df")
-             .groupBy(*[F.col(f"__g.{g}").alias(g) for g in group], "term")
-             .agg(F.sum("total").alias("total"), F.sum("df").alias("df")))
+    stats = top_terms(train_rows, terms, group, key, max_features)
     w = Window.partitionBy(*group).orderBy(F.desc("total"), F.asc("term"))
     top = stats.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_features)
     n_docs = train_rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n_docs"))
@@ -101,94 +138,89 @@ def fit_vocabulary(train_rows: DataFrame, terms: DataFrame, group=("dataset", "r
 
 def tfidf_weights(rows: DataFrame, terms: DataFrame, vocab: DataFrame, group=("dataset", "run_id"),
                   key: str = "claim_id") -> DataFrame:
-    """(group..., key, term, index, weight), L2-normalised per row. The
-    vocabulary is at most ``max_features`` rows per group; Spark broadcasts it
-    once its size is measured."""
+    """(group..., key, term, index, weight), L2-normalised per row. Terms
+    outside every vocabulary go before the rows are multiplied by their groups; a
+    row's weights are gathered once (at most the vocabulary size) and normalised
+    inside the row."""
+    from ..session import join_small
+
     group = list(group)
-    j = (rows.select(*group, key).join(terms, key)
-         .join(vocab.select(*group, "term", "idf", "index"), group + ["term"])
-         .withColumn("w", F.col("tf") * F.col("idf")))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*group, key)))
-    return j.withColumn("weight", F.col("w") / norm).select(*group, key, "term", "index", "weight")
+    used = join_small(terms, vocab.select("term").distinct(), ["term"])
+    j = join_small(rows.select(*group, key).join(used, key), vocab.select(*group, "term", "idf", "index"), group + ["term"])
+    j = j.withColumn("w", F.col("tf") * F.col("idf"))
+    held = j.groupBy(*group, key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
+                                      F.collect_list(F.struct("term", "index", "w")).alias("ws"))
+    return held.select(*group, key, "norm", F.inline("ws")).select(*group, key, "term", "index", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 # ---- learned baseline (B5, B6) -----------------------------------------------
 
-def _group_tag(group) -> Column:
-    return F.concat_ws("#", *[F.col(g).cast("string") for g in group])
+def group_features(rows: DataFrame, terms: DataFrame, vocab: DataFrame, group=("dataset", "run_id"), key: str = "claim_id",
+                   label: str = "label") -> DataFrame:
+    """(group..., key, label, index, value): tf * idf of every row under its
+    group's vocabulary, not yet normalised."""
+    from ..session import join_small
+
+    group = list(group)
+    return join_small(rows.select(*group, key, label).join(terms, key), vocab.select(*group, "term", "index", "idf"), group + ["term"]).select(
+        *group, key, label, "index", (F.col("tf") * F.col("idf")).alias("value"))
+
+
+class GroupModels:
+    """Fitted B5 models: ``vocabulary`` (group..., term, index, idf), ``weights``
+    (group..., problem, index, weight), ``terms`` (key, term, tf) of the vocabulary's terms."""
 
+    def __init__(self, vocabulary, weights, terms):
+        self.vocabulary, self.weights, self.terms = vocabulary, weights, terms
 
-def joint_features(rows: DataFrame, vocab: DataFrame, group=("dataset", "run_id"), text: str = "claim"):
-    """MLlib feature vectors for ``rows``: block-per-group TF-IDF (L2) plus a
-    per-group bias. The transformers hold ``vocab`` on the driver: callers pass
-    the groups of one fit (``GROUPS_PER_FIT`` x max_features rows at most)."""
-    from pyspark.ml import PipelineModel
-    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
-    from pyspark.ml.linalg import Vectors
+
+def fit_group_models(train: DataFrame, claims: DataFrame, group=("dataset", "run_id"), text: str = "claim", label: str = "label",
+                     key: str = "claim_id", max_features: int = TFIDF_MAX_FEATURES, max_iter: int = LR_MAX_ITER,
+                     penalty: float = 1.0) -> GroupModels:
+    """One TF-IDF + L2 logistic regression (C = 1 / penalty) per group,
+    all fitted together. Terms are taken from each text once."""
+    from ..session import cut_lineage, join_small
+    from .logistic import feature_blocks, fit_logistic
 
     group = list(group)
-    entries = (vocab.select(_group_tag(group).alias("g"), "term", "index", "idf")
-               .orderBy("g", "index").collect())
-    tokens = [f"{r['g']}|{r['term']}" for r in entries]
-    idf = [float(r["idf"]) for r in entries]
-    tags = sorted({r["g"] for r in entries})
-    tf_model = CountVectorizerModel.from_vocabulary(tokens, inputCol="__tok", outputCol="__tf")
-    scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="__tf", outputCol="__tfidf")
-    norm = Normalizer(p=2.0, inputCol="__tfidf", outputCol="__norm")
-    bias_model = CountVectorizerModel.from_vocabulary(tags, inputCol="__gtag", outputCol="__bias1")
-    bias_scale = ElementwiseProduct(scalingVec=Vectors.dense([BIAS_SCALE] * len(tags)), inputCol="__bias1",
-                                    outputCol="__bias")
-    assemble = VectorAssembler(inputCols=["__norm", "__bias"], outputCol="features")
-    tag = _group_tag(group)
-    prepared = (with_terms(rows.withColumn("__tag", tag), text, "__terms")
-                .withColumn("__tok", F.transform(F.col("__terms"), lambda t: F.concat(F.col("__tag"), F.lit("|"), t)))
-                .withColumn("__gtag", F.array(F.col("__tag"))).drop("__terms", "__tag"))
-    model = PipelineModel(stages=[tf_model, scale, norm, bias_model, bias_scale, assemble])
-    return model.transform(prepared).drop("__tok", "__gtag", "__tf", "__tfidf", "__norm", "__bias1", "__bias")
+    terms = term_frequencies(claims, key, text)
+    vocab = cut_lineage(fit_vocabulary(train, terms, group, key, max_features), "vocabulary")
+    used = cut_lineage(join_small(terms, vocab.select("term").distinct(), ["term"]), "vocabulary-terms")
+    labelled = train.where(F.col(label).isNotNull())
+    features = group_features(labelled, used, vocab, group, key, label)
+    blocks = feature_blocks(labelled, features, group, key, label)
+    return GroupModels(vocab, fit_logistic(blocks, group, max_features, [penalty], max_iter=max_iter), used)
 
 
 def tfidf_lr_baseline(train: DataFrame, test: DataFrame, group=("dataset", "run_id"), text: str = "claim",
                       label: str = "label", key: str = "claim_id", out: str = "tfidf_baseline",
                       min_rows: int = 10, max_features: int = TFIDF_MAX_FEATURES,
-                      max_iter: int = LR_MAX_ITER, claims: DataFrame | None = None) -> DataFrame:
+                      max_iter: int = LR_MAX_ITER, claims: DataFrame | None = None, inner_split: bool = False) -> DataFrame:
     """B5 + B6: fit TF-IDF + L2 logistic regression on each group's train part,
-    predict its test part. ``claims`` (key, text) holds each text once, so terms
-    are taken before the fan-out to runs. Groups with fewer than ``min_rows`` valid train rows
-    get the majority label (column ``majority_baseline`` of ``test``)."""
-    from pyspark.ml.classification import LogisticRegression
-
-    from ..session import cut_lineage, join_small
+    predict its test part. ``claims`` (key, text) holds each text once; then
+    ``train`` and ``test`` need no text. Groups with fewer than ``min_rows`` valid
+    train rows, or with one class only, get the majority label (column
+    ``majority_baseline`` of ``test``). ``inner_split`` (B7) fits on the train half of
+    a label-stratified 80/20 split of each group's train part."""
+    from ..session import join_small
     from .baselines import guard_counts
+    from .logistic import margins
 
     group = list(group)
     if claims is None:
         claims = train.select(key, text).unionByName(test.select(key, text)).dropDuplicates([key])
-    vocab = cut_lineage(fit_vocabulary(train, term_frequencies(claims, key, text), group, key, max_features), "vocabulary")
-    guard = guard_counts(train, group, text, label, min_rows).select(*group, F.col("use_majority").alias("__guard"))
-    tags = vocab.select(*group).distinct()
-    n_blocks = max(1, -(-tags.count() // GROUPS_PER_FIT))
-    block = F.pmod(F.xxhash64(*group), F.lit(n_blocks)) if n_blocks > 1 else F.lit(0)
-    scored = None
-    for k in range(n_blocks):  # groups are independent: one joint fit per block of them
-        part = vocab.where(block == k)
-        out_k = test.where(block == k)
-        n = 0
-        if not part.isEmpty():
-            train_f = joint_features(train.where(block == k).where(F.col(label).isNotNull()), part, group, text)
-            n = train_f.count()
-        if n:
-            lr = LogisticRegression(featuresCol="features", labelCol=label, predictionCol="__pred", fitIntercept=False,
-                                    regParam=1.0 / n, elasticNetParam=0.0, standardization=False,
-                                    maxIter=max_iter, tol=LR_TOLERANCE)
-            model = lr.fit(train_f.withColumn(label, F.col(label).cast("double")))
-            out_k = (model.transform(joint_features(out_k, part, group, text))
-                     .drop("features", "rawPrediction", "probability"))
-        else:
-            out_k = out_k.withColumn("__pred", F.lit(None).cast("double"))
-        scored = out_k if scored is None else scored.unionByName(out_k)
+    with_text = train if text in train.columns else train.join(claims, key)
+    guard = guard_counts(with_text, group, text, label, min_rows).select(*group, F.col("use_majority").alias("__guard"))
+    fit_on = train
+    if inner_split:
+        from .splits import label_split
+        fit_on = label_split(train.where(F.col(label).isNotNull()), label=label, test_share=0.2, key=key, group=group, part_col="__half").where("__half = 'train'")
+    models = fit_group_models(fit_on, claims, group, text, label, key, max_features, max_iter)
+    scored = margins(test, group_features(test, models.terms, models.vocabulary, group, key, label), models.weights, group, key)
+    scored = test.join(scored.select(*group, key, "margin"), [*group, key], "left")
     scored = join_small(scored, guard, group, "left")
-    pred = F.when(F.coalesce(F.col("__guard"), F.lit(True)), F.col("majority_baseline")).otherwise(F.col("__pred").cast("int"))
-    return scored.withColumn(out, pred.cast("int")).drop("__pred", "__guard")
+    pred = F.when(F.coalesce(F.col("__guard"), F.lit(True)) | F.col("margin").isNull(), F.col("majority_baseline")).otherwise((F.col("margin") > 0).cast("int"))
+    return scored.withColumn(out, pred.cast("int")).drop("margin", "__guard")
 
 
 # ---- token encoding (B8) -------------------------------------------------------

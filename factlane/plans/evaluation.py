@@ -83,8 +83,7 @@ def split_results(claims: DataFrame, n_runs: int = K.N_RUNS, seeds=K.RUN_SEEDS,
     if with_tfidf:
         from ..operators.tfidf import tfidf_lr_baseline
         text = clean_claims(claims) if clean else claims
-        test = tfidf_lr_baseline(with_claim_text(train, text), with_claim_text(test, text),
-                                 claims=text.select("claim_id", "claim"))
+        test = tfidf_lr_baseline(train, test, claims=text.select("claim_id", "claim"))
     return test
 
 

@@ -13,7 +13,7 @@ from ..operators.splits import label_split
 from . import evaluation as E
 from .queries_eval import claims_of
 from .registry import query, rounded, sql_runs, sql_split, sql_str, sql_with
-from .sql_eval import sql_clean_claims
+from .sql_eval import sql_clean_claims, sql_counts, sql_long, sql_metrics, sql_split_results
 
 SQL_TERMS = f"""
     toks AS (SELECT claim_id, regexp_extract_all(lower(claim), {sql_str(T.TOKEN_PATTERN)}) AS t FROM clean),
@@ -91,6 +91,53 @@ def a5_tfidf_tests(spark, sf_dir):
     return rounded(A.one_sample_tests(cut_lineage(records, "records")))
 
 
+def _b5_models(spark, sf_dir):
+    claims = claims_of(spark, sf_dir)
+    train = E.split_parts(claims).where(F.col("split") == "train").select("dataset", "run_id", "claim_id", "label")
+    text = clean_claims(claims).select("claim_id", "claim")
+    return train, T.fit_group_models(train, text)
+
+
+@query("b5_lr_optimality", sql_with(*SQL_TFIDF_BASE) + """
+SELECT dataset, run_id, term, df, true AS stationary FROM vidf""")
+def b5_lr_optimality(spark, sf_dir):
+    """For every weight, whether the penalised log-loss is stationary there:
+    sum over train rows of value * (chance - label), plus the weight, is 0. The
+    sums are plain joins and aggregates over the stored weights, apart from the
+    solver; the loss is convex, so a stationary point is the model."""
+    from ..operators.logistic import INTERCEPT, margins
+    from ..session import cut_lineage
+
+    train, models = _b5_models(spark, sf_dir)
+    group = ["dataset", "run_id"]
+    rows = train.where(F.col("label").isNotNull())
+    values = cut_lineage(T.tfidf_weights(rows, models.terms, models.vocabulary), "train-values")
+    raw = values.select(*group, "claim_id", "index", F.col("weight").alias("value"))
+    chance = margins(rows, raw, models.weights, group, "claim_id", normalise=False).withColumn("p", 1 / (1 + F.exp(-F.col("margin"))))
+    rest = chance.join(rows, [*group, "claim_id"]).select(*group, "claim_id", (F.col("p") - F.col("label")).alias("rest"))
+    pull = values.join(rest, [*group, "claim_id"]).groupBy(*group, "index").agg(F.sum(F.col("weight") * F.col("rest")).alias("pull"))
+    weights = models.weights.where(F.col("index") != INTERCEPT)
+    return (models.vocabulary.join(weights, [*group, "index"], "left").join(pull, [*group, "index"], "left")
+            .select(*group, "term", "df", (F.abs(F.col("pull") + F.col("weight")) < 1e-3).alias("stationary")))
+
+
+@query("b5_expected_positives", sql_with(sql_clean_claims(), sql_runs(), sql_split("clean")) + """
+SELECT dataset, run_id, count(label) AS n_train, CAST(sum(label) AS BIGINT) AS n_true, round(CAST(sum(label) AS DOUBLE), 2) AS expected_true
+FROM split WHERE split = 'train' GROUP BY dataset, run_id""")
+def b5_expected_positives(spark, sf_dir):
+    """The chances of each train part sum to its number of true claims, as a
+    free intercept demands."""
+    from ..operators.logistic import margins
+
+    train, models = _b5_models(spark, sf_dir)
+    group = ["dataset", "run_id"]
+    rows = train.where(F.col("label").isNotNull())
+    scored = margins(rows, T.group_features(rows, models.terms, models.vocabulary), models.weights, group, "claim_id")
+    return (scored.join(rows, [*group, "claim_id"]).groupBy(*group)
+            .agg(F.count("*").alias("n_train"), F.sum("label").cast("bigint").alias("n_true"),
+                 F.round(F.sum(1 / (1 + F.exp(-F.col("margin")))), 2).alias("expected_true")))
+
+
 ENC_LEN = K.ENCODER_MAX_LENGTH
 
 
@@ -119,6 +166,12 @@ def b8_token_encoding(spark, sf_dir):
                       as_text("attention_mask").alias("attention_mask"))
 
 
+def _b9_model(spark, sf_dir):
+    from ..operators.classifier import fit_text_classifier
+
+    return fit_text_classifier(label_split(clean_claims(claims_of(spark, sf_dir)), seed=42))
+
+
 @query("b9_text_classifier")
 def b9_text_classifier(spark, sf_dir):
     """Both datasets together, label-stratified 70/30 split (seed 42), a
@@ -130,6 +183,40 @@ def b9_text_classifier(spark, sf_dir):
     return train_text_classifier(label_split(claims, seed=42))
 
 
+@query("b9_expected_positives", sql_with(sql_clean_claims(), sql_split("clean", by_domain=False, seed="42", group=("g",), cross_runs=False).replace(
+    "FROM clean)", "FROM (SELECT *, 0 AS g FROM clean))", 1)) + """
+SELECT count(label) AS n_train, CAST(sum(label) AS BIGINT) AS n_true, round(CAST(sum(label) AS DOUBLE), 1) AS expected_true
+FROM split WHERE split = 'train'""")
+def b9_expected_positives(spark, sf_dir):
+    """The final model's chances over all train rows sum to the number of
+    true claims, as a free intercept demands."""
+    from ..operators.logistic import margins
+
+    model = _b9_model(spark, sf_dir)
+    rows = model.rows.where((F.col("split") == "train") & F.col("label").isNotNull()).withColumn("__model", F.lit(0))
+    scored = margins(rows, model.features.join(rows.select("claim_id"), "claim_id", "left_semi").withColumn("__model", F.lit(0)),
+                     model.weights, ["__model"], "claim_id")
+    return scored.join(rows.select("claim_id", "label"), "claim_id").agg(
+        F.count("*").alias("n_train"), F.sum("label").cast("bigint").alias("n_true"),
+        F.round(F.sum(1 / (1 + F.exp(-F.col("margin")))), 1).alias("expected_true"))
+
+
+CANDIDATES = {"prediction": "Model", "random_baseline": "Random", "majority_baseline": "Majority"}
+
+
+@query("x4_candidate_scores", sql_with(*sql_split_results(), sql_long("results", CANDIDATES, baselines_once=False), sql_counts("long", per_domain=False), sql_metrics()) + """
+SELECT dataset, run_id, condition, n_samples AS n, round(macro_f1, 6) AS macro_f1 FROM met""")
+def x4_candidate_scores(spark, sf_dir):
+    """Macro F1 of all candidate predictions in one grouped aggregate, as
+    the classifier's model selection takes it."""
+    from ..operators.classifier import candidate_scores
+
+    results = E.split_results(claims_of(spark, sf_dir))
+    long = results.select("dataset", "run_id", "label", F.explode(F.array(*[
+        F.struct(F.lit(name).alias("condition"), F.col(c).cast("int").alias("pred")) for c, name in CANDIDATES.items()])).alias("c"))
+    return rounded(candidate_scores(long.select("dataset", "run_id", "label", "c.*"), ["dataset", "run_id", "condition"], prediction="pred"))
+
+
 @query("b9_classifier_metrics")
 def b9_classifier_metrics(spark, sf_dir):
     """G4 + G10 on the classifier's test predictions: weighted precision,

@@ -64,14 +64,98 @@ def test_lr_baseline_matches_a_plain_solver_and_guards(spark):
     assert all(got[r[2]] == 0 for r in data if r[0] == "C" and r[6] == "test")
 
 
-def test_blocks_of_groups_give_the_same(spark, monkeypatch):
-    from factlane.operators import tfidf
-
-    df = spark.createDataFrame(rows("A", 40, 0) + rows("B", 40, 100, 5), COLUMNS)
-    parts = df.where("split = 'train'"), df.where("split = 'test'")
-    whole = sorted((r["claim_id"], r["tfidf_baseline"]) for r in tfidf_lr_baseline(*parts).collect())
-    monkeypatch.setattr(tfidf, "GROUPS_PER_FIT", 1)
-    assert sorted((r["claim_id"], r["tfidf_baseline"]) for r in tfidf_lr_baseline(*parts).collect()) == whole
+def long_features(spark, n_groups=3, rows=120, places=8, seed=1):
+    rng = np.random.default_rng(seed)
+    keys, values = [], []
+    for g in range(n_groups):
+        w = rng.normal(size=places) * 3
+        for i in range(rows):
+            at, v = rng.choice(places, 3, replace=False), rng.random(3) + 0.1
+            y = int(rng.random() < 1 / (1 + np.exp(0.5 - v @ w[at])))
+            keys.append((f"g{g}", g, i, y))
+            if i:  # row 0 of a group has no feature at all
+                values += [(f"g{g}", g, i, y, int(a), float(x)) for a, x in zip(at, v)]
+    return (spark.createDataFrame(keys, "dataset string, run_id int, claim_id bigint, label int"),
+            spark.createDataFrame(values, "dataset string, run_id int, claim_id bigint, label int, index int, value double"))
+
+
+def test_many_blocks_give_the_same_weights(spark):
+    """Groups in one block are solved in place, in many by an iteration a job."""
+    from factlane.operators.logistic import feature_blocks, fit_logistic
+
+    rows_, values = long_features(spark)
+    group, found = ["dataset", "run_id"], []
+    for size in (10**6, 90):
+        blocks = feature_blocks(rows_, values, group, "claim_id", "label", block_values=size)
+        assert blocks.where("n_blocks > 1").isEmpty() == (size > 1000)
+        fitted = fit_logistic(blocks, group, 8, penalties=(1.0, 0.1))
+        found.append({(r.dataset, r.problem, r["index"]): r.weight for r in fitted.collect()})
+    assert found[0].keys() == found[1].keys() and len(found[0]) == 3 * 2 * 9
+    assert max(abs(found[0][k] - found[1][k]) for k in found[0]) < 1e-6
+
+
+def test_state_survives_a_table_row():
+    from factlane.operators.logistic import Lbfgs
+
+    a = np.diag([1.0, 10.0, 100.0])
+    fit, kept = Lbfgs(3, 1e-9), Lbfgs(3, 1e-9)
+    fit.at = kept.at = np.array([3.0, -2.0, 1.0])
+    done = False
+    for _ in range(60):
+        done = fit.tell(0.5 * fit.at @ a @ fit.at, a @ fit.at)
+        kept = Lbfgs.unpack(kept.pack(), 3)
+        assert kept.tell(0.5 * kept.at @ a @ kept.at, a @ kept.at) == done and (kept.at == fit.at).all()
+        if done:
+            break
+    assert done and np.abs(fit.weights()).max() < 1e-8
+
+
+def test_ten_thousand_groups_without_terms_on_the_driver(spark, monkeypatch):
+    """Vocabularies and weights stay tables: nothing is collected on the way."""
+    from pyspark.sql import DataFrame
+    from pyspark.sql import functions as F
+
+    from factlane.operators.logistic import margins
+    from factlane.operators.tfidf import fit_group_models, group_features
+
+    n = 10_000
+    claims = spark.range(0, 6 * n, 1, 8).select(F.col("id").alias("claim_id"), F.concat_ws(
+        " ", F.lit("word"), F.concat(F.lit("t"), F.col("id") % 7), F.concat(F.lit("u"), F.col("id") % 3)).alias("claim"))
+    train = claims.select(F.lit("A").alias("dataset"), (F.col("claim_id") / 6).cast("int").alias("run_id"), "claim_id",
+                          (F.col("claim_id") % 5 < 2).cast("int").alias("label"))
+
+    def no_collect(*_):
+        raise AssertionError("rows on the driver")
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "collect", no_collect)
+        m.setattr(DataFrame, "toLocalIterator", no_collect)
+        models = fit_group_models(train, claims, max_features=10)
+    group = ["dataset", "run_id"]
+    scored = margins(train, group_features(train, models.terms, models.vocabulary), models.weights, group, "claim_id")
+    sums = scored.join(train, [*group, "claim_id"]).groupBy(*group).agg(
+        F.abs(F.sum(1 / (1 + F.exp(-F.col("margin")))) - F.sum("label")).alias("off"))
+    assert sums.count() == n and sums.where("off > 1e-3").isEmpty()
+
+
+def test_top_terms_are_exact(spark, monkeypatch):
+    """Bounds on cells against counting every term, also where the first cells
+    are not enough."""
+    from pyspark.sql import functions as F
+
+    from factlane.operators import tfidf as T
+
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 40) % 400)) for i in range(80)], "claim_id bigint, claim string")
+    train = docs.select("claim_id").withColumn("run_id", F.explode(F.array(F.lit(0), F.lit(1)))).where("(claim_id + run_id) % 3 > 0")
+    terms = T.term_frequencies(docs)
+    plain = train.join(terms, "claim_id").groupBy("run_id", "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).collect()
+    for cells, first in ((1 << 18, 4), (64, 1), (3000, 1)):
+        monkeypatch.setattr(T, "TERM_CELLS", cells)
+        monkeypatch.setattr(T, "FIRST_CELLS", first)
+        got = T.fit_vocabulary(train, terms, ["run_id"], max_features=25).collect()
+        for run in (0, 1):
+            best = sorted(((-r.total, r.term, r.df) for r in plain if r.run_id == run))[:25]
+            assert sorted((-r.total, r.term, r.df) for r in got if r.run_id == run) == best
 
 
 def test_classifier_learns_and_macro_f1(spark):
@@ -81,3 +165,11 @@ def test_classifier_learns_and_macro_f1(spark):
     pairs = [(0, 0)] * 4 + [(0, 1)] * 2 + [(1, 0)] + [(1, 1)] * 3
     got = MacroF1Evaluator().evaluate(spark.createDataFrame(pairs, "label int, prediction int"))
     assert abs(got - (8 / 11 + 6 / 9) / 2) < 1e-9
+
+
+def test_classifier_handles_empty_texts_and_reports_scores(spark):
+    from factlane.operators.classifier import fit_text_classifier
+
+    data = [(*r[:3], "" if r[2] % 11 == 0 else r[3], *r[4:]) for r in rows("A", 120, 0)]
+    model = fit_text_classifier(spark.createDataFrame(data, COLUMNS).drop("majority_baseline"))
+    assert set(model.scores) == {1e-3, 1e-2, 1e-1} and model.penalty == max(model.scores, key=lambda k: (model.scores[k], -k))
