@@ -27,7 +27,9 @@ no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -35,6 +37,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from ..session import cut_lineage, join_small
 from .common import BATCH_BYTES, sliced, word_chunks
@@ -48,42 +52,46 @@ MEMO_WORDS = 600_000
 
 # --- ids of whole texts -----------------------------------------------------------
 
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
 class WordIds(dict):
     """Ids of a text, white-space separated word by word: the tokenizer drops white
-    space and never joins what stands on its two sides. word -> (place, count) in
-    ``flat``; each distinct word is encoded once."""
+    space and never joins what stands on its two sides. word -> number of its
+    entry, whose ids stand in ``flat``; each distinct word is encoded once."""
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer, self.model = tokenizer, tokenizer.model
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.place, self.count, self.used = [], [], 0
-
-    def encode(self, word: bytes) -> list[int]:
-        # An ASCII word is one piece for the model; a stop or comma behind an
-        # ASCII letter is a piece of its own. '<' may begin a special token.
-        low = word.lower()
-        if low.isalpha():
-            return [t.id for t in self.model.tokenize(low.decode())]
-        if low[-1:] in b".," and low[-2:-1].isalpha() and b"<" not in low:
-            return [*self.ids_of(low[:-1]), *self.ids_of(low[-1:])]
-        return self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-
-    def ids_of(self, word: bytes) -> list[int]:
-        k = self[word]
-        return self.flat[self.place[k]:self.place[k] + self.count[k]].tolist()
+        self.tokenizer, self.tokenize = tokenizer, tokenizer.model.tokenize
+        self.flat, self.place, self.count = array("I"), array("q"), array("q")
+        byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.symbols = {c: byte_level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
 
     def __missing__(self, word: bytes) -> int:
-        ids = self.encode(word)
+        """Latin letters are one piece for the model, in lower case and composed as
+        they are. A stop or comma behind such a letter is a piece of its own.
+        All else goes through the whole tokenizer."""
+        text = word.decode()
+        if LETTERS.fullmatch(text):
+            low = text.lower()
+            if low != text:
+                k = self[word] = self[low.encode()]
+                return k
+            ids = [t.id for t in self.tokenize(text if text.isascii() else text.translate(self.symbols))]
+        elif text[-1] in ".," and LETTERS.match(text[-2:-1]):
+            stem, stop = self[word[:-1]], self[word[-1:]]
+            ids = self.ids_of(stem) + self.ids_of(stop)
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         k = self[word] = len(self.place)
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-        self.flat[self.used:self.used + len(ids)] = ids
-        self.place.append(self.used)
+        self.place.append(len(self.flat))
         self.count.append(len(ids))
-        self.used += len(ids)
+        self.flat.extend(ids)
         return k
 
+    def ids_of(self, k: int) -> array:
+        return self.flat[self.place[k]:self.place[k] + self.count[k]]
+
     def batch(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, first id of each text and the end): every text closed by ``end``."""
         get = self.__getitem__
@@ -93,7 +101,8 @@ class WordIds(dict):
                 words.append(np.fromiter(map(get, chunk), np.int64, len(chunk)))
                 n[k] += len(chunk)
         index = np.concatenate(words)
-        count = np.array(self.count, np.int64)[index]
+        flat, place, every = np.array(self.flat, np.uint32), np.array(self.place, np.int64), np.array(self.count, np.int64)
+        count = every[index]
         at = np.zeros(len(index) + 1, np.int64)
         np.cumsum(count, out=at[1:])
         last = np.cumsum(n)
@@ -103,22 +112,21 @@ class WordIds(dict):
         ids = np.full(int(first[-1]), end, np.uint32)
         to = at[:-1] + np.repeat(np.arange(len(texts)), n)
         # word ids are laid down by their position inside the word
-        source = np.array(self.place, np.int64)[index]
+        source = place[index]
         step, live = 0, np.arange(len(index))
         while len(live):
             live = live[count[live] > step]
-            ids[to[live] + step] = self.flat[source[live] + step]
+            ids[to[live] + step] = flat[source[live] + step]
             step += 1
             if step == 16:  # long words: one by one
                 for k in live[count[live] > step].tolist():
-                    ids[to[k] + step:to[k] + count[k]] = self.flat[source[k] + step:source[k] + count[k]]
+                    ids[to[k] + step:to[k] + count[k]] = flat[source[k] + step:source[k] + count[k]]
                 break
         return ids, first
 
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
-    from tokenizers import Tokenizer
     return Tokenizer.from_file(path)
 
 
