@@ -1,24 +1,24 @@
 """Suffix-array dedup by merging shard Burrows-Wheeler transforms (operator 4).
 
-Every byte covered by a ``MATCH``-byte string that starts at two places or more
-(in any document, or twice in one) is removed. The suffixes that can match are
+Every byte covered by a ``match``-byte string that starts at two places or more
+(in any document, or twice in one) is removed (``Width``; 400 bytes by default). The suffixes that can match are
 brought together by content, indexed in shards, and the shards' transforms are
 merged:
 
-1. Each window of ``MATCH`` bytes has a minimizer, the least hash of its
-   ``GRAM``-byte strings (leftmost on ties). Equal windows have equal
+1. Each window of ``match`` bytes has a minimizer, the least hash of its
+   ``gram``-byte strings (leftmost on ties). Equal windows have equal
    minimizers, so runs of window starts with one minimizer are counted by it;
    only minimizers seen in two runs of different contents (or twice in one
    document) go on.
 2. Those runs travel with their bytes to the minimizer's bucket, equal
    contents once per block. There each shard of at most ``SHARD_BYTES``
    gets the suffix array and the Burrows-Wheeler transform of its segments.
-   The alphabet is blocks of ``STEP`` bytes (a segment is one string for each
-   remainder of its positions), so four symbols are ``MATCH`` bytes.
+   The alphabet is blocks of ``step`` bytes (a segment is one string for each
+   remainder of its positions), so four symbols are ``match`` bytes.
 3. Transforms are merged without sorting suffixes again: starting from
    "first shard, then second shard", each round deals the interleave stably by
    the transform's symbols and thereby sorts it by one symbol more; after
-   ``MATCH / STEP`` rounds it is sorted by ``MATCH`` bytes, and the places where
+   ``match / step`` rounds it is sorted by ``match`` bytes, and the places where
    neighbours first differed give the common prefixes. Intervals that share all
    symbols and hold two starts or more are repeats.
 
@@ -31,12 +31,13 @@ bytes instead (128 bits), once per block, and windows that meet are repeats. So
 a passage shared by many documents does not fill one bucket, however long it is.
 
 Defined results: null text is empty; equal rows (id and text) are repeats of
-each other; a text shorter than ``MATCH`` keeps all its bytes.
+each other; a text shorter than ``match`` keeps all its bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -49,10 +50,22 @@ from .common import map_texts, text_buffers
 from .hashing import BYTE_TABLE, R_BYTE, R_WORD, mix, powers, running, with_row_key
 from .substring_dedup import _arrow_schema, _first_of, _grouped_bytes, _joined, _packed
 
-MATCH = 400
-GRAM = 150
-SPAN = MATCH - GRAM + 1  # grams in a window
-STEP = 100
+
+
+class Width(NamedTuple):
+    """Bytes of a string that must not repeat, of the grams its minimizer is
+    taken from, and of a symbol of the transforms (a whole part of ``match``)."""
+    match: int
+    gram: int
+    step: int
+
+    @property
+    def span(self) -> int:
+        """Grams in a window."""
+        return self.match - self.gram + 1
+
+
+WIDTH = Width(400, 150, 100)
 BUCKET_BYTES = 8 << 20
 SHARD_BYTES = 1 << 20
 BATCH = 2 << 20
@@ -63,7 +76,7 @@ PLACE = np.uint64((1 << 22) - 1)
 
 # --- minimizers --------------------------------------------------------------------
 
-def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
+def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     n = len(data) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -94,15 +107,15 @@ def _piece_least(h: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(behind[:n], ahead[width - 1:width - 1 + n]) & PLACE).astype(np.int64)
 
 
-def minimizer_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+def minimizer_runs(data: np.ndarray, offsets: np.ndarray, w: Width = WIDTH) -> tuple[np.ndarray, ...]:
     """(minimizer, text, first start, number of starts) of all runs."""
     none = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
     lengths = np.diff(offsets)
-    n_starts = np.maximum(lengths - MATCH + 1, 0)
+    n_starts = np.maximum(lengths - w.match + 1, 0)
     if not n_starts.any():
         return none
-    h = gram_hashes(data)
-    place = sliding_least(h, SPAN)
+    h = gram_hashes(data, w.gram)
+    place = sliding_least(h, w.span)
     text = np.repeat(np.arange(len(lengths)), n_starts)
     within = np.arange(len(text)) - np.repeat(np.cumsum(n_starts) - n_starts, n_starts)
     at = place[offsets[:-1][text] + within]
@@ -116,7 +129,7 @@ RUN_ROWS = "bucket int, doc bigint, seq binary, n_bytes bigint, sha string, mark
 FACT_ROWS = "key bigint, content bigint, seq binary, n_bytes bigint, sha string, marks binary, hot binary"
 
 
-def _run_rows(n_buckets: int):
+def _run_rows(n_buckets: int, w: Width):
     schema = _arrow_schema(RUN_ROWS)
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -126,7 +139,7 @@ def _run_rows(n_buckets: int):
         texts = [raw[offsets[k]:offsets[k + 1]] for k in range(b.num_rows)]
         seqs = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
         content = np.array([int.from_bytes(s[:8], "little", signed=True) for s in seqs], np.int64)
-        value, text, _, _ = minimizer_runs(data, offsets)
+        value, text, _, _ = minimizer_runs(data, offsets, w)
         owner = content[text]
         # runs of one content: copies in the block count once, but a value that
         # a text holds twice stays twice
@@ -186,7 +199,7 @@ SEGMENT_ROWS = ("bucket int, value binary, key binary, start binary, run binary,
 ENTRY_BYTES = 28  # of a window: two hashes, key and start
 
 
-def _subkeys(data: np.ndarray, offsets: np.ndarray, hot: list[np.ndarray], runs: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+def _subkeys(data: np.ndarray, offsets: np.ndarray, hot: list[np.ndarray], runs: tuple[np.ndarray, ...], w: Width) -> tuple[np.ndarray, ...]:
     """Runs of frequent minimizers, cut where one of ``EXTRA`` further
     minimizers (by other hashes of the same grams) changes; the key then joins
     all of them. Equal windows keep equal keys."""
@@ -198,12 +211,12 @@ def _subkeys(data: np.ndarray, offsets: np.ndarray, hot: list[np.ndarray], runs:
             is_hot[mine] = np.isin(value[mine], h)
     if not is_hot.any():
         return runs
-    grams = gram_hashes(data)
+    grams = gram_hashes(data, w.gram)
     out = [[v[~is_hot]] for v in (value, text, start, n)]
     for v, t, s, m in zip(value[is_hot], text[is_hot].tolist(), start[is_hot].tolist(), n[is_hot].tolist()):
         a = offsets[t] + s
-        part = grams[a:a + m + SPAN - 1]
-        at = np.stack([sliding_least(mix(part + np.uint64(e + 1)), SPAN) for e in range(EXTRA)])
+        part = grams[a:a + m + w.span - 1]
+        at = np.stack([sliding_least(mix(part + np.uint64(e + 1)), w.span) for e in range(EXTRA)])
         edges = np.flatnonzero(np.append(True, (at[:, 1:] != at[:, :-1]).any(0)))
         key = np.full(len(edges), v, np.uint64)
         for row in at:
@@ -213,9 +226,9 @@ def _subkeys(data: np.ndarray, offsets: np.ndarray, hot: list[np.ndarray], runs:
     return tuple(np.concatenate(o) for o in out)
 
 
-def _held_runs(b: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+def _held_runs(b: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, w: Width) -> tuple[np.ndarray, ...]:
     """Runs of the batch's marked minimizers, frequent ones cut finer."""
-    value, text, start, run = minimizer_runs(data, offsets)
+    value, text, start, run = minimizer_runs(data, offsets, w)
     edges = np.searchsorted(text, np.arange(b.num_rows + 1))
     held = np.zeros(len(value), bool)
 
@@ -225,18 +238,21 @@ def _held_runs(b: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> tupl
     for k, parts in enumerate(b.column("marks").to_pylist()):
         held[edges[k]:edges[k + 1]] = np.isin(value[edges[k]:edges[k + 1]], values(parts))
     hot = [values(parts) for parts in b.column("hot").to_pylist()]
-    return _subkeys(data, offsets, hot, (value[held], text[held], start[held], run[held]))
+    return _subkeys(data, offsets, hot, (value[held], text[held], start[held], run[held]), w)
+
 
+def _count_rows(w: Width):
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        """(value, runs, starts) of the block's runs by their finer keys."""
+        value, _, _, run = _held_runs(b, *text_buffers(b.column("text")), w)
+        distinct, at = np.unique(value, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(np.bincount(at, minlength=len(distinct)).astype(np.int64)),
+                                           pa.array(np.bincount(at, run, len(distinct)).astype(np.int64))], ["value", "runs", "starts"])
 
-def _count_rows(b: pa.RecordBatch) -> pa.RecordBatch:
-    """(value, runs, starts) of the block's runs by their finer keys."""
-    value, _, _, run = _held_runs(b, *text_buffers(b.column("text")))
-    distinct, at = np.unique(value, return_inverse=True)
-    return pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(np.bincount(at, minlength=len(distinct)).astype(np.int64)),
-                                       pa.array(np.bincount(at, run, len(distinct)).astype(np.int64))], ["value", "runs", "starts"])
+    return batch
 
 
-def _window_entries(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, runs: tuple[np.ndarray, ...], n_buckets: int, n_windows: int) -> list[dict]:
+def _window_entries(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, runs: tuple[np.ndarray, ...], n_buckets: int, n_windows: int, w: Width) -> list[dict]:
     """Rows of all windows of the runs, by hash: starts that repeat inside the
     block are known at once, and one entry of each hash goes on."""
     _, text, start, run = runs
@@ -246,7 +262,7 @@ def _window_entries(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, run
     h1, h2 = (np.zeros(len(at), np.uint64) for _ in range(2))
     for r, out in ((R_BYTE, h1), (R_WORD, h2)):
         p = running(BYTE_TABLE[data], r)
-        out[:] = mix((p[at + MATCH] - p[at]) * powers(r, len(data), inverse=True)[at])
+        out[:] = mix((p[at + w.match] - p[at]) * powers(r, len(data), inverse=True)[at])
     order = np.lexsort((h2, h1))
     h1, h2, key, start = h1[order], h2[order], keys[text[order]], start[order]
     first = np.ones(len(h1), bool)
@@ -274,15 +290,15 @@ def _met_windows(t: pa.Table) -> dict[int, bytes]:
     return _ranges(key[met], start[met])
 
 
-def _segment_rows(n_buckets: int, hot_keys: np.ndarray, n_windows: int):
+def _segment_rows(n_buckets: int, hot_keys: np.ndarray, n_windows: int, w: Width):
     schema = _arrow_schema(SEGMENT_ROWS)
 
     def batch(b: pa.RecordBatch):
         data, offsets = text_buffers(b.column("text"))
         keys = b.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
-        value, text, start, run = found = _held_runs(b, data, offsets)
+        value, text, start, run = found = _held_runs(b, data, offsets, w)
         hot = np.isin(value, hot_keys)
-        windows = _window_entries(data, offsets, keys, tuple(c[hot] for c in found), n_buckets, n_windows) if hot.any() else []
+        windows = _window_entries(data, offsets, keys, tuple(c[hot] for c in found), n_buckets, n_windows, w) if hot.any() else []
         value, text, start, run = (c[~hot] for c in found)
         bucket = (value % np.uint64(n_buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -292,7 +308,7 @@ def _segment_rows(n_buckets: int, hot_keys: np.ndarray, n_windows: int):
         for k in np.flatnonzero(np.diff(cuts)).tolist():
             part = order[cuts[k]:cuts[k + 1]]
             begin = offsets[text[part]] + start[part]
-            pieces = [raw[a:a + n + MATCH - 1] for a, n in zip(begin.tolist(), run[part].tolist())]
+            pieces = [raw[a:a + n + w.match - 1] for a, n in zip(begin.tolist(), run[part].tolist())]
             # equal segments of the block travel once; the others name the first
             seen: dict[tuple, int] = {}
             ref = np.array([seen.setdefault((v, p), len(seen)) for v, p in zip(value[part].tolist(), pieces)], np.int32)
@@ -306,7 +322,7 @@ def _segment_rows(n_buckets: int, hot_keys: np.ndarray, n_windows: int):
 
 # --- transforms --------------------------------------------------------------------
 
-def block_symbols(data: np.ndarray, ends: np.ndarray, step: int = STEP) -> np.ndarray:
+def block_symbols(data: np.ndarray, ends: np.ndarray, step: int) -> np.ndarray:
     """Symbol of the block that starts at each place, cut at its segment's end
     (``ends`` per place); never 0, which is the end symbol."""
     p = running(BYTE_TABLE[data], R_BYTE)
@@ -321,7 +337,7 @@ class Shard:
     the alphabet of ``step``-byte blocks. Suffix ids below ``n`` are places,
     the others are the ends of the strings."""
 
-    def __init__(self, data: np.ndarray, lengths: np.ndarray, step: int = STEP, match: int = MATCH):
+    def __init__(self, data: np.ndarray, lengths: np.ndarray, step: int, match: int):
         n = len(data)
         firsts = np.cumsum(lengths) - lengths
         seg = np.repeat(np.arange(len(lengths)), lengths)
@@ -366,16 +382,16 @@ def merge_transforms(a: np.ndarray, b: np.ndarray, rounds: int) -> tuple[np.ndar
     return z, cls
 
 
-def interval_classes(data: np.ndarray, lengths: np.ndarray, shard_bytes: int = SHARD_BYTES) -> np.ndarray:
-    """Class of the ``MATCH``-byte prefix of each place, from merged shards."""
-    rounds = MATCH // STEP
+def interval_classes(data: np.ndarray, lengths: np.ndarray, shard_bytes: int = SHARD_BYTES, w: Width = WIDTH) -> np.ndarray:
+    """Class of the ``match``-byte prefix of each place, from merged shards."""
+    rounds = w.match // w.step
     cut = np.cumsum(lengths) // shard_bytes
     edges = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), len(lengths)]
     firsts = np.append(0, np.cumsum(lengths))
     merged, ids = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     cls = ids
     for a, z in zip(edges, edges[1:]):
-        shard = Shard(data[firsts[a]:firsts[z]], lengths[a:z])
+        shard = Shard(data[firsts[a]:firsts[z]], lengths[a:z], w.step, w.match)
         own = np.where(shard.order < shard.n, shard.order + firsts[a], -1)
         side, cls = merge_transforms(merged, shard.transform, rounds)
         both, places = np.empty(len(side), np.uint64), np.empty(len(side), np.int64)
@@ -403,7 +419,7 @@ def _ranges(key: np.ndarray, start: np.ndarray) -> dict[int, bytes]:
     return {int(k[0]): p.tobytes() for k, p in zip(np.split(key[a], edges), np.split(pairs, edges)) if len(k)}
 
 
-def _repeats(shard_bytes: int):
+def _repeats(shard_bytes: int, w: Width):
     def bucket(t: pa.Table) -> pa.Table:
         """One bucket: all starts whose window occurs at least twice."""
         known = t.filter(pc.is_valid(t.column("doc")))
@@ -417,8 +433,8 @@ def _repeats(shard_bytes: int):
             v, k, s = np.frombuffer(v, np.uint64), np.frombuffer(k, np.int64), np.frombuffer(s, np.int32)
             r, ref = np.frombuffer(r, np.int32).reshape(2, -1)
             _, lead = np.unique(ref, return_index=True)
-            ends = np.cumsum(r[lead] + MATCH - 1)
-            ids = np.array([distinct.setdefault((int(v[i]), raw[e - r[i] - MATCH + 1:e]), len(distinct))
+            ends = np.cumsum(r[lead] + w.match - 1)
+            ids = np.array([distinct.setdefault((int(v[i]), raw[e - r[i] - w.match + 1:e]), len(distinct))
                             for i, e in zip(lead.tolist(), ends.tolist())])
             value.append(v), key.append(k), start.append(s), run.append(r), seg.append(ids[ref])
         schema = _arrow_schema("key bigint, ranges binary")
@@ -430,8 +446,8 @@ def _repeats(shard_bytes: int):
         lengths = np.array([len(p) for _, p in pieces], np.int64)
         firsts = np.cumsum(lengths) - lengths
         data = np.frombuffer(b"".join(p for _, p in pieces), np.uint8)
-        cls = interval_classes(data, lengths, shard_bytes)
-        n_starts = lengths - MATCH + 1
+        cls = interval_classes(data, lengths, shard_bytes, w)
+        n_starts = lengths - w.match + 1
         owner = np.repeat(np.arange(len(lengths)), n_starts)
         within = np.arange(len(owner)) - np.repeat(np.cumsum(n_starts) - n_starts, n_starts)
         place = firsts[owner] + within
@@ -452,12 +468,12 @@ def _repeats(shard_bytes: int):
 
 # --- removal -----------------------------------------------------------------------
 
-def removed_spans(parts: list[bytes], n_bytes: int) -> np.ndarray:
+def removed_spans(parts: list[bytes], n_bytes: int, match: int = WIDTH.match) -> np.ndarray:
     """Maximal removed (first, end) spans from ranges of repeated starts."""
     pairs = np.concatenate([np.frombuffer(p, np.int32).reshape(-1, 2) for p in parts]).astype(np.int64)
     edge = np.zeros(n_bytes + 1, np.int32)
     np.add.at(edge, pairs[:, 0], 1)
-    np.add.at(edge, pairs[:, 1] - 1 + MATCH, -1)
+    np.add.at(edge, pairs[:, 1] - 1 + match, -1)
     gone = np.concatenate([[False], np.cumsum(edge[:-1]) > 0, [False]])
     change = np.flatnonzero(gone[1:] != gone[:-1])
     return change.reshape(-1, 2)
@@ -487,12 +503,12 @@ def whole_characters(raw: bytes, spans: np.ndarray) -> list[tuple[int, int]]:
 REMOVED = "key bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string"
 
 
-def _removal(with_text: bool):
+def _removal(with_text: bool, match: int):
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for key, text, parts in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), b.column("ranges").to_pylist()):
             raw = (text or "").encode()
-            spans = removed_spans(parts, len(raw))
+            spans = removed_spans(parts, len(raw), match)
             rows.append({"key": key, "n_removed": int((spans[:, 1] - spans[:, 0]).sum()), "n_spans": len(spans),
                          "kept_sha256": hashlib.sha256(cut(raw, spans)).hexdigest(),
                          "kept": cut(raw, np.array(whole_characters(raw, spans), np.int64).reshape(-1, 2)).decode() if with_text else None})
@@ -501,17 +517,18 @@ def _removal(with_text: bool):
     return batch
 
 
-def remove_repeated_strings(docs: DataFrame, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeated_strings(docs: DataFrame, with_text: bool = False, keep: tuple[str, ...] = (), width: Width = WIDTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document;
     ``with_text`` adds ``text`` and ``kept``, the text without the removed
-    spans (shrunk to whole characters), and the columns named by ``keep``."""
+    spans (shrunk to whole characters), and the columns named by ``keep``;
+    ``width`` has the length of the strings that must not repeat."""
     rows, distinct = with_row_key(docs, keep)
     unique = rows.select("key", "text") if distinct else rows.select("key", "text").dropDuplicates(["key"])
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n1 = max(1, int(-(-n_bytes // (BUCKET_BYTES * 4))))
     n2 = max(1, int(-(-n_bytes // BUCKET_BYTES)))
 
-    runs = map_texts(unique, _run_rows(n1), RUN_ROWS, BATCH)
+    runs = map_texts(unique, _run_rows(n1, width), RUN_ROWS, BATCH)
     first = cut_lineage(runs.groupBy("bucket").applyInArrow(_repeated_runs(HOT_RUNS), FACT_ROWS), "suf-runs")
     facts = first.where(F.col("seq").isNotNull()).select("key", "content", "seq", "n_bytes", "sha")
     times = facts.groupBy("seq").agg(F.min("key").alias("leader"), F.count("*").alias("times"))
@@ -520,22 +537,22 @@ def remove_repeated_strings(docs: DataFrame, with_text: bool = False, keep: tupl
         facts = facts.join(rows.groupBy("key").agg(F.count("*").alias("same")), "key").withColumn(
             "times", F.col("times") + F.col("same") - 1)
     facts = cut_lineage(facts.select("key", "content", "n_bytes", "sha", (F.col("key") == F.col("leader")).alias("leads"),
-                                     ((F.col("times") > 1) & (F.col("n_bytes") >= MATCH)).alias("copied")), "suf-facts")
+                                     ((F.col("times") > 1) & (F.col("n_bytes") >= width.match)).alias("copied")), "suf-facts")
 
     marks = first.where(F.col("marks").isNotNull()).groupBy("content").agg(
         F.collect_list("marks").alias("marks"), F.collect_list("hot").alias("hot"))
     marks = facts.where("leads").select("key", "content").join(marks, "content").select("key", "marks", "hot")
     held = cut_lineage(unique.join(marks, "key"), "suf-candidates")
     # finer keys that many runs still share (at most runs / HOT_RUNS of them)
-    counts = map_texts(held.where(F.size("hot") > 0), _count_rows, "value bigint, runs bigint, starts bigint", BATCH)
+    counts = map_texts(held.where(F.size("hot") > 0), _count_rows(width), "value bigint, runs bigint, starts bigint", BATCH)
     still = counts.groupBy("value").agg(F.sum("runs").alias("runs"), F.sum("starts").alias("starts")).where(F.col("runs") > HOT_RUNS).collect()
     hot_keys = np.array([r["value"] for r in still], np.int64).view(np.uint64)
     n_windows = max(1, -(-sum(r["starts"] for r in still) * ENTRY_BYTES // BUCKET_BYTES))
-    segments = map_texts(held, _segment_rows(n2, hot_keys, n_windows), SEGMENT_ROWS, BATCH)
-    found = segments.groupBy("bucket").applyInArrow(_repeats(SHARD_BYTES), "key bigint, ranges binary")
+    segments = map_texts(held, _segment_rows(n2, hot_keys, n_windows, width), SEGMENT_ROWS, BATCH)
+    found = segments.groupBy("bucket").applyInArrow(_repeats(SHARD_BYTES, width), "key bigint, ranges binary")
     # fully repeated documents need no spans of their own
     found = found.join(facts.where("copied").select("key"), "key", "left_anti").groupBy("key").agg(F.collect_list("ranges").alias("ranges"))
-    removed = map_texts(held.select("key", "text").join(found, "key"), _removal(with_text), REMOVED)
+    removed = map_texts(held.select("key", "text").join(found, "key"), _removal(with_text, width.match), REMOVED)
 
     out = facts.join(removed, "key", "left").select(
         "key", "n_bytes", F.when(F.col("copied"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("bigint").alias("n_removed"),
