@@ -16,9 +16,12 @@ from factlane.llm.decontaminate import decontaminate
 from factlane.llm.jaccard_join import one_per_component
 from factlane.llm.language_id import UNDETERMINED, fit, predict
 from factlane.llm.source_mix import mix_sources
-from factlane.llm.suffix_dedup import remove_repeated_strings
+from factlane.llm.suffix_dedup import Width, remove_repeated_strings
 from factlane.session import cut_lineage
 
+#: Passages of 50 words have 270 bytes or more in such corpora; strings of this
+#: width inside them must not repeat.
+REPEAT_WIDTH = Width(200, 75, 50)
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents whose language is less sure than this are rejected.
 MIN_LANGUAGE_SCORE = 0.3
@@ -40,9 +43,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes every byte covered by a 400-byte string that starts twice (spans
-    shrink to whole characters). Documents left without a word go."""
-    found = remove_repeated_strings(docs.select(*COLUMNS), with_text=True, keep=("lang", "source"))
+    """Removes every byte covered by a string of ``REPEAT_WIDTH`` bytes that starts
+    twice (spans shrink to whole characters), in all its places. Documents left
+    without a word go; a null text is empty and goes. Equal rows repeat each other."""
+    found = remove_repeated_strings(docs.select(*COLUMNS), with_text=True, keep=("lang", "source"), width=REPEAT_WIDTH)
     return found.where(F.trim("kept", F.lit(GAP_CHARS)) != "").select(
         "doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("bigint").alias("n_chars"))
 
