@@ -8,8 +8,9 @@ closed form and evaluated inside the JVM with ``aggregate`` over a short
   P(|T| < |t|) = 2/pi (theta + sin cos (1 + 2/3 cos^2 + 2*4/(3*5) cos^4 + ...)) for
   odd v and sin (1 + 1/2 cos^2 + 1*3/(2*4) cos^4 + ...) for even v
   (Abramowitz and Stegun 26.7.3-4).
-* Chi-square with one degree of freedom: sf(x) = erfc(sqrt(x/2)), with
-  erf(z) = 2/sqrt(pi) exp(-z^2) sum_k 2^k z^(2k+1) / (2k+1)!!  (all terms positive).
+* Chi-square with one degree of freedom: sf(x) = erfc(sqrt(x/2)): near 0 as 1 - erf
+  with erf(z) = 2/sqrt(pi) exp(-z^2) sum_k 2^k z^(2k+1) / (2k+1)!!  (all terms
+  positive), further out by a continued fraction of its own.
 
 The 95 % two-sided t critical values are a constant table (degrees of freedom
 1..T_TABLE_MAX), solved once by bisection on the same closed form and joined
@@ -29,6 +30,7 @@ from .text import col_of
 
 T_TABLE_MAX = 1000
 _ERF_TERMS = 300
+_ERFC_DEPTH = 100
 
 
 def _empty_int_array() -> Column:
@@ -82,10 +84,20 @@ def erf(z) -> Column:
     return F.when(z > 8, F.lit(1.0)).otherwise(F.least(val, F.lit(1.0)))
 
 
+def erfc(z) -> Column:
+    """1 - erf(z) for z >= 0, directly: from 2 on by its continued fraction
+    exp(-z^2) / sqrt(pi) / (z + 1/2 / (z + 2/2 / (z + 3/2 / ...))), so that small
+    tails keep all their digits (down to the smallest double, at z = 27)."""
+    z = col_of(z).cast("double")
+    ks = F.sequence(F.lit(_ERFC_DEPTH), F.lit(1), F.lit(-1))
+    inner = F.aggregate(ks, z, lambda acc, k: z + k.cast("double") / 2 / acc)
+    return F.when(z < 2, F.lit(1.0) - erf(z)).otherwise(F.exp(-z * z) / math.sqrt(math.pi) / inner)
+
+
 def chi2_1_sf(x) -> Column:
     """Upper tail of chi-square with one degree of freedom."""
     x = col_of(x).cast("double")
-    return F.when(x <= 0, F.lit(1.0)).otherwise(F.greatest(F.lit(1.0) - erf(F.sqrt(x / 2)), F.lit(0.0)))
+    return F.when(x <= 0, F.lit(1.0)).otherwise(erfc(F.sqrt(x / 2)))
 
 
 def stars(p) -> Column:

@@ -13,22 +13,62 @@ from ..functions.text import truncate
 from ..session import cut_lineage, join_small
 
 
+#: Values of one histogram bucket of ``exact_quantiles``.
+BUCKET_VALUES = 256
+
+
+def exact_quantiles(counts: DataFrame, keys, value: str, n: str, shares) -> DataFrame:
+    """(keys..., q array<double>): linear-interpolated quantiles of an integer
+    column, exact, from a (keys..., value, n) count table. A histogram of
+    ``BUCKET_VALUES`` values a bucket gives the bucket that holds each wanted rank;
+    only those buckets are looked into. No group's values meet in one state."""
+    keys = list(keys)
+    total = counts.groupBy(*keys).agg(F.sum(n).alias("__total"))
+    at = lambda share: (F.col("__total") - 1) * F.lit(float(share))
+    ranks = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(side).alias("side"), f(at(share)).cast("bigint").alias("rank"), (at(share) - F.floor(at(share))).alias("part"))
+                      for k, share in enumerate(shares) for side, f in (("low", F.floor), ("high", F.ceil))])
+    wanted = total.select(*keys, F.explode(ranks).alias("__w"))
+    bucket = F.floor(F.col(value) / BUCKET_VALUES).cast("bigint")
+    table = counts.withColumn("__bucket", bucket)
+    hist = table.groupBy(*keys, "__bucket").agg(F.sum(n).alias("__in"))
+    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.withColumn("__before", F.coalesce(F.sum("__in").over(before), F.lit(0)))
+    holds = join_small(hist, wanted.groupBy(*keys).agg(F.collect_list("__w").alias("__ws")), keys).withColumn("__w", F.explode("__ws")).where(
+        (F.col("__w.rank") >= F.col("__before")) & (F.col("__w.rank") < F.col("__before") + F.col("__in")))
+    inner = Window.partitionBy(*keys, "__k", "__side").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    found = table.join(holds.select(*keys, "__bucket", "__before", F.col("__w.k").alias("__k"), F.col("__w.side").alias("__side"),
+                                    F.col("__w.rank").alias("__rank"), F.col("__w.part").alias("__part")), [*keys, "__bucket"])
+    found = found.withColumn("__before", F.col("__before") + F.coalesce(F.sum(n).over(inner), F.lit(0)))
+    found = found.where((F.col("__rank") >= F.col("__before")) & (F.col("__rank") < F.col("__before") + F.col(n)))
+    side = lambda name: F.max(F.when(F.col("__side") == name, F.col(value).cast("double")))
+    each = found.groupBy(*keys, "__k").agg(side("low").alias("lo"), side("high").alias("hi"), F.max("__part").alias("part"))
+    q = (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("q")
+    return each.select(*keys, "__k", q).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__k", "q"))).alias("__q")).select(
+        *keys, F.transform("__q", lambda x: x["q"]).alias("q"))
+
+
 def length_quartile_accuracy(df: DataFrame, keys=("dataset",), text: str = "claim", label: str = "label",
-                             pred: str = "prediction", names=LENGTH_BIN_NAMES) -> DataFrame:
+                             pred: str = "prediction", names=LENGTH_BIN_NAMES, on_duplicates: str = "raise") -> DataFrame:
     """Accuracy by claim-length quartile. Edges are linear-interpolated
     quantiles per group; bins are right-closed with the lowest value included.
-    The exact ``percentile`` keeps a value -> count map per group, so its
-    memory is bounded by the number of distinct lengths, not by rows."""
+    Quartiles need five different edges (least to greatest length): a group without
+    them is an error (``raise``), or reported as one row with a null bin
+    (``report``)."""
     keys = list(keys)
     # rows are counted per length once; edges and bins use that small table
     correct = (F.col(label) == F.col(pred)).cast("int")
     lens = cut_lineage(df.groupBy(*keys, F.length(text).alias("claim_length")).agg(
         F.count(F.lit(1)).alias("__n"), F.count(correct).alias("__known"), F.sum(correct).alias("__right")), "lengths")
-    edges = lens.where(F.col("claim_length").isNotNull()).groupBy(*keys).agg(
-        F.percentile("claim_length", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("__n")).alias("__q"))
-    q = F.col("__q")
-    bin_ = (F.when(F.col("claim_length") <= q[0], names[0]).when(F.col("claim_length") <= q[1], names[1])
-            .when(F.col("claim_length") <= q[2], names[2]).otherwise(names[3]))
+    known = lens.where(F.col("claim_length").isNotNull())
+    edges = cut_lineage(exact_quantiles(known, keys, "claim_length", "__n", (0.0, 0.25, 0.5, 0.75, 1.0))
+                        .withColumn("__equal", F.size(F.array_distinct("q")) < 5), "length-edges")
+    if on_duplicates == "raise":
+        equal = edges.where("__equal").select(*keys).first()
+        if equal is not None:
+            raise ValueError(f"bin edges must be unique: the lengths of group {equal.asDict()} have equal quartiles")
+    q = F.col("q")
+    bin_ = (F.when(F.col("__equal"), F.lit(None)).when(F.col("claim_length") <= q[1], names[0]).when(F.col("claim_length") <= q[2], names[1])
+            .when(F.col("claim_length") <= q[3], names[2]).otherwise(names[3]))
     return (join_small(lens, edges, keys).groupBy(*keys, bin_.alias("length_bin"))
             .agg((F.sum("__right") / F.sum("__known")).alias("accuracy"), F.sum("__n").alias("n")))
 

@@ -1,12 +1,15 @@
-"""Batch scoring (R4, R5): the one step that runs Python on the executors.
+"""Batch scoring (R4, R5, X3): the one step that runs Python on the executors.
 
-``score_batches`` sends Arrow batches of prompts to a user-supplied scorer
-(one call per batch; the scorer is built once per task). A failed batch is
-retried row by row up to ``retries`` times; rows that still fail get the
-``sentinel`` (null for truth answers, "Error" for verifiability). Scoring
-is usually the expensive part (a model call per row), so the caller keeps the
-answers with ``session.cut_lineage``: a lost executor or a second consumer
-then re-reads the stored answers instead of calling the model again.
+``score_batches`` sends Arrow batches of prompts to a user-supplied scorer that is
+built once per task. Batches are bounded by rows and by bytes of prompt, so
+whole documents as prompts don't pile up in a worker. Rows that fail are tried again up to
+``retries`` times, alone; rows that still fail get the ``sentinel`` (null for truth
+answers, "Error" for verifiability). A failure is never silent: ``report`` adds
+the number of attempts and the last error of every row.
+
+Scoring is usually the expensive part (a model call per row). ``cut_lineage`` keeps
+the answers of one job; ``score_stored`` keeps them in a table, part by part, and a
+later run scores only the rows without an answer there.
 
 The registered queries use deterministic stand-in scorers (no model server is
 reachable here): their answers are a function of (seed, prompt), computed with
@@ -19,7 +22,8 @@ import hashlib
 from typing import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,35 +34,114 @@ from ..functions.text import col_of
 Scorer = Callable[[pd.Series, pd.Series], pd.Series]
 
 
+#: Bytes of prompts in one call of the scorer.
+BATCH_BYTES = 4 << 20
+
+
+def _parts(prompts: pd.Series, max_rows: int, max_bytes: int) -> Iterator[slice]:
+    """Consecutive rows of at most ``max_rows`` and about ``max_bytes`` (a longer
+    prompt stands alone)."""
+    begin, held = 0, 0
+    for k, text in enumerate(prompts):
+        size = len(text.encode()) if isinstance(text, str) else 0
+        if k > begin and (k - begin >= max_rows or held + size > max_bytes):
+            yield slice(begin, k)
+            begin, held = k, 0
+        held += size
+    if len(prompts) > begin:
+        yield slice(begin, len(prompts))
+
+
+def _answers(scorer: Scorer, prompts: pd.Series, seeds: pd.Series, retries: int, sentinel: str | None) -> list[tuple]:
+    """(answer, attempts, last error, failed) of each row. A scorer may return an
+    exception in place of a row's answer, or raise for the whole batch; either way the
+    failed rows are called again one by one. Scorers with ``counts_attempts`` are
+    told the number of the attempt."""
+    def call(p, s, attempt):
+        extra = (attempt,) if getattr(scorer, "counts_attempts", False) else ()
+        return list(scorer(p, s, *extra))
+
+    try:
+        first = call(prompts, seeds, 1)
+    except Exception as error:
+        first = [error] * len(prompts)
+    out = []
+    for k, answer in enumerate(first):
+        attempts, error, failed = 1, None, False
+        while isinstance(answer, Exception):
+            error = f"{type(answer).__name__}: {answer}"
+            if attempts > retries:
+                answer, failed = sentinel, True
+                break
+            attempts += 1
+            try:
+                answer = call(prompts.iloc[k:k + 1], seeds.iloc[k:k + 1], attempts)[0]
+            except Exception as again:
+                answer = again
+        out.append((answer if isinstance(answer, str) else None, attempts, error, failed))
+    return out
+
+
 def score_batches(df: DataFrame, make_scorer: Callable[[], Scorer], prompt: str = "prompt", seed: str = "seed",
-                  out: str = "answer", retries: int = 1, sentinel: str | None = None) -> DataFrame:
-    """R4 + R5: ``df`` plus ``out`` (string). ``make_scorer`` is called once per
+                  out: str = "answer", retries: int = 1, sentinel: str | None = None, report: bool = False,
+                  max_rows: int = 1000, max_bytes: int = BATCH_BYTES) -> DataFrame:
+    """R4 + R5: ``df`` plus ``out`` (string); ``report`` adds ``attempts`` (int),
+    ``error`` (string: the last error, also of rows that succeeded later) and
+    ``failed`` (boolean: no attempt succeeded). ``make_scorer`` is called once per
     task on the executor (so clients and models are not pickled per row)."""
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.StringType(), True)])
+    added = [T.StructField(out, T.StringType(), True)]
+    if report:
+        added += [T.StructField("attempts", T.IntegerType(), True), T.StructField("error", T.StringType(), True), T.StructField("failed", T.BooleanType(), True)]
+    # the JVM side cuts its batches by bytes as well
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * max_bytes))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = make_scorer()
-        for pdf in batches:
-            prompts = pdf[prompt]
-            seeds = pdf[seed] if seed in pdf.columns else pd.Series([0] * len(pdf), index=pdf.index)
-            try:
-                answers = scorer(prompts, seeds)
-            except Exception:
-                answers = pd.Series([_score_one(scorer, p, s, retries, sentinel) for p, s in zip(prompts, seeds)],
-                                    index=pdf.index, dtype=object)
-            pdf[out] = answers.astype(object).where(answers.notna(), None)
-            yield pdf
-
-    return df.mapInPandas(run, schema)
-
-
-def _score_one(scorer: Scorer, p, s, retries: int, sentinel):
-    for _ in range(max(retries, 1)):
-        try:
-            return scorer(pd.Series([p]), pd.Series([s])).iloc[0]
-        except Exception:
-            continue
-    return sentinel
+        for whole in batches:
+            for rows in _parts(whole[prompt], max_rows, max_bytes):
+                pdf = whole.iloc[rows].copy()
+                seeds = pdf[seed] if seed in pdf.columns else pd.Series([0] * len(pdf), index=pdf.index)
+                found = _answers(scorer, pdf[prompt], seeds, retries, sentinel)
+                pdf[out] = pd.Series([a for a, *_ in found], index=pdf.index, dtype=object)
+                if report:
+                    pdf["attempts"] = [n for _, n, _, _ in found]
+                    pdf["error"] = pd.Series([e for _, _, e, _ in found], index=pdf.index, dtype=object)
+                    pdf["failed"] = [f for *_, f in found]
+                yield pdf
+
+    return df.mapInPandas(run, T.StructType(df.schema.fields + added))
+
+
+def stored_answers(spark: SparkSession, path: str, keys=("dataset", "run_id", "claim_id")) -> DataFrame | None:
+    """The latest row of each key in a table of ``score_stored``: an answered one if
+    there is any. None without a table."""
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return None
+    rest = [c for c in rows.columns if c not in keys]
+    best = F.max_by(F.struct(*rest), F.struct((~F.col("failed")).alias("ok"), F.col("scored_at").alias("at")))
+    return rows.groupBy(*keys).agg(best.alias("__r")).select(*keys, "__r.*")
+
+
+def score_stored(df: DataFrame, path: str, make_scorer: Callable[[], Scorer], keys=("dataset", "run_id", "claim_id"),
+                 parts: int = 1, retries: int = 1, **options) -> DataFrame:
+    """Answers of all rows of ``df`` from the table at ``path``. Rows that have
+    no answer there yet (left by an earlier run that ended early, or failed in
+    it) are found by an anti-join and scored, in ``parts`` appends, so a run that is
+    stopped loses one part at most. Returns the stored rows (keys, answer,
+    attempts, error, failed, scored_at) of ``df``'s keys."""
+    keys, spark = list(keys), df.sparkSession
+    out = options.get("out", "answer")
+    held = stored_answers(spark, path, keys)
+    todo = df if held is None else df.join(held.where(~F.col("failed")).select(*keys), keys, "left_anti")
+    for k in range(parts):
+        part = todo.where(F.pmod(F.xxhash64(*keys), F.lit(parts)) == k) if parts > 1 else todo
+        scored = score_batches(part, make_scorer, retries=retries, report=True, **options)
+        scored.select(*keys, out, "attempts", "error", "failed", F.current_timestamp().alias("scored_at")).write.mode("append").parquet(path)
+    return stored_answers(spark, path, keys).join(df.select(*keys), keys, "left_semi")
 
 
 def attach_answers(rows: DataFrame, answers: DataFrame, keys=("dataset", "run_id", "claim_id"),
@@ -102,6 +185,24 @@ class FlakyVerifier:
         return pd.Series(out, index=prompts.index, dtype=object)
 
 
+class BusyModel:
+    """Stand-in model that is busy for a prompt's first md5 % (``most`` + 1)
+    attempts and then answers, to exercise retries that succeed and that don't."""
+
+    counts_attempts = True
+
+    def __init__(self, answers: list[str], most: int = 3):
+        self.answers, self.most = list(answers), most
+
+    def __call__(self, prompts: pd.Series, seeds: pd.Series, attempt: int) -> list:
+        out = []
+        for p, s in zip(prompts, seeds):
+            h = _md5_int(s, p)
+            busy = attempt <= h % (self.most + 1)
+            out.append(RuntimeError("model busy") if busy else self.answers[(h // (self.most + 1)) % len(self.answers)])
+        return out
+
+
 # --- Column-side stand-ins (same hash family, no Python) ---------------------
 
 def simulated_prediction(label="label", seed="seed", key="claim_id", correct_pct: int = 78,

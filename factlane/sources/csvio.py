@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import CSV_NULL_TOKENS
+from ..session import cut_lineage
 
 # Columns of an evaluation master set.
 EVAL_SCHEMA = "claim string, label int, domain string"
@@ -36,6 +37,40 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None =
     return normalise_nulls(df, null_tokens) if null_tokens else df
 
 
+CORRUPT = "_corrupt_record"
+
+
+def read_csv_checked(spark: SparkSession, path: str, schema: str, null_tokens=CSV_NULL_TOKENS, multi_line: bool = True) -> DataFrame:
+    """All rows of headered CSV files under ``schema``, with ``file_name`` and
+    ``reject_reason``: null for a good row; ``bad_value`` when a cell is not of its
+    type, or the row has too few or too many cells. Good cells of a rejected row are kept.
+    ``multi_line=False`` lets large files be split (texts without line ends). The
+    text is parsed once, with all its columns, and kept in the shared folder: under
+    column pruning the reader would not see a bad cell in an unused column."""
+    kind = T.StructType.fromDDL(schema)
+    full = T.StructType([*kind.fields, T.StructField(CORRUPT, T.StringType())])
+    raw = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", CORRUPT).schema(full).csv(path))
+    rows = raw.select(*[F.col(f.name) for f in kind.fields], F.col("_metadata.file_name").alias("file_name"),
+                      F.when(F.col(CORRUPT).isNotNull(), F.lit("bad_value")).alias("reject_reason"))
+    return cut_lineage(normalise_nulls(rows, null_tokens) if null_tokens else rows, "csv-rows")
+
+
+def rejected_rows(checked: DataFrame) -> DataFrame:
+    """(file_name, reject_reason, n) of the rows that ``read_csv_checked`` rejects."""
+    return checked.where(F.col("reject_reason").isNotNull()).groupBy("file_name", "reject_reason").agg(F.count("*").alias("n"))
+
+
+def column_report(spark: SparkSession, paths: dict[str, str], required=REQUIRED_EVAL_COLUMNS) -> DataFrame:
+    """S5 for many inputs: (input, missing, available, complete). Only headers are read."""
+    rows = []
+    for name, path in sorted(paths.items()):
+        columns = spark.read.option("header", True).csv(path).columns
+        missing = [c for c in required if c not in columns]
+        rows.append((name, ",".join(missing), ",".join(columns), not missing))
+    return spark.createDataFrame(rows, "input string, missing string, available string, complete boolean")
+
+
 def require_columns(df: DataFrame, required=REQUIRED_EVAL_COLUMNS, name: str = "input") -> DataFrame:
     """Stop with the missing and the available columns named."""
     missing = [c for c in required if c not in df.columns]
