@@ -19,8 +19,8 @@ A retrieved item is verified on the words around its passage: it counts when
 enough word pairs of its question part and of its answer part (its last
 sentence, or the last third when there is only one) occur there.
 
-The index holds the test items in shards of at most ``SHARD_ITEMS``; a shard is
-sent to the tasks (its size is bounded) and further shards run as further
+The index holds the test items in shards of about ``SHARD_ITEMS`` items and
+``SHARD_BYTES`` of text at most; a shard is sent to the tasks (its size is bounded) and further shards run as further
 passes over the documents. Words are lower-cased (ASCII) runs of letters
 and digits.
 
@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .common import map_texts, text_buffers
+from .hashing import with_row_key
 
 PASSAGE, STRIDE = 64, 32
 BLOCK = 16
@@ -54,6 +55,7 @@ RETRIEVE = 0.7
 OVERLAP = 0.6
 MIN_WORDS = 6  # shorter items are matched as whole word sequences
 SHARD_ITEMS = 20_000
+SHARD_BYTES = 16 << 20  # of item text
 BATCH = 2 << 20  # bytes of text whose words are held at once
 
 
@@ -225,7 +227,7 @@ class Sequences:
         return np.concatenate(found, 1)
 
 
-def _scan(index: Index | None, short: Sequences, id_name: str):
+def _scan(index: Index | None, short: Sequences, id_name: str, item_kind: pa.DataType):
     get = index.terms.get if index else None
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -263,7 +265,7 @@ def _scan(index: Index | None, short: Sequences, id_name: str):
         keys = sorted(best)
         return pa.RecordBatch.from_arrays(
             [b.column(id_name).take(pa.array([d for d, _ in keys], pa.int64())),
-             pa.array([int(item_ids[k] if k < 0 else index.ids[k]) for _, k in keys], pa.int64()),
+             pa.array([item_ids[k] if k < 0 else index.ids[k] for _, k in keys], item_kind),
              *[pa.array([round(best[key][c], 6) for key in keys], pa.float64()) for c in (2, 0, 1)]],
             ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
@@ -295,21 +297,26 @@ def item_statistics(items: DataFrame) -> tuple[int, float, DataFrame]:
     return n_items, (sums["words"] or 0) / max(n_items, 1), df
 
 
+ITEM_KINDS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): the verified
-    pairs. ``score`` is the BM25 score relative to a full copy's."""
-    items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").distinct()
+    pairs. ``score`` is the BM25 score relative to a full copy's. Item ids are
+    whole numbers or strings and may be null."""
+    items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text").distinct()
     items = cut_lineage(items, "benchmark")
-    n = items.count()
-    n_shards = max(1, -(-n // SHARD_ITEMS))
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id bigint, score double, question_overlap double, answer_overlap double"
+    size = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    n_shards = max(1, -(-size["n"] // SHARD_ITEMS), -(-(size["bytes"] or 0) // SHARD_BYTES))
+    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, item_id {item_kind}, score double, question_overlap double, answer_overlap double"
     items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_shards)).cast("int"))
     n_items, mean_length, df = item_statistics(items)
     # one index per shard, with the statistics of all items
     found = []
     for shard in range(n_shards):
-        rows = sorted((r["item_id"], r["text"]) for r in items.where(F.col("shard") == shard).select("item_id", "text").collect())
+        held = items.where(F.col("shard") == shard).select("item_id", "text").collect()
+        rows = sorted(((r["item_id"], r["text"]) for r in held), key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[1]))
         sizes = [len(term_list(t.encode())) for _, t in rows]
         short = Sequences([row for row, n in zip(rows, sizes) if 0 < n < MIN_WORDS])
         rows = [row for row, n in zip(rows, sizes) if n >= MIN_WORDS]
@@ -317,13 +324,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") ->
             continue
         own = {bytes(r["word"]): r["df"] for r in df.where(F.col("shard") == shard).select("word", "df").collect()}
         index = Index(rows, n_items, own, mean_length) if rows else None
-        found.append(map_texts(docs.select(id_col, "text"), _scan(index, short, id_col), schema, BATCH))
+        found.append(map_texts(docs.select(id_col, "text"), _scan(index, short, id_col, ITEM_KINDS[item_kind]), schema, BATCH))
     if not found:
         return docs.sparkSession.createDataFrame([], schema)
     return reduce(DataFrame.unionByName, found)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no verified test item, columns unchanged."""
-    leaks = find_leaks(docs, benchmark).where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that hold no verified test item, columns unchanged. Every row
+    is judged by its own text: rows may share an id or have none."""
+    rows, distinct = with_row_key(docs)
+    if distinct:
+        leaks = find_leaks(docs, benchmark).select("doc_id").distinct()
+        return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    leaks = find_leaks(rows, benchmark, "key").select(F.col("doc_id").alias("key")).distinct()
+    bad = rows.join(leaks, "key").select(F.col("doc_id").alias("__id"), F.sha2("text", 256).alias("__sha")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.sha2(F.coalesce("text", F.lit("")), 256) == F.col("__sha"))
+    return docs.join(bad, same, "left_anti").select(*docs.columns)
