@@ -77,9 +77,9 @@ def stratified_split(df: DataFrame, by=("domain", "label"), fallback=("label",),
              .withColumn("__s2", strata_key(*fallback)))
 
     counts = cut_lineage(keyed.groupBy(*group, "__s1", "__s2", "__b").agg(F.count(F.lit(1)).alias("__n")), "buckets")
-    cut = cut_lineage(_cut_table(counts, group, test_share, broadcast_max_rows))
-    n_cut = cut.count()  # the materialised table's size decides the join strategy
-    if n_cut <= broadcast_max_rows:
+    cut, n_cut = _cut_table(counts, group, test_share, broadcast_max_rows)
+    cut = cut_lineage(cut, "cuts")
+    if n_cut <= broadcast_max_rows:  # counted once, on the strata
         assigned = keyed.join(F.broadcast(cut), group + ["__s1", "__s2"])
     else:  # a hot stratum's rows are dealt over SALTS keys
         salted = cut.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -99,12 +99,12 @@ def stratified_split(df: DataFrame, by=("domain", "label"), fallback=("label",),
     return out.drop(*drop)
 
 
-def _cut_table(counts: DataFrame, group: list, test_share: float, small_rows: int) -> DataFrame:
+def _cut_table(counts: DataFrame, group: list, test_share: float, small_rows: int) -> tuple[DataFrame, int]:
     """(group..., __s1, __s2, __s, __primary, __cut, __take) from the bucket
-    counts. Quotas and the fallback are decided on a table of one row per
+    counts, and its number of rows. Quotas and the fallback are decided on a table of one row per
     stratum; only the running sum that finds the cut bucket is at bucket grain,
     and it is partitioned by stratum."""
-    from ..session import cut_lineage, join_small
+    from ..session import cut_lineage
 
     col = F.col
     w_g = Window.partitionBy(*group)
@@ -119,6 +119,10 @@ def _cut_table(counts: DataFrame, group: list, test_share: float, small_rows: in
     c = c.withColumns({"__ntrain": ntrain, "__primary": primary})
     c = cut_lineage(c.withColumn("__s", F.when(col("__primary"), col("__s1")).otherwise(col("__s2")))
                     .select(*group, "__s1", "__s2", "__s", "__primary", "__n", "__ntrain", "__tot"), "strata")
+    # all tables below have at most one row per stratum pair, so one count
+    # decides whether they are broadcast
+    n_strata = c.count()
+    small = F.broadcast if n_strata <= small_rows else (lambda df: df)
 
     # largest-remainder quota; n_train * N_s overflows bigint at 1e11 rows: exact decimal(38,0)
     q = c.groupBy(*group, "__s").agg(F.sum("__n").alias("__ns"), F.first("__ntrain").alias("__ntrain"), F.first("__tot").alias("__tot"))
@@ -129,15 +133,15 @@ def _cut_table(counts: DataFrame, group: list, test_share: float, small_rows: in
                        "__rank": F.row_number().over(w_g.orderBy(F.desc("__rem"), F.asc("__s")))})
     q = q.select(*group, "__s", (col("__floor") + F.when(col("__rank") <= col("__need"), 1).otherwise(0)).alias("__quota"))
 
-    strata = join_small(c.select(*group, "__s1", "__s2", "__s", "__primary"), q, [*group, "__s"], limit=small_rows)
-    b = join_small(counts, strata, [*group, "__s1", "__s2"], limit=small_rows)
+    strata = c.select(*group, "__s1", "__s2", "__s", "__primary").join(small(q), [*group, "__s"])
+    b = counts.join(small(strata), [*group, "__s1", "__s2"])
     b = b.groupBy(*group, "__s", "__b", "__quota").agg(F.sum("__n").alias("__bn"))
     b = b.withColumn("__incl", F.sum("__bn").over(Window.partitionBy(*group, "__s").orderBy("__b")))
     b = b.where((col("__incl") - col("__bn") < col("__quota")) & (col("__quota") <= col("__incl")))
     b = b.select(*group, "__s", col("__b").alias("__cut"), (col("__quota") - col("__incl") + col("__bn")).alias("__take"))
-    return strata.join(b, [*group, "__s"], "left").select(
+    return strata.join(small(b), [*group, "__s"], "left").select(
         *group, "__s1", "__s2", "__s", "__primary",
-        F.coalesce("__cut", F.lit(-1).cast("bigint")).alias("__cut"), F.coalesce("__take", F.lit(0).cast("bigint")).alias("__take"))
+        F.coalesce("__cut", F.lit(-1).cast("bigint")).alias("__cut"), F.coalesce("__take", F.lit(0).cast("bigint")).alias("__take")), n_strata
 
 
 def label_split(df: DataFrame, label: str = "label", test_share: float = TEST_SHARE, seed=42,
