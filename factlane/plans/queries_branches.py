@@ -128,6 +128,17 @@ def s2_post_folder_lines(spark, sf_dir):
     return lines.groupBy(_account().alias("account"), F.col("line_status").alias("status")).agg(F.count("*").alias("n_lines"))
 
 
+@query("s1_drop_repeats", """
+SELECT source || '.jsonl' AS filename, doc_id AS post_id, text FROM documents
+UNION ALL SELECT 'a.jsonl', NULL, text FROM documents WHERE doc_id % 4 = 0""")
+def s1_drop_repeats(spark, sf_dir):
+    """S1 with one post of each id: repeats in a later file go, posts without an id stay."""
+    docs = tables.load(spark, sf_dir, "documents").select(F.concat("source", F.lit(".jsonl")).alias("filename"), F.col("doc_id").alias("post_id"), "text")
+    again = docs.where("post_id % 3 = 0").withColumn("filename", F.lit("zz.jsonl"))
+    nameless = docs.where("post_id % 4 = 0").select(F.lit("a.jsonl").alias("filename"), F.lit(None).cast("bigint").alias("post_id"), "text")
+    return posts.drop_repeats(docs.unionByName(again).unionByName(nameless))
+
+
 # ---- S4, S5 -----------------------------------------------------------------------
 
 @query("s4_rejected_rows", sql_with(sql_claims()) + """

@@ -65,6 +65,30 @@ def parse_posts(lines: DataFrame, fields=("post_id", "text", "langs"), keep_file
     return parsed.select(*cols)
 
 
+def drop_repeats(parsed: DataFrame, key: str = "post_id") -> DataFrame:
+    """Of posts with one id the first stays (by file name, then the other
+    columns); posts without an id all stay."""
+    rest = [c for c in parsed.columns if c != key]
+    order = ["filename", *[c for c in rest if c != "filename"]] if "filename" in rest else rest
+    first = (parsed.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*order)).alias("__first"))
+             .select(key, *[F.col(f"__first.{c}").alias(c) for c in rest]))
+    return first.unionByName(parsed.where(F.col(key).isNull())).select(*parsed.columns)
+
+
+def lines_and_posts(lines: DataFrame, fields=("post_id", "text", "langs")) -> DataFrame:
+    """(filename, line_status, fields...) of every line, bad ones with null
+    fields: one parse for reports and posts alike."""
+    classified = classify_lines(lines)
+    good = F.col("line_status") == OK
+    cols = []
+    for name in fields:
+        c = post_field(name)
+        if name == "langs":
+            c = F.when(F.variant_get(F.col("json"), "$.langs", "variant").isNull(), F.array().cast("array<string>")).otherwise(c)
+        cols.append(F.when(good, c).alias(name))
+    return classified.select("filename", "line_status", *cols)
+
+
 def bad_line_report(lines: DataFrame) -> DataFrame:
     """(filename, reason, n_lines) for skipped lines (S2). Invalid JSON (blank
     lines included) and valid JSON that is not an object are reported apart."""

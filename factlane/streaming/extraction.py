@@ -10,6 +10,7 @@ executor) neither drops nor repeats a file.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,10 +49,12 @@ def _checkpoint_location(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "streams", name)
 
 
-def write_claims(stream: DataFrame, path: str, name: str = "claims", available_now: bool = True):
+def write_claims(stream: DataFrame, path: str, name: str | None = None, available_now: bool = True):
     """Append tagged claims as Parquet (exactly once per file through the
-    checkpoint). Returns the started query."""
+    checkpoint). The progress is kept under ``name``, by default one of the output
+    path's own, so two streams never share it. Returns the started query."""
     spark = stream.sparkSession
+    name = name or f"claims-{hashlib.md5(path.encode()).hexdigest()[:16]}"
     writer = (stream.writeStream.format("parquet").option("path", path)
               .option("checkpointLocation", _checkpoint_location(spark, name)).outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")

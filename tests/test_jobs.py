@@ -10,6 +10,18 @@ from factlane.sources import tables
 from conftest import SMOKE_DIR
 
 
+def test_extraction_job_drops_repeats_on_request(spark, tmp_path):
+    src = tmp_path / "posts"
+    src.mkdir()
+    row = {"post_id": 1, "text": "The vaccine is safe", "langs": ["eng"]}
+    (src / "a.jsonl").write_text(json.dumps(row) + "\n")
+    (src / "b.jsonl").write_text(json.dumps(row | {"text": "The vaccine is here"}) + "\n" + json.dumps(row | {"post_id": None}) + "\n")
+    for dedup, n in ((False, 3), (True, 2)):
+        paths = run_extraction(spark, str(src), str(tmp_path / f"out{dedup}"), dedup=dedup)
+        rows = spark.read.option("header", True).csv(paths["claims"]).collect()
+        assert len(rows) == n and {r["filename"] for r in rows if r["post_id"]} == ({"a.jsonl"} if dedup else {"a.jsonl", "b.jsonl"})
+
+
 def test_extraction_job(spark, tmp_path):
     src = tmp_path / "posts"
     src.mkdir()
