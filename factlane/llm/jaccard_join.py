@@ -16,7 +16,12 @@ words). Two documents link when 100 * |intersection| >= 85 * |union|, that is
    too few shingles for the bound. A pair is skipped when its sets are already
    connected, or when their computed overlaps with a common representative r
    bound its own: overlap(x, y) <= overlap(r, y) + |x| - overlap(r, x), or when
-   their counts by hash class do. The remaining pairs are counted exactly.
+   their counts by ``CLASSES`` hash classes do: a few shingles of a class are told
+   apart only by their number, so the bound is close to the overlap. The remaining
+   pairs are counted exactly. That is done twice: first each set names only the
+   ``FIRST_PARTNERS`` of a list that may share most with it, which joins nearly all of
+   a group of near copies by a few pairs a set; then all pairs that are still in
+   different components.
 
 No pair is lost: prefixes, sizes, positions and the bound of step 4 are exact
 conditions. Index entries travel as packed arrays by bucket (entries of all
@@ -48,11 +53,13 @@ PERCENT = 85
 SHARED = 16
 #: Common lists from which a representative is tried.
 TRY = 4
-TRIES = 4
+TRIES = 2
+FIRST_PARTNERS = 4
 CELL_BITS = 18
 BUCKET_ENTRIES = 500_000
 BLOCK = 128
-CLASSES = 64
+CLASSES = 256
+NIBBLE = 15  # largest count of a class, in steps of 2**shift shingles
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -88,33 +95,22 @@ def prefix_length(n):
     return n - (PERCENT * n + 99) // 100 + must_share(n)
 
 
-FACT_ROWS = "bucket int, key bigint, n bigint, seq binary, cells binary"
-N_SLICES = 64
+FACT_ROWS = "key bigint, n bigint, seq binary, cell array<int>, times array<bigint>"
 
 
 def _fact_rows(b: pa.RecordBatch) -> pa.RecordBatch:
-    """A row per document, and the block's shingle counts by cell in slices."""
+    """A row per document, and one of the block's shingle counts by cell."""
     data, offsets = text_buffers(b.column("text"))
     sets = shingle_sets(data, offsets)
-    keys = b.column("key").to_pylist()
-    rows = [{"bucket": k % N_SLICES, "key": k, "n": len(s), "seq": hashlib.blake2b(s.tobytes(), digest_size=16).digest()}
-            for k, s in zip(keys, sets)]
     held = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    cells = np.bincount((held >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
-    cells = np.minimum(cells, 65535).astype(np.uint16)  # only the order of cells matters
-    rows += [{"bucket": k, "cells": part.tobytes()} for k, part in enumerate(np.split(cells, N_SLICES))]
-    return pa.RecordBatch.from_pylist(rows, schema=_arrow_schema(FACT_ROWS))
-
-
-def _sum_cells(t: pa.Table) -> pa.Table:
-    rows = t.filter(pc.is_valid(t.column("key")))
-    total = np.zeros((1 << CELL_BITS) // N_SLICES, np.int64)
-    for c in t.column("cells").to_pylist():
-        if c is not None:
-            total += np.frombuffer(c, np.uint16)
-    level = np.minimum(total, 2**31 - 1).astype(np.int32)
-    tail = pa.Table.from_pylist([{"bucket": t.column("bucket")[0].as_py(), "cells": level.tobytes()}], schema=_arrow_schema(FACT_ROWS))
-    return pa.concat_tables([rows.select([f.name for f in tail.schema]).cast(tail.schema), tail])
+    cell, times = np.unique((held >> np.uint64(64 - CELL_BITS)).astype(np.int32), return_counts=True)
+    n = len(sets)
+    seq = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+    one = pa.array([0] * (n + 1) + [len(cell)], pa.int32())
+    cells, counts = (pa.ListArray.from_arrays(one, pa.array(v), mask=pa.array([True] * n + [False])) for v in (cell, times.astype(np.int64)))
+    return pa.RecordBatch.from_arrays(
+        [pa.concat_arrays([b.column("key").cast(pa.int64()), pa.nulls(1, pa.int64())]), pa.array([*map(len, sets), None], pa.int64()),
+         pa.array([*seq, None], pa.binary()), cells, counts], ["key", "n", "seq", "cell", "times"])
 
 
 ENTRY_ROWS = "bucket int, tok binary, key binary, n binary, pos binary"
@@ -140,7 +136,7 @@ def _entry_rows(n_buckets: int, cells: np.ndarray):
         if not cols[0]:
             return pa.RecordBatch.from_pylist([], schema=schema)
         tok, key, n, pos = (np.concatenate(c) for c in cols)
-        rows = _packed((tok % np.uint64(n_buckets)).astype(np.int64), [tok, key, n, pos], ["tok", "key", "n", "pos"], n_buckets)
+        rows = _packed((tok % np.uint64(n_buckets)).astype(np.int64), [tok, key, n, pos], ["tok", "key", "n", "pos"])
         return pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return batch
@@ -178,22 +174,41 @@ def _lists(t: pa.Table) -> pa.Table:
          against(starts[run]), against(second[run])], schema=_arrow_schema(LIST_ROWS))
 
 
+def signature(shingles: np.ndarray) -> bytes:
+    """Counts by hash class in four bits each, behind the shift of their steps
+    (rounded up, so that they never say too little)."""
+    count = np.bincount((shingles % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES)
+    shift = 0
+    while int(count.max()) > NIBBLE << shift:
+        shift += 1
+    steps = (-(-count // (1 << shift))).astype(np.uint8)
+    return bytes([shift]) + (steps[::2] << 4 | steps[1::2]).tobytes()
+
+
+def signature_counts(raw: np.ndarray) -> np.ndarray:
+    """Rows of packed signatures -> counts by class."""
+    pairs = raw[:, 1:]
+    out = np.empty((len(raw), CLASSES), np.int32)
+    out[:, ::2], out[:, 1::2] = pairs >> 4, pairs & 15
+    return out << raw[:, :1].astype(np.int32)
+
+
 def signature_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Most shingles two sets can share, from their counts by hash class; a
-    full count (255) stands for any number."""
-    least = np.minimum(a, b)
-    return np.where((least == 255).any(1), np.iinfo(np.int32).max, least.sum(1, dtype=np.int32))
+    """Most shingles two sets can share, from their counts by hash class."""
+    return np.minimum(a, b).sum(1, dtype=np.int64)
 
 
 def list_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, rep: np.ndarray, rep_overlap: np.ndarray,
-               sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of one list that must be counted. The list's largest
+               sig: np.ndarray, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of one list that must be counted; with ``most`` only so many
+    for each i, those of the highest bounds. The list's largest
     component needs no pairs inside, so the other entries probe the whole list.
     Entries are cut into blocks by position; a block pair is skipped as a whole
     when even its best sizes and positions cannot reach the bound."""
     order = np.lexsort((n, pos))
     n, pos, comp, rep, ov = (v[order].astype(np.int64) for v in (n, pos, comp, rep, rep_overlap))
     sig = sig[order]
+    coarse = sig.reshape(len(sig), CLASSES // 8, 8).sum(2)  # most pairs end here
     left = n - pos
     names, size = np.unique(comp, return_counts=True)
     probing = comp != names[size.argmax()]
@@ -201,6 +216,7 @@ def list_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, rep: np.ndarray
     out_i, out_j = [], []
     for a in range(0, len(probes), BLOCK):
         i = probes[a:a + BLOCK]
+        block = [np.zeros((3, 0), np.int64)]
         for b in range(0, len(n), BLOCK):
             j = np.arange(b, min(b + BLOCK, len(n)))
             if not linked(min(pos[i].max(), pos[j].max()) + min(left[i].max(), left[j].max()), n[i].min(), n[j].min()):
@@ -213,9 +229,20 @@ def list_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, rep: np.ndarray
             ok &= ~same | linked(np.minimum(oy + x - ox, ox + y - oy), x, y)
             p, q = np.nonzero(ok)
             p, q = i[p], j[q]
-            good = linked(signature_bound(sig[p], sig[q]).astype(np.int64), n[p], n[q])
-            out_i.append(order[p[good]])
-            out_j.append(order[q[good]])
+            good = linked(signature_bound(coarse[p], coarse[q]), n[p], n[q])
+            p, q = p[good], q[good]
+            bound = signature_bound(sig[p], sig[q])
+            good = linked(bound, n[p], n[q])
+            block.append(np.stack([p[good], q[good], bound[good]]))
+        p, q, bound = np.concatenate(block, 1)
+        if most and len(p):
+            ranked = np.lexsort((q, -bound, p))
+            p, q = p[ranked], q[ranked]
+            start = np.maximum.accumulate(np.where(np.append(True, p[1:] != p[:-1]), np.arange(len(p)), 0))
+            kept = np.arange(len(p)) - start < most
+            p, q = p[kept], q[kept]
+        out_i.append(order[p])
+        out_j.append(order[q])
     none = np.zeros(0, np.int64)
     return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (none, none)
 
@@ -223,20 +250,30 @@ def list_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, rep: np.ndarray
 PAIR_ROWS = "x bigint, y bigint, nx bigint, ny bigint, lists bigint"
 
 
+def _first_pairs(t: pa.Table) -> pa.Table:
+    """One bucket of lists -> the pairs to be counted first."""
+    return _pairs(t, FIRST_PARTNERS)
+
+
 def _cross_pairs(t: pa.Table) -> pa.Table:
-    """One bucket of lists -> pairs of sets in different components, with the
-    number of lists they share here."""
+    """One bucket of lists -> all pairs to be counted."""
+    return _pairs(t, 0)
+
+
+def _pairs(t: pa.Table, most: int) -> pa.Table:
+    """Pairs of sets in different components, with the number of lists they share
+    here."""
     c = {k: t.column(k).to_numpy() for k in ("tok", "key", "n", "pos", "comp", "rep", "rep_overlap")}
     order = np.argsort(c["tok"], kind="stable")
     c = {k: v[order] for k, v in c.items()}
-    sig = _joined(t.column("sig"), np.uint8).reshape(-1, CLASSES)[order]
+    sig = _joined(t.column("sig"), np.uint8).reshape(-1, CLASSES // 2 + 1)[order]
     edges = np.concatenate([[0], np.flatnonzero(np.diff(c["tok"])) + 1, [len(order)]])
     low, high = np.minimum.reduceat(c["comp"], edges[:-1]), np.maximum.reduceat(c["comp"], edges[:-1])
     found: list[list[np.ndarray]] = [[], [], [], []]
     for k in np.flatnonzero(low != high).tolist():
         part = slice(edges[k], edges[k + 1])
         key, n = c["key"][part], c["n"][part]
-        i, j = list_pairs(*(c[m][part] for m in ("n", "pos", "comp", "rep", "rep_overlap")), sig[part])
+        i, j = list_pairs(*(c[m][part] for m in ("n", "pos", "comp", "rep", "rep_overlap")), signature_counts(sig[part]), most)
         swap = key[i] > key[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
         for out, v in zip(found, (key[i], key[j], n[i], n[j])):
@@ -256,9 +293,7 @@ def _set_rows(b: pa.RecordBatch) -> pa.RecordBatch:
 
 def _signature_rows(b: pa.RecordBatch) -> pa.RecordBatch:
     data, offsets = text_buffers(b.column("text"))
-    sigs = [np.minimum(np.bincount((s % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes()
-            for s in shingle_sets(data, offsets)]
-    return pa.RecordBatch.from_arrays([b.column("key"), pa.array(sigs, pa.binary())], ["key", "sig"])
+    return pa.RecordBatch.from_arrays([b.column("key"), pa.array([signature(s) for s in shingle_sets(data, offsets)], pa.binary())], ["key", "sig"])
 
 
 def count_overlaps(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -297,11 +332,13 @@ def component_keys(rows: DataFrame, distinct: bool) -> DataFrame:
     smallest key of the component."""
     unique = rows.select("key", "text") if distinct else rows.select("key", "text").dropDuplicates(["key"])
 
-    first = cut_lineage(map_texts(unique, _fact_rows, FACT_ROWS).groupBy("bucket").applyInArrow(_sum_cells, FACT_ROWS), "jac-facts")
-    got = {r["bucket"]: r["cells"] for r in first.where(F.col("cells").isNotNull()).select("bucket", "cells").collect()}
-    width = (1 << CELL_BITS) // N_SLICES  # the collected counts have a fixed size
-    cells = np.concatenate([np.frombuffer(got[k], np.int32) if k in got else np.zeros(width, np.int32) for k in range(N_SLICES)])
-    facts = first.where(F.col("key").isNotNull()).select("key", "n", "seq")
+    first = cut_lineage(map_texts(unique, _fact_rows, FACT_ROWS), "jac-facts")
+    # at most 2**CELL_BITS sums, whatever the input
+    sums = first.where("key IS NULL").select(F.explode(F.arrays_zip("cell", "times")).alias("c")).groupBy("c.cell").agg(
+        F.sum("c.times").alias("times")).toArrow()
+    cells = np.zeros(1 << CELL_BITS, np.int64)
+    cells[sums.column("cell").to_numpy()] = sums.column("times").to_numpy()
+    facts = first.where("key IS NOT NULL").select("key", "n", "seq")
     leaders = facts.groupBy("seq").agg(F.min("key").alias("leader"))
     facts = cut_lineage(facts.join(leaders, "seq").select(
         "key", "n", F.when(F.col("n") > 0, F.col("leader")).otherwise(F.col("key")).alias("leader")), "jac-classes")
@@ -333,26 +370,33 @@ def component_keys(rows: DataFrame, distinct: bool) -> DataFrame:
 
     related = tried.groupBy(F.col("x").alias("key")).agg(F.max(F.struct("overlap", "y")).alias("r")).select(
         "key", F.col("r.y").alias("rep"), F.col("r.overlap").alias("rep_overlap"))
-    # lists inside one component are done; of the rest only sets remain that
-    # are in as many open lists as a pair must share
-    known = cut_lineage(lists.select("tok", "key", "n", "pos").join(comp, "key", "left").withColumn(
-        "comp", F.coalesce("comp", "key")), "jac-known")
-    open_lists = known.groupBy("tok").agg(F.min("comp").alias("a"), F.max("comp").alias("z")).where("a != z").select("tok")
-    known = cut_lineage(known.join(open_lists, "tok", "left_semi"), "jac-open")
-    enough = known.groupBy("key").agg(F.count("*").alias("lists"), F.first("n").alias("n")).where(
-        F.col("lists") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * PERCENT / 100))).select("key")
-    facts_of = cut_lineage(map_texts(held.join(enough, "key"), _signature_rows, "key bigint, sig binary").join(
-        related, "key", "left"), "jac-signatures")
-    known = known.join(facts_of, "key").select(
-        F.pmod("tok", F.lit(n_buckets)).cast("int").alias("bucket"), "tok", "key", "n", "pos", "comp", "sig",
-        F.coalesce("rep", F.lit(-1)).alias("rep"), F.coalesce("rep_overlap", F.lit(0)).alias("rep_overlap"))
-    cross = known.groupBy("bucket").applyInArrow(_cross_pairs, PAIR_ROWS).groupBy("x", "y").agg(
-        F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.sum("lists").alias("lists"))
-    need = F.least(F.lit(SHARED), F.ceil(F.least("nx", "ny") * PERCENT / 100))
-    cross = cut_lineage(cross.where(F.col("lists") >= need).select("x", "y"), "jac-cross")
-    late = count_overlaps(cross, held).where(good).select("x", "y")
+    rows, sigs = lists.select("tok", "key", "n", "pos"), None
+    for pairs_of in (_first_pairs, _cross_pairs):
+        # lists inside one component are done; of the rest only sets remain that
+        # are in as many open lists as a pair must share
+        known = cut_lineage(rows.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key")), "jac-known")
+        open_lists = known.groupBy("tok").agg(F.min("comp").alias("a"), F.max("comp").alias("z")).where("a != z").select("tok")
+        known = cut_lineage(known.join(open_lists, "tok", "left_semi"), "jac-open")
+        rows = known.select("tok", "key", "n", "pos")
+        if sigs is None:
+            enough = known.groupBy("key").agg(F.count("*").alias("lists"), F.first("n").alias("n")).where(
+                F.col("lists") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * PERCENT / 100))).select("key")
+            sigs = cut_lineage(map_texts(held.join(enough, "key"), _signature_rows, "key bigint, sig binary").join(
+                related, "key", "left"), "jac-signatures")
+        known = known.join(sigs, "key").select(
+            F.pmod("tok", F.lit(n_buckets)).cast("int").alias("bucket"), "tok", "key", "n", "pos", "comp", "sig",
+            F.coalesce("rep", F.lit(-1)).alias("rep"), F.coalesce("rep_overlap", F.lit(0)).alias("rep_overlap"))
+        cross = known.groupBy("bucket").applyInArrow(pairs_of, PAIR_ROWS).groupBy("x", "y").agg(
+            F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.sum("lists").alias("lists"))
+        if pairs_of is _cross_pairs:  # every shared list names a pair now
+            cross = cross.where(F.col("lists") >= F.least(F.lit(SHARED), F.ceil(F.least("nx", "ny") * PERCENT / 100)))
+        cross = cut_lineage(cross.select("x", "y"), "jac-cross")
+        late = cut_lineage(count_overlaps(cross, held).where(good).select("x", "y"), "jac-late")
+        links = links.union(late)
+        if pairs_of is _first_pairs:
+            comp = components(links, "jac-first")
     copy_links = facts.where(F.col("key") != F.col("leader")).select(F.col("key").alias("x"), F.col("leader").alias("y"))
-    comp = components(links.union(late).union(copy_links), "jac-all")
+    comp = components(links.union(copy_links), "jac-all")
     return facts.select("key", "n").join(comp, "key", "left").select("key", "n", F.coalesce("comp", "key").alias("comp"))
 
 

@@ -130,8 +130,8 @@ def test_no_key_holds_many_runs(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT_RUNS", 5)
     real = suffix_dedup._repeats
 
-    def limited(shard_bytes):
-        inner = real(shard_bytes)
+    def limited(shard_bytes, width):
+        inner = real(shard_bytes, width)
 
         def bucket(t):
             values = b"".join(v for v in t.column("value").to_pylist() if v is not None)
@@ -147,6 +147,36 @@ def test_no_key_holds_many_runs(spark, monkeypatch):
         assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute_bytes(rows)
 
 
+@pytest.mark.parametrize("parts,hot", [(1, 4000), (3, 4)])
+def test_suffix_dedup_of_other_widths(spark, monkeypatch, parts, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", hot)
+    rows = texts(9)
+    got = suffix_dedup.remove_repeated_strings(frame(spark, rows).repartition(parts), width=suffix_dedup.Width(200, 75, 50)).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute_bytes(plain(rows), 200)
+
+
+def test_pipeline_stage_leaves_no_passage_of_fifty_words(spark):
+    """The stage on the given documents: no 50-word window in two documents."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    docs = stages["near_copies"](spark, docs, "")
+
+    def shared(frame_):
+        where = {}
+        for r in frame_.select("doc_id", "text").collect():
+            words = (r["text"] or "").encode().split()
+            for k in range(len(words) - 49):
+                where.setdefault(tuple(words[k:k + 50]), set()).add(r["doc_id"])
+        return sum(len(v) > 1 for v in where.values())
+
+    assert shared(docs) > 0
+    out = stages["repeated_strings"](spark, docs, "")
+    assert shared(out) == 0
+    assert out.count() > 0.95 * docs.count() and set(out.columns) == set(docs.columns)
+
+
 def test_repeats_beyond_four_mebibytes(spark):
     rng = np.random.default_rng(21)
     tail, other = (rng.integers(97, 123, 900).astype(np.uint8).tobytes().decode() for _ in range(2))
@@ -201,6 +231,19 @@ def test_list_pairs_lose_nothing():
     assert got == want
 
 
+def test_signatures_never_say_too_little():
+    rng = np.random.default_rng(7)
+    for size in (1, 5, 90, 700, 6000, 50_000):
+        pool = rng.integers(0, 2**63, size * 2, dtype=np.uint64)
+        a, b = (rng.choice(pool, size, replace=False) for _ in range(2))
+        x, y = (jaccard_join.signature_counts(np.frombuffer(jaccard_join.signature(s), np.uint8)[None]) for s in (a, b))
+        overlap = len(np.intersect1d(a, b))
+        assert overlap <= jaccard_join.signature_bound(x, y)[0] <= size + 15 * jaccard_join.CLASSES
+        assert len(jaccard_join.signature(a)) == jaccard_join.CLASSES // 2 + 1
+        if size in (90, 700):  # unlinked sets are told apart
+            assert not jaccard_join.linked(jaccard_join.signature_bound(x, y)[0], len(a), len(b))
+
+
 def test_awkward_rows_and_empty_tables(spark):
     rows = texts(6, 6) + AWKWARD
     docs = frame(spark, rows)
