@@ -60,14 +60,31 @@ def with_terms(df: DataFrame, text: str = "claim", out: str = "terms", ngram_ran
             .withColumn(out, ngrams_of("__toks", ngram_range)).drop("__toks"))
 
 
+def term_occurrences(df: DataFrame, key: str = "claim_id", text: str = "claim", ngram_range=TFIDF_NGRAM_RANGE) -> DataFrame:
+    """(key, term), a row per occurrence: a narrow pass over the texts."""
+    return with_terms(df.select(key, text), text, "__terms", ngram_range).select(key, F.explode("__terms").alias("term"))
+
+
 def term_frequencies(df: DataFrame, key: str = "claim_id", text: str = "claim",
                      ngram_range=TFIDF_NGRAM_RANGE) -> DataFrame:
     """(key, term, tf) for every term of every row. Rows are dealt by their key
     before the terms are taken apart, so the exploded terms are counted where they
     are and only texts are exchanged."""
-    return (with_terms(df.select(key, text).repartition(F.col(key)), text, "__terms", ngram_range)
-            .select(key, F.explode("__terms").alias("term"))
-            .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
+    return term_occurrences(df.repartition(F.col(key)), key, text, ngram_range).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _tf(terms: DataFrame):
+    """Occurrences a row of ``terms`` stands for."""
+    return F.col("tf") if "tf" in terms.columns else F.lit(1).cast("bigint")
+
+
+def used_terms(terms: DataFrame, vocab: DataFrame, key: str = "claim_id") -> DataFrame:
+    """(key, term, tf) of the terms that stand in any vocabulary; the others go
+    before anything is counted or exchanged."""
+    from ..session import join_small
+
+    held = join_small(terms, vocab.select("term").distinct(), ["term"], limit=1_000_000)
+    return held if "tf" in terms.columns else held.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 #: Cells that terms are hashed to when counts are bounded.
@@ -91,7 +108,7 @@ def top_terms(train_rows: DataFrame, terms: DataFrame, group, key: str, k: int)
     # groups, so the exploded terms are not multiplied by the runs
     member = train_rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*group))).alias("__in"))
     cell = F.pmod(F.xxhash64("term"), F.lit(TERM_CELLS)).cast("int")
-    counted = member.join(terms, key).withColumn("__cell", cell)
+    counted = member.join(terms, key).withColumns({"__cell": cell, "tf": _tf(terms)})
     names = [F.col(f"__g.{g}").alias(g) for g in group]
 
     def per_group(rows: DataFrame, by: str, *sums):
@@ -103,6 +120,7 @@ def top_terms(train_rows: DataFrame, terms: DataFrame, group, key: str, k: int)
         wanted = cells.groupBy("__cell").agg(F.collect_set(F.struct(*group)).alias("__of"))
         hits = join_small(counted, wanted, ["__cell"], limit=2 * TERM_CELLS)
         hits = hits.withColumn("__in", F.array_intersect("__in", "__of")).where(F.size("__in") > 0)
+        hits = hits.groupBy(key, "__in", "term").agg(F.sum("tf").alias("tf"))
         return per_group(hits, "term", ("total", F.col("tf")), ("df", F.lit(1)))
 
     order = Window.partitionBy(*group).orderBy(F.desc("bound"), "__cell")
@@ -145,7 +163,7 @@ def tfidf_weights(rows: DataFrame, terms: DataFrame, vocab: DataFrame, group=("d
     from ..session import join_small
 
     group = list(group)
-    used = join_small(terms, vocab.select("term").distinct(), ["term"])
+    used = used_terms(terms, vocab, key)
     j = join_small(rows.select(*group, key).join(used, key), vocab.select(*group, "term", "idf", "index"), group + ["term"])
     j = j.withColumn("w", F.col("tf") * F.col("idf"))
     held = j.groupBy(*group, key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
@@ -179,13 +197,13 @@ def fit_group_models(train: DataFrame, claims: DataFrame, group=("dataset", "run
                      penalty: float = 1.0) -> GroupModels:
     """One TF-IDF + L2 logistic regression (C = 1 / penalty) per group,
     all fitted together. Terms are taken from each text once."""
-    from ..session import cut_lineage, join_small
+    from ..session import cut_lineage
     from .logistic import feature_blocks, fit_logistic
 
     group = list(group)
-    terms = term_frequencies(claims, key, text)
+    terms = term_occurrences(claims, key, text)
     vocab = cut_lineage(fit_vocabulary(train, terms, group, key, max_features), "vocabulary")
-    used = cut_lineage(join_small(terms, vocab.select("term").distinct(), ["term"]), "vocabulary-terms")
+    used = cut_lineage(used_terms(terms, vocab, key), "vocabulary-terms")
     labelled = train.where(F.col(label).isNotNull())
     features = group_features(labelled, used, vocab, group, key, label)
     blocks = feature_blocks(labelled, features, group, key, label)

@@ -10,6 +10,7 @@ from ..operators import metrics as M
 from ..operators import tfidf as T
 from ..operators.clean import clean_claims
 from ..operators.splits import label_split
+from ..session import cut_lineage
 from . import evaluation as E
 from .queries_eval import claims_of
 from .registry import query, rounded, sql_runs, sql_split, sql_str, sql_with
@@ -35,9 +36,9 @@ SQL_TFIDF_BASE = [sql_clean_claims(), sql_runs(), sql_split("clean"), SQL_TERMS]
 def _tfidf_inputs(spark, sf_dir):
     claims = claims_of(spark, sf_dir)
     parts = E.split_parts(claims)
-    terms = T.term_frequencies(clean_claims(claims).select("claim_id", "claim"))
+    terms = T.term_occurrences(clean_claims(claims).select("claim_id", "claim"))
     train = parts.where(F.col("split") == "train")
-    return parts, terms, T.fit_vocabulary(train, terms)
+    return parts, terms, cut_lineage(T.fit_vocabulary(train, terms), "vocabulary")
 
 
 @query("w5_top_vocabulary", sql_with(*SQL_TFIDF_BASE) + """
@@ -85,7 +86,6 @@ def b5_tfidf_lr_metrics(spark, sf_dir):
 def a5_tfidf_tests(spark, sf_dir):
     """A5 + A10 with the TF-IDF+LR baseline as a third condition."""
     from ..operators import runstats as A
-    from ..session import cut_lineage
 
     _, records = E.run_metrics(_tfidf_results(spark, sf_dir), {**E.SPLIT_CONDITIONS, "tfidf_baseline": "TF-IDF+LR"})
     return rounded(A.one_sample_tests(cut_lineage(records, "records")))
@@ -106,7 +106,6 @@ def b5_lr_optimality(spark, sf_dir):
     sums are plain joins and aggregates over the stored weights, apart from the
     solver; the loss is convex, so a stationary point is the model."""
     from ..operators.logistic import INTERCEPT, margins
-    from ..session import cut_lineage
 
     train, models = _b5_models(spark, sf_dir)
     group = ["dataset", "run_id"]

@@ -152,7 +152,7 @@ def test_top_terms_are_exact(spark, monkeypatch):
     for cells, first in ((1 << 18, 4), (64, 1), (3000, 1)):
         monkeypatch.setattr(T, "TERM_CELLS", cells)
         monkeypatch.setattr(T, "FIRST_CELLS", first)
-        got = T.fit_vocabulary(train, terms, ["run_id"], max_features=25).collect()
+        got = T.fit_vocabulary(train, terms if cells == 64 else T.term_occurrences(docs), ["run_id"], max_features=25).collect()
         for run in (0, 1):
             best = sorted(((-r.total, r.term, r.df) for r in plain if r.run_id == run))[:25]
             assert sorted((-r.total, r.term, r.df) for r in got if r.run_id == run) == best
