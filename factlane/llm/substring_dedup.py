@@ -78,16 +78,12 @@ def _first_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, first
 
 
-def _packed(bucket: np.ndarray, columns: list[np.ndarray], names: list[str], n_buckets: int) -> list[dict]:
-    """One row per bucket, each column's values as bytes."""
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-    rows = []
-    for k in range(n_buckets):
-        part = order[edges[k]:edges[k + 1]]
-        if len(part):
-            rows.append({"bucket": k, **{n: c[part].tobytes() for n, c in zip(names, columns)}})
-    return rows
+def _packed(bucket: np.ndarray, columns: list[np.ndarray], names: list[str]) -> list[dict]:
+    """One row per bucket that occurs, each column's values as bytes."""
+    order, first = _first_of(bucket)
+    cuts = np.append(np.flatnonzero(first), len(order))
+    return [{"bucket": int(bucket[order[a]]), **{n: c[order[a:z]].tobytes() for n, c in zip(names, columns)}}
+            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
 def _grouped_bytes(key: np.ndarray, values: np.ndarray) -> dict[int, bytes]:
@@ -141,7 +137,7 @@ def _anchor_rows(n_buckets: int):
         # first entry per hash goes on; one that repeats here is known already
         sent = first
         rows += _packed((hashes[sent] % np.uint64(n_buckets)).astype(np.int64),
-                        [hashes[sent], keys[owner[sent]], again[sent]], ["hash", "key", "again"], n_buckets)
+                        [hashes[sent], keys[owner[sent]], again[sent]], ["hash", "key", "again"])
         return pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return batch
@@ -203,7 +199,7 @@ def _window_rows(n_buckets: int):
                 for k, v in _grouped_bytes(owner[~first], start[~first].astype(np.int32)).items()]
         sent = np.flatnonzero(first)
         rows += _packed((h1[sent] % np.uint64(n_buckets)).astype(np.int64),
-                        [h1[sent], h2[sent], owner[sent], start[sent].astype(np.int32)], ["h1", "h2", "key", "start"], n_buckets)
+                        [h1[sent], h2[sent], owner[sent], start[sent].astype(np.int32)], ["h1", "h2", "key", "start"])
         return pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return batch

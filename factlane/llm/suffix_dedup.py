@@ -154,7 +154,7 @@ def _run_rows(n_buckets: int, w: Width):
         lead = np.flatnonzero(~same)
         again = np.logical_or.reduceat(twice, lead) if len(lead) else np.zeros(0, bool)
         value, owner = value[lead], owner[lead]
-        rows += _packed((value % np.uint64(n_buckets)).astype(np.int64), [value, owner, again], ["hash", "content", "again"], n_buckets)
+        rows += _packed((value % np.uint64(n_buckets)).astype(np.int64), [value, owner, again], ["hash", "content", "again"])
         return pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return batch
@@ -241,17 +241,41 @@ def _held_runs(b: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, w: Widt
     return _subkeys(data, offsets, hot, (value[held], text[held], start[held], run[held]), w)
 
 
-def _count_rows(w: Width):
+CANDIDATES = "key bigint, text string, is_hot boolean, value binary, start binary, run binary"
+
+
+def _candidate_rows(w: Width):
+    """Texts with their marked runs, hashed and cut once; later steps read them."""
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        """(value, runs, starts) of the block's runs by their finer keys."""
-        value, _, _, run = _held_runs(b, *text_buffers(b.column("text")), w)
-        distinct, at = np.unique(value, return_inverse=True)
-        return pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(np.bincount(at, minlength=len(distinct)).astype(np.int64)),
-                                           pa.array(np.bincount(at, run, len(distinct)).astype(np.int64))], ["value", "runs", "starts"])
+        value, text, start, run = _held_runs(b, *text_buffers(b.column("text")), w)
+        order = np.argsort(text, kind="stable")
+        edges = np.searchsorted(text[order], np.arange(b.num_rows + 1)).tolist()
+        packed = [[c[order[x:z]].astype(k).tobytes() for x, z in zip(edges, edges[1:])] for c, k in ((value, np.uint64), (start, np.int32), (run, np.int32))]
+        is_hot = [any(h is not None for h in hot or ()) for hot in b.column("hot").to_pylist()]
+        return pa.RecordBatch.from_arrays([b.column("key"), b.column("text"), pa.array(is_hot), *(pa.array(p, pa.binary()) for p in packed)],
+                                          ["key", "text", "is_hot", "value", "start", "run"])
 
     return batch
 
 
+def _stored_runs(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(value, text, start, number of starts) of a batch of candidates."""
+    value = b.column("value").to_pylist()
+    text = np.repeat(np.arange(b.num_rows), [len(v) // 8 for v in value])
+    start, run = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.int32).astype(np.int64) for c in ("start", "run"))
+    return np.frombuffer(b"".join(value), np.uint64), text, start, run
+
+
+def _count_rows(batches):
+    """(value, runs, starts) of the runs by their finer keys."""
+    for b in batches:
+        value = np.frombuffer(b"".join(b.column("value").to_pylist()), np.uint64)
+        run = np.frombuffer(b"".join(b.column("run").to_pylist()), np.int32)
+        distinct, at = np.unique(value, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(np.bincount(at, minlength=len(distinct)).astype(np.int64)),
+                                          pa.array(np.bincount(at, run, len(distinct)).astype(np.int64))], ["value", "runs", "starts"])
+
+
 def _window_entries(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, runs: tuple[np.ndarray, ...], n_buckets: int, n_windows: int, w: Width) -> list[dict]:
     """Rows of all windows of the runs, by hash: starts that repeat inside the
     block are known at once, and one entry of each hash goes on."""
@@ -273,7 +297,7 @@ def _window_entries(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, run
     # start -1: repeats already, its starts are known
     sent = np.where(again, -1, start)[first].astype(np.int32)
     h1, h2, key = h1[first], h2[first], key[first]
-    entries = _packed((h1 % np.uint64(n_windows)).astype(np.int64), [h1, h2, key, sent], ["h1", "h2", "wkey", "wstart"], n_windows)
+    entries = _packed((h1 % np.uint64(n_windows)).astype(np.int64), [h1, h2, key, sent], ["h1", "h2", "wkey", "wstart"])
     return rows + [{**r, "bucket": n_buckets + r["bucket"]} for r in entries]
 
 
@@ -296,17 +320,18 @@ def _segment_rows(n_buckets: int, hot_keys: np.ndarray, n_windows: int, w: Width
     def batch(b: pa.RecordBatch):
         data, offsets = text_buffers(b.column("text"))
         keys = b.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
-        value, text, start, run = found = _held_runs(b, data, offsets, w)
+        value, text, start, run = found = _stored_runs(b)
         hot = np.isin(value, hot_keys)
         windows = _window_entries(data, offsets, keys, tuple(c[hot] for c in found), n_buckets, n_windows, w) if hot.any() else []
         value, text, start, run = (c[~hot] for c in found)
         bucket = (value % np.uint64(n_buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+        order, first = _first_of(bucket)
+        cuts = np.append(np.flatnonzero(first), len(order)).tolist()
         raw = data.tobytes()
         rows = []
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
-            part = order[cuts[k]:cuts[k + 1]]
+        for a, z in zip(cuts, cuts[1:]):
+            part = order[a:z]
+            k = int(bucket[part[0]])
             begin = offsets[text[part]] + start[part]
             pieces = [raw[a:a + n + w.match - 1] for a, n in zip(begin.tolist(), run[part].tolist())]
             # equal segments of the block travel once; the others name the first
@@ -542,9 +567,9 @@ def remove_repeated_strings(docs: DataFrame, with_text: bool = False, keep: tupl
     marks = first.where(F.col("marks").isNotNull()).groupBy("content").agg(
         F.collect_list("marks").alias("marks"), F.collect_list("hot").alias("hot"))
     marks = facts.where("leads").select("key", "content").join(marks, "content").select("key", "marks", "hot")
-    held = cut_lineage(unique.join(marks, "key"), "suf-candidates")
+    held = cut_lineage(map_texts(unique.join(marks, "key"), _candidate_rows(width), CANDIDATES, BATCH), "suf-candidates")
     # finer keys that many runs still share (at most runs / HOT_RUNS of them)
-    counts = map_texts(held.where(F.size("hot") > 0), _count_rows(width), "value bigint, runs bigint, starts bigint", BATCH)
+    counts = held.where("is_hot").select("value", "run").mapInArrow(_count_rows, "value bigint, runs bigint, starts bigint")
     still = counts.groupBy("value").agg(F.sum("runs").alias("runs"), F.sum("starts").alias("starts")).where(F.col("runs") > HOT_RUNS).collect()
     hot_keys = np.array([r["value"] for r in still], np.int64).view(np.uint64)
     n_windows = max(1, -(-sum(r["starts"] for r in still) * ENTRY_BYTES // BUCKET_BYTES))
