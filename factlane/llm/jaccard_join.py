@@ -20,8 +20,8 @@ words). Two documents link when 100 * |intersection| >= 85 * |union|, that is
    apart only by their number, so the bound is close to the overlap. The remaining
    pairs are counted exactly. That is done twice: first each set names only the
    ``FIRST_PARTNERS`` of a list that may share most with it, which joins nearly all of
-   a group of near copies by a few pairs a set; then all pairs that are still in
-   different components.
+   a group of near copies by a few pairs a set; then the sets that had more to name
+   are gone through again, with all pairs still in different components.
 
 No pair is lost: prefixes, sizes, positions and the bound of step 4 are exact
 conditions. Index entries travel as packed arrays by bucket (entries of all
@@ -95,22 +95,39 @@ def prefix_length(n):
     return n - (PERCENT * n + 99) // 100 + must_share(n)
 
 
-FACT_ROWS = "key bigint, n bigint, seq binary, cell array<int>, times array<bigint>"
+FACT_ROWS = "key bigint, n bigint, seq binary, cells binary"
+SLICE_ROWS = "slice int, cells binary"
+N_SLICES = 64
 
 
 def _fact_rows(b: pa.RecordBatch) -> pa.RecordBatch:
     """A row per document, and one of the block's shingle counts by cell."""
     data, offsets = text_buffers(b.column("text"))
     sets = shingle_sets(data, offsets)
+    rows = [{"key": k, "n": len(s), "seq": hashlib.blake2b(s.tobytes(), digest_size=16).digest()} for k, s in zip(b.column("key").to_pylist(), sets)]
     held = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    cell, times = np.unique((held >> np.uint64(64 - CELL_BITS)).astype(np.int32), return_counts=True)
-    n = len(sets)
-    seq = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-    one = pa.array([0] * (n + 1) + [len(cell)], pa.int32())
-    cells, counts = (pa.ListArray.from_arrays(one, pa.array(v), mask=pa.array([True] * n + [False])) for v in (cell, times.astype(np.int64)))
-    return pa.RecordBatch.from_arrays(
-        [pa.concat_arrays([b.column("key").cast(pa.int64()), pa.nulls(1, pa.int64())]), pa.array([*map(len, sets), None], pa.int64()),
-         pa.array([*seq, None], pa.binary()), cells, counts], ["key", "n", "seq", "cell", "times"])
+    cells = np.bincount((held >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
+    # only the order of cells matters, so a full count may stay full
+    rows.append({"cells": np.minimum(cells, 255).astype(np.uint8).tobytes()})
+    return pa.RecordBatch.from_pylist(rows, schema=_arrow_schema(FACT_ROWS))
+
+
+def _task_cells(batches):
+    """Sums of a task's blocks, in slices of fixed size."""
+    total = np.zeros(1 << CELL_BITS, np.int64)
+    for b in batches:
+        for c in b.column("cells").to_pylist():
+            total += np.frombuffer(c, np.uint8)
+    rows = [{"slice": k, "cells": np.minimum(part, 2**31 - 1).astype(np.int32).tobytes()} for k, part in enumerate(np.split(total, N_SLICES))]
+    yield pa.RecordBatch.from_pylist(rows, schema=_arrow_schema(SLICE_ROWS))
+
+
+def _slice_cells(t: pa.Table) -> pa.Table:
+    total = np.zeros((1 << CELL_BITS) // N_SLICES, np.int64)
+    for c in t.column("cells").to_pylist():
+        total += np.frombuffer(c, np.int32)
+    row = {"slice": t.column("slice")[0].as_py(), "cells": np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()}
+    return pa.Table.from_pylist([row], schema=_arrow_schema(SLICE_ROWS))
 
 
 ENTRY_ROWS = "bucket int, tok binary, key binary, n binary, pos binary"
@@ -199,9 +216,10 @@ def signature_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def list_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, rep: np.ndarray, rep_overlap: np.ndarray,
-               sig: np.ndarray, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of one list that must be counted; with ``most`` only so many
-    for each i, those of the highest bounds. The list's largest
+               sig: np.ndarray, most: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j) of one list that must be counted, and the entries i that have
+    more: with ``most`` only so many are named for each i, those of the highest
+    bounds. The list's largest
     component needs no pairs inside, so the other entries probe the whole list.
     Entries are cut into blocks by position; a block pair is skipped as a whole
     when even its best sizes and positions cannot reach the bound."""
@@ -213,7 +231,7 @@ def list_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, rep: np.ndarray
     names, size = np.unique(comp, return_counts=True)
     probing = comp != names[size.argmax()]
     probes = np.flatnonzero(probing)
-    out_i, out_j = [], []
+    out_i, out_j, cut = [], [], []
     for a in range(0, len(probes), BLOCK):
         i = probes[a:a + BLOCK]
         block = [np.zeros((3, 0), np.int64)]
@@ -240,11 +258,12 @@ def list_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, rep: np.ndarray
             p, q = p[ranked], q[ranked]
             start = np.maximum.accumulate(np.where(np.append(True, p[1:] != p[:-1]), np.arange(len(p)), 0))
             kept = np.arange(len(p)) - start < most
+            cut.append(order[np.unique(p[~kept])])
             p, q = p[kept], q[kept]
         out_i.append(order[p])
         out_j.append(order[q])
     none = np.zeros(0, np.int64)
-    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (none, none)
+    return tuple(np.concatenate([none, *c]) for c in (out_i, out_j, cut))
 
 
 PAIR_ROWS = "x bigint, y bigint, nx bigint, ny bigint, lists bigint"
@@ -270,17 +289,23 @@ def _pairs(t: pa.Table, most: int) -> pa.Table:
     edges = np.concatenate([[0], np.flatnonzero(np.diff(c["tok"])) + 1, [len(order)]])
     low, high = np.minimum.reduceat(c["comp"], edges[:-1]), np.maximum.reduceat(c["comp"], edges[:-1])
     found: list[list[np.ndarray]] = [[], [], [], []]
+    more = [np.zeros(0, np.int64)]
     for k in np.flatnonzero(low != high).tolist():
         part = slice(edges[k], edges[k + 1])
         key, n = c["key"][part], c["n"][part]
-        i, j = list_pairs(*(c[m][part] for m in ("n", "pos", "comp", "rep", "rep_overlap")), signature_counts(sig[part]), most)
+        i, j, cut = list_pairs(*(c[m][part] for m in ("n", "pos", "comp", "rep", "rep_overlap")), signature_counts(sig[part]), most)
+        more.append(key[cut])
         swap = key[i] > key[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
         for out, v in zip(found, (key[i], key[j], n[i], n[j])):
             out.append(v.astype(np.int64))
     rows = np.stack([np.concatenate(v) if v else np.zeros(0, np.int64) for v in found])
     rows, lists = np.unique(rows, axis=1, return_counts=True)
-    return pa.Table.from_arrays([pa.array(r) for r in (*rows, lists.astype(np.int64))], schema=_arrow_schema(PAIR_ROWS))
+    pairs = pa.Table.from_arrays([pa.array(r) for r in (*rows, lists.astype(np.int64))], schema=_arrow_schema(PAIR_ROWS))
+    # a row without partner: the set has pairs that are not named here
+    more = np.unique(np.concatenate(more))
+    left = pa.Table.from_arrays([pa.array(more), *[pa.nulls(len(more), pa.int64())] * 4], schema=pairs.schema)
+    return pa.concat_tables([pairs, left])
 
 
 def _set_rows(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -333,11 +358,10 @@ def component_keys(rows: DataFrame, distinct: bool) -> DataFrame:
     unique = rows.select("key", "text") if distinct else rows.select("key", "text").dropDuplicates(["key"])
 
     first = cut_lineage(map_texts(unique, _fact_rows, FACT_ROWS), "jac-facts")
-    # at most 2**CELL_BITS sums, whatever the input
-    sums = first.where("key IS NULL").select(F.explode(F.arrays_zip("cell", "times")).alias("c")).groupBy("c.cell").agg(
-        F.sum("c.times").alias("times")).toArrow()
-    cells = np.zeros(1 << CELL_BITS, np.int64)
-    cells[sums.column("cell").to_numpy()] = sums.column("times").to_numpy()
+    # a fixed size, whatever the input: summed inside the tasks, then by slice
+    sums = first.where("key IS NULL").select("cells").mapInArrow(_task_cells, SLICE_ROWS).groupBy("slice").applyInArrow(_slice_cells, SLICE_ROWS)
+    got = {r["slice"]: r["cells"] for r in sums.collect()}
+    cells = np.concatenate([np.frombuffer(got[k], np.int32) for k in range(N_SLICES)]) if got else np.zeros(1 << CELL_BITS, np.int32)
     facts = first.where("key IS NOT NULL").select("key", "n", "seq")
     leaders = facts.groupBy("seq").agg(F.min("key").alias("leader"))
     facts = cut_lineage(facts.join(leaders, "seq").select(
@@ -391,10 +415,14 @@ def component_keys(rows: DataFrame, distinct: bool) -> DataFrame:
         if pairs_of is _cross_pairs:  # every shared list names a pair now
             cross = cross.where(F.col("lists") >= F.least(F.lit(SHARED), F.ceil(F.least("nx", "ny") * PERCENT / 100)))
         cross = cut_lineage(cross.select("x", "y"), "jac-cross")
+        more = cross.where("y IS NULL").select(F.col("x").alias("key"))
+        cross = cross.where("y IS NOT NULL")
         late = cut_lineage(count_overlaps(cross, held).where(good).select("x", "y"), "jac-late")
         links = links.union(late)
         if pairs_of is _first_pairs:
+            # only lists of sets with unnamed pairs are gone through again
             comp = components(links, "jac-first")
+            rows = rows.join(rows.join(more, "key", "left_semi").select("tok").distinct(), "tok", "left_semi")
     copy_links = facts.where(F.col("key") != F.col("leader")).select(F.col("key").alias("x"), F.col("leader").alias("y"))
     comp = components(links.union(copy_links), "jac-all")
     return facts.select("key", "n").join(comp, "key", "left").select("key", "n", F.coalesce("comp", "key").alias("comp"))

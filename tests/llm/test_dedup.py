@@ -206,9 +206,10 @@ def test_merged_transforms_group_equal_prefixes():
     assert sorted(map(sorted, by_class.values())) == sorted(map(sorted, by_bytes.values()))
 
 
-@pytest.mark.parametrize("parts,entries", [(1, 500_000), (4, 100)])
-def test_jaccard_join(spark, monkeypatch, parts, entries):
-    monkeypatch.setattr(jaccard_join, "BUCKET_ENTRIES", entries)
+@pytest.mark.parametrize("parts,entries,first,tries", [(1, 500_000, 4, 2), (4, 100, 1, 0)])
+def test_jaccard_join(spark, monkeypatch, parts, entries, first, tries):
+    for name, v in (("BUCKET_ENTRIES", entries), ("FIRST_PARTNERS", first), ("TRY", 4 if tries else 10**6)):
+        monkeypatch.setattr(jaccard_join, name, v)
     rows = texts(5) + near_groups()
     got = jaccard_join.jaccard_components(frame(spark, rows).repartition(parts)).collect()
     want = brute_components(plain(rows))
@@ -223,12 +224,18 @@ def test_list_pairs_lose_nothing():
     comp, none = np.arange(400) // 2, np.full(400, -1)
     comp[:60] = 0
     full = np.full((400, jaccard_join.CLASSES), 255, np.uint8)
-    i, j = jaccard_join.list_pairs(n, pos, comp, none, np.zeros(400, np.int64), full)
+    i, j, more = jaccard_join.list_pairs(n, pos, comp, none, np.zeros(400, np.int64), full)
+    assert not len(more)
     assert len(set(zip(i.tolist(), j.tolist()))) == len(i)
     got = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())}
     want = {(a, b) for a in range(400) for b in range(a + 1, 400) if comp[a] != comp[b]
             and jaccard_join.may_link(n[a], pos[a], n[b], pos[b])}
     assert got == want
+    i, j, more = jaccard_join.list_pairs(n, pos, comp, none, np.zeros(400, np.int64), full, 2)
+    first = {(a, b) for a, b in zip(i.tolist(), j.tolist())}
+    assert {tuple(sorted(p)) for p in first} <= want and np.bincount(i).max() == 2
+    # what is not named belongs to a set that says so
+    assert all(a in more or b in more for a, b in want - {tuple(sorted(p)) for p in first})
 
 
 def test_signatures_never_say_too_little():
