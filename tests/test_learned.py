@@ -173,3 +173,25 @@ def test_classifier_handles_empty_texts_and_reports_scores(spark):
     data = [(*r[:3], "" if r[2] % 11 == 0 else r[3], *r[4:]) for r in rows("A", 120, 0)]
     model = fit_text_classifier(spark.createDataFrame(data, COLUMNS).drop("majority_baseline"))
     assert set(model.scores) == {1e-3, 1e-2, 1e-1} and model.penalty == max(model.scores, key=lambda k: (model.scores[k], -k))
+
+
+def test_classifier_in_many_blocks(spark, monkeypatch):
+    """Rows in one block or in many take the same steps from the same start."""
+    from pyspark.sql import functions as F
+
+    from factlane.operators import classifier as C
+    from factlane.operators.logistic import fit_logistic
+
+    rng = np.random.default_rng(2)
+    data = [("train", i, i % 2, sorted(int(x) for x in rng.integers(0, 40, 6) + 10 * (i % 2))) for i in range(60)] + [("train", 60, 1, [])]
+    df = spark.createDataFrame(data, "part string, __rid bigint, label int, __places array<int>")
+    start = spark.createDataFrame([(0, bytearray(np.append(np.zeros(C.FEATURES), 0.3).tobytes()))], "__model int, start binary")
+    found = []
+    for size in (C.SOLVE_VALUES, 150):
+        monkeypatch.setattr(C, "SOLVE_VALUES", size)
+        blocks = C.weighted_blocks(C.place_blocks(df, "label"), "train")
+        assert (blocks.count() > 1) == (size == 150)
+        weights = fit_logistic(blocks.withColumn("__model", F.lit(0)), ["__model"], C.FEATURES, [0.1], mean_loss=True, max_iter=3, start=start)
+        found.append({r["__rid"]: r.margin for r in C.block_margins(blocks, weights).collect()})
+    assert len(found[0]) == 61 and found[0].keys() == found[1].keys()
+    assert max(abs(found[0][k] - found[1][k]) for k in found[0]) < 1e-6
