@@ -195,3 +195,17 @@ def test_classifier_in_many_blocks(spark, monkeypatch):
         found.append({r["__rid"]: r.margin for r in C.block_margins(blocks, weights).collect()})
     assert len(found[0]) == 61 and found[0].keys() == found[1].keys()
     assert max(abs(found[0][k] - found[1][k]) for k in found[0]) < 1e-6
+
+
+def test_vocabulary_from_stored_terms_exchanges_rows_only(spark):
+    """Terms held as arrays give the same vocabulary as single occurrences."""
+    from pyspark.sql import functions as F
+
+    from factlane.operators import tfidf as T
+
+    docs = spark.createDataFrame([(i, f"aa bb{i % 3} cc{i % 5} aa") for i in range(30)], "claim_id bigint, claim string")
+    train = docs.select("claim_id").withColumn("run_id", F.explode(F.array(F.lit(0), F.lit(1)))).where("(claim_id + run_id) % 3 > 0")
+    bags = T.term_bags(docs)
+    assert bags.count() == 30  # a row a text
+    got = [sorted(map(tuple, T.fit_vocabulary(train, t, ["run_id"], max_features=6).collect())) for t in (bags, T.term_occurrences(docs))]
+    assert got[0] == got[1] and len(got[0]) == 12
