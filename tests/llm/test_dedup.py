@@ -5,6 +5,8 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from factlane.llm import jaccard_join, substring_dedup, suffix_dedup
@@ -114,6 +116,17 @@ def test_substring_dedup(spark, monkeypatch, parts, entries):
     assert any(r["n_removed"] for r in got)
 
 
+def test_mark_rows_follow_the_repeats_and_not_the_buckets():
+    passage = prose(random.Random(4), 200)
+    blocks = [pa.RecordBatch.from_pylist([{"key": 10 * b + k, "text": f"{prose(random.Random(10 * b + k), 50)} {passage}"} for k in range(10)]) for b in range(2)]
+    made = []
+    for n in (1, 50):
+        rows = pa.Table.from_batches([substring_dedup._anchor_rows(n)(b) for b in blocks])
+        parts = [substring_dedup._repeated_anchors(rows.filter(pc.equal(rows.column("bucket"), k))) for k in range(n)]
+        made.append(sorted((r["key"], r["mark"] or 0, r["marks"] or b"") for t in parts for r in t.to_pylist()))
+    assert made[0] == made[1] and len(made[0]) > 20
+
+
 @pytest.mark.parametrize("parts,bucket,shard,hot", [(1, 8 << 20, 1 << 20, 4000), (5, 4000, 3000, 1)])
 def test_suffix_dedup(spark, monkeypatch, parts, bucket, shard, hot):
     for name, v in (("BUCKET_BYTES", bucket), ("SHARD_BYTES", shard), ("HOT_RUNS", hot)):
