@@ -94,6 +94,39 @@ def test_many_blocks_give_the_same_weights(spark):
     assert max(abs(found[0][k] - found[1][k]) for k in found[0]) < 1e-6
 
 
+def test_term_like_groups_are_fitted_in_few_iterations(spark, monkeypatch):
+    """Features of very unlike size, in one block and in many: few points are
+    tried, and the weights are those of the smooth, convex loss."""
+    from factlane.operators import logistic
+
+    rng = np.random.default_rng(5)
+    keys, values = [], []
+    for i in range(900):
+        at = rng.choice(40, 12, replace=False, p=(w := 1.0 / (1 + np.arange(40))) / w.sum())
+        v = rng.random(12) * (1 + 20.0 / (1 + at))
+        y = int(rng.random() < 1 / (1 + np.exp(2 - v @ np.where(at % 2, 0.3, -0.1))))
+        keys.append(("g", 0, i, y))
+        values += [("g", 0, i, y, int(a), float(x)) for a, x in zip(at, v)]
+    group, places = ["dataset", "run_id"], 40
+    rows_ = spark.createDataFrame(keys, "dataset string, run_id int, claim_id bigint, label int")
+    long = spark.createDataFrame(values, "dataset string, run_id int, claim_id bigint, label int, index int, value double")
+    x, y = np.zeros((900, places)), np.array([k[3] for k in keys], float)
+    for _, _, i, _, a, v in values:
+        x[i, a] = v
+    rounds = []
+    cut = logistic.cut_lineage
+    monkeypatch.setattr(logistic, "cut_lineage", lambda df, name="stage": (rounds.append(name), cut(df, name))[1])
+    for size in (10**6, 3000):
+        blocks = logistic.feature_blocks(rows_, long, group, "claim_id", "label", normalise=False, block_values=size)
+        fitted = logistic.fit_logistic(blocks, group, places).collect()
+        w = np.zeros(places + 1)
+        for r in fitted:
+            w[r["index"]] = r.weight
+        rest = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) - y
+        assert np.abs(x.T @ rest + w[:-1]).max() < 2e-4 and abs(rest.sum()) < 2e-4
+    assert 1 < rounds.count("logistic-state") <= 36
+
+
 def test_state_survives_a_table_row():
     from factlane.operators.logistic import Lbfgs
 
