@@ -16,8 +16,7 @@ Training is truncated backpropagation through time in numpy over all training
 documents, whole texts with carried state. Documents are dealt by hash to
 ``ROUNDS`` rounds and to shards of about ``SHARD_TOKENS`` tokens; in a round
 each shard trains from the same weights and the results are averaged by tokens.
-A corpus of less than ``FULL_TOKENS`` tokens is passed several times (at most
-``EPOCHS``), a larger one once. Scoring puts documents end to
+Every corpus, small or large, is passed ``EPOCHS`` times. Scoring puts documents end to
 end in lanes; windows of ``WINDOW`` steps follow each other and the state is
 carried from window to window until the document ends, so the whole text is
 scored however long it is.
@@ -32,6 +31,7 @@ repeated rows are scored each; without training tokens the counts are 0.
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +45,8 @@ SYMBOLS = 1022
 CLASSES = 32
 HIDDEN = 24
 COMMON = 50_000
-#: Passes over a small corpus; from ``FULL_TOKENS`` tokens on one pass over all.
-EPOCHS = 4
-FULL_TOKENS = 1_600_000
+#: Passes over the training texts, whatever their size.
+EPOCHS = 1
 ROUNDS = 4
 SHARD_TOKENS = 500_000
 #: Partial averages that reach the driver in a round.
@@ -80,6 +79,62 @@ def init_network(n_symbols: int, rng: np.random.Generator, hidden: int = HIDDEN,
     return {k: v.astype(np.float32) for k, v in net.items()}
 
 
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z = np.exp(z - z.max(-1, keepdims=True))
+    z /= z.sum(-1, keepdims=True)
+    return z
+
+
+def _times(a: np.ndarray, b: np.ndarray, rows: int = 256) -> np.ndarray:
+    """a @ b for a long, narrow ``a``, some rows at a time: products this small
+    stay in the task's own thread."""
+    if len(a) <= rows:
+        return a @ b
+    whole = len(a) // rows * rows
+    out = np.empty((len(a), b.shape[1]), np.result_type(a, b))
+    if whole:
+        out[:whole] = (a[:whole].reshape(-1, rows, a.shape[1]) @ b).reshape(whole, -1)
+    if whole < len(a):
+        out[whole:] = a[whole:] @ b
+    return out
+
+
+def _inner(a: np.ndarray, b: np.ndarray, rows: int = 256) -> np.ndarray:
+    """a.T @ b, some rows at a time."""
+    if len(a) <= rows:
+        return a.T @ b
+    whole = len(a) // rows * rows
+    out = a[whole:].T @ b[whole:]
+    if whole:
+        out += (a[:whole].reshape(-1, rows, a.shape[1]).transpose(0, 2, 1) @ b[:whole].reshape(-1, rows, b.shape[1])).sum(0)
+    return out
+
+
+def run_window(net: dict, x: np.ndarray, h: np.ndarray, start: int) -> tuple:
+    """The states of all lanes after each previous symbol of ``x``, (steps,
+    lanes), and what the gradient needs; symbol ``start`` begins with state 0."""
+    n = h.shape[1]
+    a = net["x"][x]
+    a += net["b"]
+    goes_on = (x != start).astype(np.float32)[:, :, None]
+    before, states = np.empty((2, *x.shape, n), np.float32)
+    for k in range(len(x)):
+        h0 = np.multiply(h, goes_on[k], out=before[k])
+        zr = a[k, :, :2 * n]
+        zr += h0 @ net["uzr"]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        cand = a[k, :, 2 * n:]
+        cand += (zr[:, n:] * h0) @ net["uh"]
+        np.tanh(cand, out=cand)
+        h = np.subtract(cand, h0, out=states[k])
+        h *= zr[:, :n]
+        h += h0
+    return states, before, a, goes_on
+
+
 def step(net: dict, x: np.ndarray, h: np.ndarray) -> tuple:
     """One gated recurrent step for all lanes; ``x``: previous symbols."""
     n = h.shape[1]
@@ -94,13 +149,13 @@ def output_log_chance(net: dict, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """log P(symbol | state): class, then symbol within the class."""
     per = net["wb"].shape[1]
     cls, inside = y // per, y % per
-    out = _log_softmax(h @ net["c"] + net["cb"])[np.arange(len(y)), cls]
+    out = _log_softmax(_times(h, net["c"]) + net["cb"])[np.arange(len(y)), cls]
     order = np.argsort(cls, kind="stable")
     edges = np.searchsorted(cls[order], np.arange(len(net["cb"]) + 1))
     for k in range(len(net["cb"])):
         rows = order[edges[k]:edges[k + 1]]
         if len(rows):
-            out[rows] += _log_softmax(h[rows] @ net["w"][k] + net["wb"][k])[np.arange(len(rows)), inside[rows]]
+            out[rows] += _log_softmax(_times(h[rows], net["w"][k]) + net["wb"][k])[np.arange(len(rows)), inside[rows]]
     return out
 
 
@@ -124,52 +179,57 @@ def train_pass(net: dict, opt: dict, y: np.ndarray, lengths: np.ndarray, n_symbo
         if not lanes:
             break
         h, prev, ys = h[:lanes], prev[:lanes], y[:lanes, s:s + WINDOW]
-        cache, states = [], []
-        for k in range(ys.shape[1]):
-            fresh = prev == n_symbols
-            h0 = np.where(fresh[:, None], np.float32(0), h)
-            h, z, r, cand = step(net, prev, h0)
-            cache.append((prev, h0, z, r, cand, fresh))
-            states.append(h)
-            prev = np.where(ys[:, k] == end, n_symbols, ys[:, k])
-        hs, target = np.concatenate(states), ys.T.ravel()
+        after = np.where(ys == end, n_symbols, ys).T
+        x = np.vstack([prev, after[:-1]])
+        prev = after[-1]
+        states, before, gates, goes_on = run_window(net, x, h, n_symbols)
+        h = states[-1]
+        hs, target = states.reshape(-1, hid), ys.T.ravel()
         live = (s + np.arange(ys.shape[1])[:, None] < lengths[:lanes]).ravel()
         n = int(live.sum())
         g = {k: np.zeros_like(p) for k, p in net.items()}
         cls, inside = target // per, target % per
-        d = np.exp(_log_softmax(hs @ net["c"] + net["cb"]))
+        d = _softmax(_times(hs, net["c"]) + net["cb"])
         d[np.arange(len(target)), cls] -= 1
         d *= (live / np.float32(n))[:, None].astype(np.float32)
-        g["c"], g["cb"] = hs.T @ d, d.sum(0)
-        dh_all = d @ net["c"].T
+        g["c"], g["cb"] = _inner(hs, d), d.sum(0)
+        dh_all = _times(d, net["c"].T)
         order = np.flatnonzero(live)
         order = order[np.argsort(cls[order], kind="stable")]
         edges = np.searchsorted(cls[order], np.arange(len(net["cb"]) + 1))
-        for k in range(len(net["cb"])):
-            rows = order[edges[k]:edges[k + 1]]
-            if len(rows):
-                d = np.exp(_log_softmax(hs[rows] @ net["w"][k] + net["wb"][k]))
-                d[np.arange(len(rows)), inside[rows]] -= 1
-                d /= n
-                g["w"][k], g["wb"][k] = hs[rows].T @ d, d.sum(0)
-                dh_all[rows] += d @ net["w"][k].T
+        by_class, own, back = hs[order], inside[order], np.empty((len(order), hid), np.float32)
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            rows = slice(edges[k], edges[k + 1])
+            d = _times(by_class[rows], net["w"][k])
+            d += net["wb"][k]
+            d -= d.max(1, keepdims=True)
+            np.exp(d, out=d)
+            d /= d.sum(1, keepdims=True)
+            d[np.arange(len(d)), own[rows]] -= 1
+            d /= n
+            g["w"][k], g["wb"][k] = _inner(by_class[rows], d), d.sum(0)
+            back[rows] = _times(d, net["w"][k].T)
+        dh_all[order] += back
         dh_all = dh_all.reshape(-1, lanes, hid)
         dh = np.zeros((lanes, hid), np.float32)
-        das = []
-        for k in range(ys.shape[1] - 1, -1, -1):
-            x, h0, z, r, cand, fresh = cache[k]
+        z, r, cand = gates[..., :hid], gates[..., hid:2 * hid], gates[..., 2 * hid:]
+        by_z, by_r, by_c, keep = (cand - before) * z * (1 - z), before * r * (1 - r), z * (1 - cand * cand), 1 - z
+        da = np.empty_like(gates)
+        uh_t, uzr_t = net["uh"].T.copy(), net["uzr"].T.copy()
+        for k in range(len(x) - 1, -1, -1):
             dh = dh + dh_all[k]
-            dz = dh * (cand - h0) * z * (1 - z)
-            dc = dh * z * (1 - cand * cand)
-            drh = dc @ net["uh"].T
-            dr = drh * h0 * r * (1 - r)
-            dzr = np.hstack([dz, dr])
-            g["uzr"] += h0.T @ dzr
-            g["uh"] += (r * h0).T @ dc
-            das.append(np.hstack([dzr, dc]))
-            dh = dh * (1 - z) + drh * r + dzr @ net["uzr"].T
-            dh[fresh] = 0
-        da, x = np.concatenate(das), np.concatenate([c[0] for c in reversed(cache)])
+            dc = np.multiply(dh, by_c[k], out=da[k, :, 2 * hid:])
+            drh = dc @ uh_t
+            np.multiply(dh, by_z[k], out=da[k, :, :hid])
+            np.multiply(drh, by_r[k], out=da[k, :, hid:2 * hid])
+            dh *= keep[k]
+            drh *= r[k]
+            dh += drh
+            dh += da[k, :, :2 * hid] @ uzr_t
+            dh *= goes_on[k]
+        da, x = da.reshape(-1, 3 * hid), x.ravel()
+        g["uzr"] = _inner(before.reshape(-1, hid), da[:, :2 * hid])
+        g["uh"] = _inner((r * before).reshape(-1, hid), da[:, 2 * hid:])
         g["b"] = da.sum(0)
         order = np.argsort(x, kind="stable")
         first = np.flatnonzero(np.diff(x[order], prepend=-1))
@@ -178,9 +238,18 @@ def train_pass(net: dict, opt: dict, y: np.ndarray, lengths: np.ndarray, n_symbo
         t = opt["t"]
         for k, p in net.items():
             np.clip(g[k], -1, 1, out=g[k])
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            v2[k] = 0.999 * v2[k] + 0.001 * g[k] ** 2
-            p -= (rate(t) * (m[k] / (1 - 0.9 ** t)) / (np.sqrt(v2[k] / (1 - 0.999 ** t)) + 1e-8)).astype(np.float32)
+            m[k] *= 0.9
+            m[k] += 0.1 * g[k]
+            np.square(g[k], out=g[k])
+            g[k] *= 0.001
+            v2[k] *= 0.999
+            v2[k] += g[k]
+            move = v2[k] / (1 - 0.999 ** t)
+            np.sqrt(move, out=move)
+            move += 1e-8
+            np.divide(m[k], move, out=move)
+            move *= rate(t) / (1 - 0.9 ** t)
+            p -= move
 
 
 def train_network(streams: np.ndarray, n_symbols: int, epochs: int = EPOCHS, seed: int = SEED) -> dict:
@@ -224,7 +293,7 @@ def score_texts(net: dict, texts: list[np.ndarray], n_symbols: int) -> np.ndarra
     if not texts:
         return np.zeros(0)
     lengths = [len(t) for t in texts]
-    lanes = pack(lengths, max(1, min(512, len(texts), sum(lengths) // max(max(lengths), 512) + 1)))
+    lanes = pack(lengths, max(1, min(192, len(texts), sum(lengths) // max(max(lengths), 512) + 1)))
     y, owner = lane_matrix(texts, lanes)
     total = np.zeros(len(texts))
     h = np.zeros((len(lanes), net["uh"].shape[0]), np.float32)
@@ -232,15 +301,12 @@ def score_texts(net: dict, texts: list[np.ndarray], n_symbols: int) -> np.ndarra
     end = n_symbols - 1
     for s in range(0, y.shape[1], WINDOW):
         ys, own = y[:, s:s + WINDOW], owner[:, s:s + WINDOW]
-        states = []
-        for k in range(ys.shape[1]):
-            h = np.where((prev == n_symbols)[:, None], np.float32(0), h)
-            h = step(net, prev, h)[0]
-            states.append(h)
-            prev = np.where(ys[:, k] == end, n_symbols, ys[:, k])
+        after = np.where(ys == end, n_symbols, ys).T
+        states = run_window(net, np.vstack([prev, after[:-1]]), h, n_symbols)[0]
+        h, prev = states[-1], after[-1]
         own, flat = own.T.ravel(), ys.T.ravel()
         live = own >= 0
-        total += np.bincount(own[live], output_log_chance(net, np.concatenate(states)[live], flat[live]), len(texts))
+        total += np.bincount(own[live], output_log_chance(net, states.reshape(-1, h.shape[1])[live], flat[live]), len(texts))
     return total
 
 
@@ -260,10 +326,9 @@ def word_counts(train: DataFrame) -> DataFrame:
     """(word, c) over all training documents. Each batch is counted before the
     shuffle, so a frequent word sends one row per batch."""
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        count: dict[bytes, int] = {}
+        count: Counter = Counter()
         for t in _texts(b):
-            for w in _split(t):
-                count[w] = count.get(w, 0) + 1
+            count.update(_split(t))
         return pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()).cast(pa.string()),
                                            pa.array(list(count.values()), pa.int64())], ["word", "n"])
 
@@ -298,7 +363,7 @@ def fit_network(train: DataFrame, index: dict[bytes, int], rare: int, n_total: i
     n_shards = max(1, -(-n_total // (ROUNDS * SHARD_TOKENS)))
     dealt = F.pmod("k", F.lit(ROUNDS * n_shards))
     encoded = encoded.select("k", "seq", (dealt % ROUNDS).alias("round"), F.floor(dealt / ROUNDS).alias("shard"))
-    total = ROUNDS * max(1, min(EPOCHS, EPOCHS * FULL_TOKENS // n_total))
+    total = ROUNDS * EPOCHS
 
     def trainer(start: dict, rate: float):
         def shard(t: pa.Table) -> pa.Table:
@@ -363,10 +428,7 @@ def score_documents(docs: DataFrame, hold_out: int = 2, modulus: int = 7) -> Dat
             known[k] = 1 if n_docs else 0
             base[k] = end_base
             symbols.append(np.array([index.get(w, rare) for w in ws] + [end], np.int64))
-            far: dict[bytes, int] = {}
-            for w in ws:
-                far[w] = far.get(w, 0) + 1
-            for w, f in far.items():
+            for w, f in Counter(ws).items():
                 c = common.get(w)
                 if c is None:
                     far_word.append(w)

@@ -173,6 +173,13 @@ def test_long_texts_train_to_their_end(spark, monkeypatch):
     assert all(got[i]["score"] / got[i]["n_tokens"] > math.log10(0.5) for i in ids)
 
 
+def test_passes_do_not_depend_on_the_size(spark):
+    """As long as the shards are the same, the number of tokens changes nothing."""
+    train = frame(spark, [(i, "ka lo mi " * 30) for i in range(8)])
+    nets = [lm_score.fit_network(train, {b"ka": 0, b"lo": 1, b"mi": 2}, 3, n) for n in (728, 1_900_000)]
+    assert all((nets[0][k] == nets[1][k]).all() for k in nets[0])
+
+
 def test_lm_counts(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "COMMON", 20)
     monkeypatch.setattr(lm_score, "SYMBOLS", 8)
