@@ -421,24 +421,22 @@ def score_documents(docs: DataFrame, hold_out: int = 2, modulus: int = 7) -> Dat
         n = b.num_rows
         tokens, known, base, tail = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
         symbols, far_row, far_word, far_n = [], [], [], []
-        end_base = np.log10((n_docs + 1) / base_total)
+        end_base = float(np.log10((n_docs + 1) / base_total))
         for k, t in enumerate(_texts(b)):
             ws = _split(t)
-            tokens[k] = len(ws) + 1
-            known[k] = 1 if n_docs else 0
-            base[k] = end_base
             symbols.append(np.array([index.get(w, rare) for w in ws] + [end], np.int64))
+            n_known, base_log, tail_log = 1 if n_docs else 0, end_base, 0.0
             for w, f in Counter(ws).items():
-                c = common.get(w)
-                if c is None:
+                log = logs.get(w)
+                if log is None:
                     far_word.append(w)
                     far_n.append(f)
                     far_row.append(k)
                 else:
-                    known[k] += f
-                    base[k] += f * logs[w][0]
-                    if w not in index:
-                        tail[k] += f * logs[w][1]
+                    n_known += f
+                    base_log += f * log[0]
+                    tail_log += f * log[1]
+            tokens[k], known[k], base[k], tail[k] = len(ws) + 1, n_known, base_log, tail_log
         net_log = score_texts(net, symbols, n_symbols) / np.log(10)
         far_row = np.array(far_row, np.int64)
         starts = np.searchsorted(far_row, np.arange(n + 1)).astype(np.int32)
@@ -448,7 +446,8 @@ def score_documents(docs: DataFrame, hold_out: int = 2, modulus: int = 7) -> Dat
              pa.ListArray.from_arrays(pa.array(starts, pa.int32()), struct)],
             ["doc_id", "rid", "n_tokens", "n_known", "base_score", "score", "far"])
 
-    logs = {w: (float(np.log10((c + 1) / base_total)), float(np.log10((c + 1) / rare_total))) for w, c in common.items()}
+    # the second part is the share among rare words, which symbols do not have
+    logs = {w: (float(np.log10((c + 1) / base_total)), 0.0 if w in index else float(np.log10((c + 1) / rare_total))) for w, c in common.items()}
     kind = docs.schema["doc_id"].dataType.simpleString()
     part = cut_lineage(map_texts(
         docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), "text"), known_part,
