@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -219,6 +220,38 @@ def test_merged_transforms_group_equal_prefixes():
     assert sorted(map(sorted, by_class.values())) == sorted(map(sorted, by_bytes.values()))
 
 
+def test_a_bucket_is_indexed_in_parts_of_bounded_memory():
+    rng = np.random.default_rng(6)
+    w, pieces = suffix_dedup.WIDTH, []
+    for v in range(1, 12_001):
+        piece = rng.integers(97, 123, int(rng.integers(400, 650))).astype(np.uint8)
+        pieces.append((v, piece.tobytes()))
+        if v % 3 == 0:
+            piece[450:] = 65
+            pieces.append((v, piece.tobytes()))
+    run = np.array([len(p) - w.match + 1 for _, p in pieces], np.int32)
+    row = {"bucket": 0, "value": np.array([v for v, _ in pieces], np.uint64).tobytes(), "key": np.arange(len(pieces)).tobytes(),
+           "start": np.zeros(len(pieces), np.int32).tobytes(), "run": np.stack([run, np.arange(len(pieces), dtype=np.int32)]).tobytes(),
+           "bytes": b"".join(p for _, p in pieces)}
+    t = pa.Table.from_pylist([row], schema=substring_dedup._arrow_schema(suffix_dedup.SEGMENT_ROWS))
+    tracemalloc.start()
+    got = suffix_dedup._repeats(suffix_dedup.SHARD_BYTES, w)(t).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(row["bytes"])
+    want = {}
+    for k in range(1, len(pieces)):
+        if pieces[k][0] == pieces[k - 1][0]:
+            n = min(len(pieces[k][1]) - 399, 51)
+            want[k] = want[k - 1] = [0, n]
+    assert {r["key"]: np.frombuffer(r["ranges"], np.int32).tolist() for r in got} == want
+
+
+def test_ranks_tell_values_of_equal_leading_bits_apart():
+    values = np.array([5, 3, 5, 2**63 + 1, 2**63, 3, 4, 2**63 + 1], np.uint64)
+    assert suffix_dedup.dense_ranks(values).tolist() == [3, 1, 3, 5, 4, 1, 2, 5]
+
+
 @pytest.mark.parametrize("parts,entries,first,tries", [(1, 500_000, 4, 2), (4, 100, 1, 0)])
 def test_jaccard_join(spark, monkeypatch, parts, entries, first, tries):
     for name, v in (("BUCKET_ENTRIES", entries), ("FIRST_PARTNERS", first), ("TRY", 4 if tries else 10**6)):
