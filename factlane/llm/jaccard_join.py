@@ -57,6 +57,9 @@ TRIES = 2
 FIRST_PARTNERS = 4
 CELL_BITS = 18
 BUCKET_ENTRIES = 500_000
+KEY_BITS = 25
+MEET_PAIRS = 64
+MEET_BYTES = 4 << 20
 BLOCK = 128
 CLASSES = 256
 NIBBLE = 15  # largest count of a class, in steps of 2**shift shingles
@@ -308,31 +311,72 @@ def _pairs(t: pa.Table, most: int) -> pa.Table:
     return pa.concat_tables([pairs, left])
 
 
-def _set_rows(b: pa.RecordBatch) -> pa.RecordBatch:
-    data, offsets = text_buffers(b.column("text"))
-    sets = shingle_sets(data, offsets)
-    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-    flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([b.column("key"), pa.ListArray.from_arrays(pa.array(starts), pa.array(flat))], ["key", "s"])
-
-
 def _signature_rows(b: pa.RecordBatch) -> pa.RecordBatch:
     data, offsets = text_buffers(b.column("text"))
     return pa.RecordBatch.from_arrays([b.column("key"), pa.array([signature(s) for s in shingle_sets(data, offsets)], pa.binary())], ["key", "sig"])
 
 
-def count_overlaps(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def near_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose key is not in ``keys``: a bitmap of
+    fixed size (at most 2**KEY_BITS bits) reaches the rows where they are, so
+    that a join by key need not move the other texts."""
+    place = f"pmod(xxhash64(key), {1 << KEY_BITS}L)"
+    words = keys.select(F.expr(place).alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("bits"))
+    found = rows.withColumn("bit", F.expr(place)).join(F.broadcast(words), F.expr("bit div 64 = word"))
+    return found.where("(shiftright(bits, cast(bit % 64 AS int)) & 1) = 1").select(*rows.columns)
+
+
+SET_ROWS = "bucket int, key bigint, s binary, partners array<bigint>"
+OVERLAP_ROWS = "x bigint, y bigint, nx bigint, ny bigint, overlap bigint"
+
+
+def _set_rows(b: pa.RecordBatch) -> pa.RecordBatch:
+    data, offsets = text_buffers(b.column("text"))
+    sets = pa.array([s.tobytes() for s in shingle_sets(data, offsets)], pa.binary())
+    return pa.RecordBatch.from_arrays([b.column("bucket"), b.column("key"), sets, b.column("partners")], ["bucket", "key", "s", "partners"])
+
+
+def _overlaps(t: pa.Table) -> pa.Table:
+    """One bucket: overlap of each set with its partners."""
+    keys = t.column("key").to_pylist()
+    sets = {k: np.frombuffer(s, np.uint64) for k, s in zip(keys, t.column("s").to_pylist())}
+    found = [(x, y, len(sets[x]), len(sets[y]), len(np.intersect1d(sets[x], sets[y], assume_unique=True)))
+             for x, partners in zip(keys, t.column("partners").to_pylist()) for y in partners]
+    rows = np.array(found, np.int64).reshape(-1, 5)
+    return pa.Table.from_arrays([pa.array(rows[:, k]) for k in range(5)], schema=_arrow_schema(OVERLAP_ROWS))
+
+
+def dealt_pairs(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(bucket, key, partners): where the set of ``key`` is needed, and against
+    which sets it is counted there. Pairs around one set (the neighbour or the
+    set itself that is in most pairs) meet, ``MEET_PAIRS`` at a time, so that a
+    set travels about once and not once a pair."""
+    pairs = cut_lineage(pairs.select("x", "y").distinct(), "jac-pairs")
+    both = pairs.select(F.col("x").alias("key"), F.col("y").alias("other")).union(pairs.select(F.col("y").alias("key"), F.col("x").alias("other")))
+    degree = both.groupBy("key").agg(F.count("*").alias("d"))
+    lead = both.join(degree.withColumnRenamed("key", "other"), "other").select("key", F.struct("d", (-F.col("other")).alias("k")).alias("r")).union(
+        degree.select("key", F.struct("d", (-F.col("key")).alias("k")).alias("r"))).groupBy("key").agg((-F.max("r")["k"]).alias("lead"))
+    led = cut_lineage(pairs.join(lead.withColumnRenamed("key", "x"), "x"), "jac-led")
+    parts = led.groupBy("lead").agg(F.ceil(F.count("*") / MEET_PAIRS).alias("parts"))
+    met = led.join(parts, "lead").select("x", "y", F.xxhash64("lead", F.expr("pmod(xxhash64(x, y), parts)")).alias("meet"))
+    sends = met.select("meet", F.col("x").alias("key"), F.col("y").alias("partner")).union(
+        met.select("meet", F.col("y").alias("key"), F.lit(None).cast("bigint").alias("partner")))
+    sends = cut_lineage(sends.groupBy("meet", "key").agg(F.collect_list("partner").alias("partners")), "jac-sends")
+    shingles = sends.join(sizes.select("key", "n"), "key").agg(F.sum("n")).first()[0] or 0
+    n_buckets = max(1, -(-8 * shingles // MEET_BYTES))
+    return sends.groupBy(F.expr(f"cast(pmod(meet, {n_buckets}) AS int)").alias("bucket"), "key").agg(F.flatten(F.collect_list("partners")).alias("partners"))
+
+
+def count_overlaps(pairs: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataFrame:
     """(x, y, nx, ny, overlap) by intersecting the two sets. Only the documents
-    of ``pairs`` get their sets built; without pairs no text is read."""
+    of ``pairs`` get their sets built; without pairs no text is read. ``sizes``
+    has the size ``n`` of each key's set."""
     if pairs.isEmpty():
-        return docs.sparkSession.createDataFrame([], "x bigint, y bigint, nx bigint, ny bigint, overlap bigint")
-    wanted = pairs.select(F.col("x").alias("key")).union(pairs.select("y")).distinct()
-    sets = cut_lineage(map_texts(docs.join(wanted, "key"), _set_rows, "key bigint, s array<bigint>"), "jac-sets")
-    a = sets.select(F.col("key").alias("x"), F.col("s").alias("sx"))
-    b = sets.select(F.col("key").alias("y"), F.col("s").alias("sy"))
-    return pairs.join(a, "x").join(b, "y").select(
-        "x", "y", F.size("sx").cast("bigint").alias("nx"), F.size("sy").cast("bigint").alias("ny"),
-        F.size(F.array_intersect("sx", "sy")).cast("bigint").alias("overlap"))
+        return docs.sparkSession.createDataFrame([], OVERLAP_ROWS)
+    sends = cut_lineage(dealt_pairs(pairs, sizes), "jac-dealt")
+    sets = map_texts(near_keys(docs, sends).join(sends, "key").select("bucket", "key", "text", "partners"), _set_rows, SET_ROWS)
+    return sets.groupBy("bucket").applyInArrow(_overlaps, OVERLAP_ROWS)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -386,8 +430,9 @@ def component_keys(rows: DataFrame, distinct: bool) -> DataFrame:
     # texts of all others are left behind here, once
     able = lists.groupBy("key").agg(F.count("*").alias("lists"), F.first("n").alias("n")).where(
         F.col("lists") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * PERCENT / 100))).select("key")
-    held = cut_lineage(unique.join(able.union(stars.select("x")).union(stars.select("y")).distinct(), "key"), "jac-held")
-    tried = cut_lineage(count_overlaps(stars, held), "jac-tried")
+    able = cut_lineage(able.union(stars.select("x")).union(stars.select("y")).distinct(), "jac-able")
+    held = cut_lineage(near_keys(unique, able).join(able, "key"), "jac-held")
+    tried = cut_lineage(count_overlaps(stars, held, facts), "jac-tried")
     good = linked(F.col("overlap"), F.col("nx"), F.col("ny"))
     links = tried.where(good).select("x", "y")
     comp = components(links, "jac-star")
@@ -405,7 +450,8 @@ def component_keys(rows: DataFrame, distinct: bool) -> DataFrame:
         if sigs is None:
             enough = known.groupBy("key").agg(F.count("*").alias("lists"), F.first("n").alias("n")).where(
                 F.col("lists") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * PERCENT / 100))).select("key")
-            sigs = cut_lineage(map_texts(held.join(enough, "key"), _signature_rows, "key bigint, sig binary").join(
+            enough = cut_lineage(enough, "jac-enough")
+            sigs = cut_lineage(map_texts(near_keys(held, enough).join(enough, "key"), _signature_rows, "key bigint, sig binary").join(
                 related, "key", "left"), "jac-signatures")
         known = known.join(sigs, "key").select(
             F.pmod("tok", F.lit(n_buckets)).cast("int").alias("bucket"), "tok", "key", "n", "pos", "comp", "sig",
@@ -417,7 +463,7 @@ def component_keys(rows: DataFrame, distinct: bool) -> DataFrame:
         cross = cut_lineage(cross.select("x", "y"), "jac-cross")
         more = cross.where("y IS NULL").select(F.col("x").alias("key"))
         cross = cross.where("y IS NOT NULL")
-        late = cut_lineage(count_overlaps(cross, held).where(good).select("x", "y"), "jac-late")
+        late = cut_lineage(count_overlaps(cross, held, facts).where(good).select("x", "y"), "jac-late")
         links = links.union(late)
         if pairs_of is _first_pairs:
             # only lists of sets with unnamed pairs are gone through again

@@ -263,6 +263,33 @@ def test_jaccard_join(spark, monkeypatch, parts, entries, first, tries):
     assert len({c for _, c in want.values()}) < len(want) - 10
 
 
+def test_sets_travel_about_once_for_all_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "MEET_BYTES", 4000)
+    names = [10 * c + k for c in range(20) for k in range(8)]
+    docs = spark.createDataFrame([(k, " ".join(f"w{k // 10}x{i}" for i in range(40 + k % 10))) for k in names], "key bigint, text string").repartition(3)
+    sizes = spark.createDataFrame([(k, 37 + k % 10) for k in names], "key bigint, n bigint")
+    pairs = [(a, b) for a in names for b in names if a < b and a // 10 == b // 10]
+    links = spark.createDataFrame(pairs, "x bigint, y bigint")
+    sends = jaccard_join.dealt_pairs(links, sizes).collect()
+    assert len({r["bucket"] for r in sends}) > 5
+    assert len(sends) < 1.5 * len(names) < 0.5 * len(pairs)
+    got = jaccard_join.count_overlaps(links, docs, sizes).collect()
+    assert sorted(tuple(r) for r in got) == sorted((x, y, 37 + x % 10, 37 + y % 10, 37 + min(x % 10, y % 10)) for x, y in pairs)
+    # a set with many partners: its pairs are dealt out, MEET_PAIRS at a time
+    hub = spark.createDataFrame([(1, 2 + k) for k in range(2000)], "x bigint, y bigint")
+    most = jaccard_join.dealt_pairs(hub, spark.range(2100).selectExpr("id AS key", "100000 AS n")).collect()
+    assert max(len(r["partners"]) for r in most) < 4 * jaccard_join.MEET_PAIRS
+    assert sorted(y for r in most for y in r["partners"]) == list(range(2, 2002))
+
+
+def test_near_keys_keep_all_named_rows(spark):
+    rows = spark.range(20_000).selectExpr("id * 7919 - 50000 AS key", "'t' AS text")
+    wanted = rows.where("key % 50 = 0").select("key")
+    got = {r["key"] for r in jaccard_join.near_keys(rows, wanted).collect()}
+    want = {r["key"] for r in wanted.collect()}
+    assert want <= got and len(got) < 1.1 * len(want)
+
+
 def test_list_pairs_lose_nothing():
     rng = np.random.default_rng(1)
     n = rng.integers(20, 60, 400)
