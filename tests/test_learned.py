@@ -230,6 +230,41 @@ def test_classifier_in_many_blocks(spark, monkeypatch):
     assert max(abs(found[0][k] - found[1][k]) for k in found[0]) < 1e-6
 
 
+def test_blocks_are_held_one_at_a_time(spark, monkeypatch):
+    """Tables of blocks have a row group a block, rows that are only scored have
+    small blocks, and a task gets its blocks about one by one."""
+    import pyarrow.parquet as pq
+
+    from factlane.operators import classifier as C
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    data = [("test" if i % 3 == 0 else "train", i, i % 2, [i % 7, 10 + i % 2, 20]) for i in range(90)]
+    df = spark.createDataFrame(data, "part string, __rid bigint, label int, __places array<int>").coalesce(1)
+    monkeypatch.setattr(C, "PART_VALUES", 30, raising=False)
+    before = spark.conf.get(key)
+    placed = C.place_blocks(df, "label")
+    blocks = C.weighted_blocks(placed, "train")
+    for table in (placed, blocks):
+        for f in {f.removeprefix("file:").replace("///", "/") for f in table.inputFiles()}:
+            meta = pq.ParquetFile(f).metadata
+            assert [meta.row_group(k).num_rows for k in range(meta.num_row_groups)] == [1] * meta.num_rows
+    assert {r.part: r["count"] for r in placed.groupBy("part").count().collect()} == {"train": 1, "test": 3}
+    assert spark.conf.get(key) == before
+
+
+def test_large_rows_go_to_python_one_by_one(spark):
+    from pyspark.sql import functions as F
+
+    from factlane.session import cut_lineage
+
+    def rows_in(batches):
+        for b in batches:
+            yield b.slice(0, 1).select(["id"]).set_column(0, "n", [b.num_rows])
+
+    rows = spark.range(0, 4, 1, 1).withColumn("x", F.repeat(F.lit("a"), F.lit(9 << 20)))
+    assert {r.n for r in cut_lineage(rows.mapInArrow(rows_in, "n bigint"), "n", large_rows=True).collect()} == {1}
+
+
 def test_vocabulary_from_stored_terms_exchanges_rows_only(spark):
     """Terms held as arrays give the same vocabulary as single occurrences."""
     from pyspark.sql import functions as F
